@@ -209,9 +209,9 @@ def with_devices(df: DataFrame, logs: DataFrame) -> DataFrame:
     return attach_lookup(df, lookup, "Device_Type", weight="Device_Total_Views")
 
 
-def enrich_cells(cells: DataFrame) -> DataFrame:
-    """Every KPI that needs the content cells alone."""
-    df = with_popularity(with_cell_ranges(cells, cells), cells).withColumns(
+def cell_scores(cells: DataFrame) -> DataFrame:
+    """The KPIs that need the content cells alone, but for the popularity tier."""
+    df = with_cell_ranges(cells, cells).withColumns(
         {
             "Total_Engagement_Hours": engagement_hours(),
             "Engagement_Score": engagement_score(),
@@ -225,6 +225,7 @@ def enrich_cells(cells: DataFrame) -> DataFrame:
 
 
 def gold_content(logs: DataFrame) -> DataFrame:
-    df = enrich_cells(settle(content_agg(logs), "content-cells"))
+    cells = settle(content_agg(logs), "content-cells")
+    df = with_popularity(cell_scores(cells), cells)
     df = with_devices(with_genres(df, logs), logs)
     return df.select(unique_names(fv.GOLD_CONTENT))

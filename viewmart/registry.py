@@ -1,0 +1,413 @@
+"""Every query by name: ``query(spark, folder) -> DataFrame`` over the star-schema tables.
+
+Bronze, silver and gold tables are stored once per session and folder, as a medallion
+deployment stores them; queries on a layer read the stored tables below it.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from viewmart import fixed_values as fv
+from viewmart.functions import title_case
+from viewmart.operators import impute, keep_first
+from viewmart.plans import (
+    audits, billing, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
+)
+from viewmart.session import new_folder, settle
+from viewmart.sources import bronze_csv, star_schema
+from viewmart.sources.layers import read_layer, write_layer
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Tables:
+    """The layer tables of one input folder, each built on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._stored: dict[str, DataFrame] = {}
+
+    def _store(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if label not in self._stored:
+            self._stored[label] = settle(build(), label)
+        return self._stored[label]
+
+    def bronze(self, table: str) -> DataFrame:
+        return self._store(f"bronze-{table}", lambda: star_schema.BRONZE[table](self.spark, self.folder))
+
+    def all_bronze(self) -> dict[str, DataFrame]:
+        return {table: self.bronze(table) for table in medallion.SILVER_TABLES}
+
+    @property
+    def customers(self) -> DataFrame:
+        return self._store("silver-customers", lambda: silver.silver_customers(self.bronze("customers")))
+
+    @property
+    def tickets(self) -> DataFrame:
+        return self._store("silver-tickets", lambda: silver.silver_tickets(self.bronze("tickets")))
+
+    @property
+    def logs(self) -> DataFrame:
+        return self._store("silver-logs", lambda: silver.silver_logs(self.bronze("viewing_logs")))
+
+    @property
+    def billing(self) -> DataFrame:
+        return self._store("gold-billing", lambda: billing.gold_billing(self.customers, self.tickets))
+
+    @property
+    def operations(self) -> DataFrame:
+        return self._store("gold-operations", lambda: operations.gold_operations(self.tickets))
+
+    @property
+    def content(self) -> DataFrame:
+        return self._store("gold-content", lambda: content.gold_content(self.logs))
+
+    # Group tables that several KPI queries share.
+
+    @property
+    def technicians(self) -> DataFrame:
+        return self._store("technician-stats", lambda: operations.technician_stats(self.tickets))
+
+    @property
+    def equipment(self) -> DataFrame:
+        return self._store("equipment-stats", lambda: operations.equipment_stats(self.tickets))
+
+    @property
+    def departments(self) -> DataFrame:
+        return self._store("department-stats", lambda: operations.department_stats(self.tickets))
+
+    @property
+    def cells(self) -> DataFrame:
+        return self._store("content-agg", lambda: content.content_agg(self.logs))
+
+
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, folder: str) -> Tables:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, folder)
+    return _TABLES[key]
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Fractions to a fixed number of digits, so that sums in any order compare equal."""
+    doubles = [name for name, kind in df.dtypes if kind == "double"]
+    return df.withColumns({name: F.round(name, digits) for name in doubles})
+
+
+# --- sources, sinks and layer jobs -------------------------------------------------------
+
+
+def _scan(table: str) -> Callable[[Tables], DataFrame]:
+    """Export the bronze table to CSV and scan that with the declared schema."""
+
+    def run(t: Tables) -> DataFrame:
+        path = new_folder(t.spark, f"csv-{table}")
+        bronze_csv.write_csv(bronze_csv.bronze_only(t.bronze(table), table), path)
+        return bronze_csv.bronze_only(bronze_csv.read_bronze_csv(t.spark, path, table), table)
+
+    return run
+
+
+def _write_layer(t: Tables) -> DataFrame:
+    base = new_folder(t.spark, "write-layer")
+    for table, df in t.all_bronze().items():
+        write_layer(df, base, "bronze", table, csv_copy=True)
+    stored = {table: read_layer(t.spark, base, "bronze", table) for table in medallion.SILVER_TABLES}
+    return medallion.row_counts(stored)
+
+
+def _layer_silver(t: Tables) -> DataFrame:
+    return medallion.row_counts(medallion.run_silver(t.all_bronze(), new_folder(t.spark, "layer-silver")))
+
+
+def _layer_gold(t: Tables) -> DataFrame:
+    base = new_folder(t.spark, "layer-gold")
+    for table, df in (("customers", t.customers), ("tickets", t.tickets), ("viewing_logs", t.logs)):
+        write_layer(df, base, "silver", table)
+    return medallion.row_counts(medallion.run_gold(t.spark, base))
+
+
+def _layer_all(t: Tables) -> DataFrame:
+    return medallion.row_counts(medallion.run_all(t.spark, t.all_bronze(), new_folder(t.spark, "layer-all")))
+
+
+# --- single rules ------------------------------------------------------------------------
+
+
+def _title_case(t: Tables) -> DataFrame:
+    bronze = t.bronze("tickets")
+    titled = [title_case(F.col(name)).alias(f"{name}_Title") for name in fv.TICKET_TITLE_CASE]
+    return bronze.select("Ticket_ID", *fv.TICKET_TITLE_CASE, *titled)
+
+
+def _impute(table: str, key: str, column: str, how: str) -> Callable[[Tables], DataFrame]:
+    def run(t: Tables) -> DataFrame:
+        narrow = t.bronze(table).select(key, F.col(column).alias("Value"))
+        filled = impute(narrow, **{how: ("Value",)})
+        return filled.select(key, F.col("Value").alias(column))
+
+    return run
+
+
+def _billing_kpi(*columns: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: billing.enrich_customers(t.customers, t.tickets).select("Customer_ID", *columns)
+
+
+def _customer_kpi(name: str, kpi: Callable[[], Column]) -> Callable[[Tables], DataFrame]:
+    """A KPI of the customers table alone, without the ticket join."""
+    return lambda t: t.customers.select("Customer_ID", kpi().alias(name))
+
+
+def _cell_kpi(*columns: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: content.cell_scores(t.cells).select(*fv.CONTENT_KEYS, *columns)
+
+
+def _ltv_index(t: Tables) -> DataFrame:
+    filled = t.customers.fillna(0)
+    return billing.with_customer_ranges(filled, t.customers).select("Customer_ID", billing.ltv_index().alias("LTV_Index"))
+
+
+def _loyalty_index(t: Tables) -> DataFrame:
+    filled = t.customers.fillna(0).withColumn("Customer_Tenure_Years", billing.tenure_years(fv.AS_OF))
+    return billing.with_customer_ranges(filled, t.customers).select(
+        "Customer_ID", billing.loyalty_index().alias("Loyalty_Index")
+    )
+
+
+def _payment_risk(t: Tables) -> DataFrame:
+    timed = t.customers.withColumn("Payment_Days_Overdue", billing.payment_days(fv.AS_OF))
+    return timed.select(
+        "Customer_ID", "Payment_Status", "Payment_Days_Overdue", billing.payment_risk_score().alias("Payment_Risk_Score")
+    )
+
+
+def _renewal(t: Tables) -> DataFrame:
+    timed = t.customers.withColumn("Days_Until_Contract_End", billing.contract_days(fv.AS_OF))
+    return timed.select("Customer_ID", "Days_Until_Contract_End", billing.renewal_risk().alias("Contract_Renewal_Risk"))
+
+
+def _impact_joined(t: Tables) -> DataFrame:
+    joined = operations.tickets_with_customer_metrics(t.tickets)
+    return joined.select("Ticket_ID", operations.impact_score(joined).alias("Issue_Impact_Score"))
+
+
+def _guard_defaults(t: Tables) -> DataFrame:
+    """Technician measures and scores where the feed lacks every optional column."""
+    bare = t.tickets.drop(
+        "Customer_Satisfaction_Rating", "First_Contact_Resolution", "Remote_Resolution_Attempted", "Cost_Of_Resolution"
+    )
+    return operations.technician_scores(settle(operations.technician_stats(bare), "technicians-bare"))
+
+
+def _category_variants(t: Tables) -> DataFrame:
+    return audits.category_variants(
+        {
+            "customers": (t.bronze("customers"), ["Subscription_Type", "Service_Tier", "Employment_Status", "State"]),
+            "tickets": (t.bronze("tickets"), ["Status", "Equipment_Model", "Issue_Category", "Department"]),
+            "viewing_logs": (t.bronze("viewing_logs"), ["Stream_Quality", "Video_Resolution", "Content_Type"]),
+        }
+    )
+
+
+_ID_NAME_BILL = ["Customer_ID", "ingest_seq", "Name", "Monthly_Bill"]
+_CHOSEN_CUSTOMERS = {"regions": ["ASIA", "EUROPE"], "segments": ["VIP_Advocates", "Standard"]}
+
+PLANS: dict[str, Callable[[Tables], DataFrame]] = {
+    # sources, sinks, layer jobs
+    "scan_customers": _scan("customers"),
+    "scan_tickets": _scan("tickets"),
+    "scan_logs": _scan("viewing_logs"),
+    "write_layer": _write_layer,
+    "layer_silver": _layer_silver,
+    "layer_gold": _layer_gold,
+    "layer_all": _layer_all,
+    # cleaning rules
+    "title_case": _title_case,
+    "clamp_future_join": lambda t: silver.clamp_future(t.bronze("customers"), "Join_Date", fv.AS_OF).select(
+        "Customer_ID", "ingest_seq", "Join_Date"
+    ),
+    "dedup_customers": lambda t: keep_first(t.bronze("customers").select(_ID_NAME_BILL), "Customer_ID", "ingest_seq"),
+    "impute_monthly_bill": _impute("customers", "ingest_seq", "Monthly_Bill", "medians"),
+    "impute_signal": _impute("tickets", "Ticket_ID", "Signal_Strength_dBm", "means"),
+    "impute_satisfaction": _impute("tickets", "Ticket_ID", "Customer_Satisfaction_Rating", "medians"),
+    "impute_buffering": _impute("viewing_logs", "Log_ID", "Buffering_Events", "means"),
+    "impute_rating": _impute("viewing_logs", "Log_ID", "User_Rating", "medians"),
+    "guard_defaults": _guard_defaults,
+    # silver
+    "silver_customers": lambda t: silver.silver_customers(t.bronze("customers")),
+    "silver_tickets": lambda t: silver.silver_tickets(t.bronze("tickets")),
+    "silver_logs": lambda t: silver.silver_logs(t.bronze("viewing_logs")),
+    # gold billing
+    "customer_ticket_metrics": lambda t: billing.ticket_metrics(t.tickets),
+    "customer_ticket_join": lambda t: billing.customers_with_tickets(t.customers, t.tickets),
+    "customer_tenure": _customer_kpi("Customer_Tenure_Years", lambda: billing.tenure_years(fv.AS_OF)),
+    "bill_category": _customer_kpi("Bill_Category", billing.bill_category),
+    "monthly_revenue": _customer_kpi("Monthly_Revenue", billing.monthly_revenue),
+    "service_health_score": lambda t: billing.customers_with_tickets(
+        t.customers.select("Customer_ID"), t.tickets
+    ).select("Customer_ID", billing.service_health_score().alias("Service_Health_Score")),
+    "payment_days": _customer_kpi("Payment_Days_Overdue", lambda: billing.payment_days(fv.AS_OF)),
+    "payment_risk_score": _payment_risk,
+    "churn_risk": _billing_kpi("Service_Health_Score", "Calculated_Churn_Risk"),
+    "ltv_index": _ltv_index,
+    "loyalty_index": _loyalty_index,
+    "device_adoption_score": _customer_kpi("Device_Adoption_Score", billing.device_adoption_score),
+    "contract_renewal_risk": _renewal,
+    "revenue_health": _customer_kpi("Revenue_Health", billing.revenue_health),
+    "customer_segment": _billing_kpi("Service_Health_Score", "LTV_Index", "Customer_Segment"),
+    "gold_billing": lambda t: billing.gold_billing(t.customers, t.tickets),
+    # gold operations
+    "technician_stats": lambda t: operations.technician_stats(t.tickets),
+    "technician_scores": lambda t: operations.technician_scores(t.technicians),
+    "performance_tier": lambda t: operations.technician_scores(t.technicians).select(
+        "Technician_Assigned", "Overall_Performance_Score", "Performance_Tier"
+    ),
+    "equipment_stats": lambda t: operations.equipment_stats(t.tickets),
+    "equipment_reliability": lambda t: operations.equipment_reliability(t.equipment),
+    "department_stats": lambda t: operations.department_stats(t.tickets),
+    "department_efficiency": lambda t: operations.department_efficiency(t.departments),
+    "ticket_technician_join": lambda t: operations.with_technicians(
+        t.tickets.select("Ticket_ID", "Technician_Assigned"), t.tickets
+    ),
+    "ticket_equipment_join": lambda t: operations.with_equipment(
+        t.tickets.select("Ticket_ID", "Equipment_Model"), t.tickets
+    ),
+    "ticket_department_join": lambda t: operations.with_departments(
+        t.tickets.select("Ticket_ID", "Department"), t.tickets
+    ),
+    "resolution_efficiency": lambda t: operations.with_resolution_efficiency(
+        t.tickets.select("Ticket_ID", "Resolution_Time_Hrs"), t.tickets
+    ),
+    "issue_resolution_bucket": lambda t: t.tickets.select(
+        "Ticket_ID", "Resolution_Time_Hrs", operations.resolution_band().alias("Issue_Resolution_Time")
+    ),
+    "signal_quality": lambda t: t.tickets.select(
+        "Ticket_ID", "Signal_Strength_dBm", operations.signal_quality().alias("Signal_Quality")
+    ),
+    "priority_sla": lambda t: t.tickets.select(
+        "Ticket_ID", "Priority_Level", operations.response_sla(t.tickets).alias("Priority_Response_SLA")
+    ),
+    "sla_compliance": lambda t: operations.with_sla(t.tickets).select(
+        "Ticket_ID", "Actual_Resolution_Hours", "SLA_Met", "Days_To_Resolve"
+    ),
+    "issue_impact_score": lambda t: t.tickets.select(
+        "Ticket_ID", operations.impact_score(t.tickets).alias("Issue_Impact_Score")
+    ),
+    "issue_impact_score_joined": _impact_joined,
+    "gold_operations": lambda t: operations.gold_operations(t.tickets),
+    # gold content
+    "content_agg": lambda t: content.content_agg(t.logs),
+    "genre_performance": lambda t: content.genre_performance(t.logs),
+    "device_performance": lambda t: content.device_performance(t.logs),
+    "content_type_performance": lambda t: content.content_type_performance(t.logs),
+    "quality_analysis": lambda t: content.quality_analysis(t.logs),
+    "peak_analysis": lambda t: content.peak_analysis(t.logs),
+    "viewing_calendar": lambda t: content.viewing_calendar(t.logs).select("Log_ID", "Hour_Of_Day", "Day_Of_Week"),
+    "logs_content_type_join": lambda t: content.logs_with_content_type(t.logs.select("Log_ID", "Content_Type", "Customer_ID", "View_Duration_Mins")),
+    "content_genre_join": lambda t: content.with_genres(t.cells.select(*fv.CONTENT_KEYS), t.logs),
+    "content_device_join": lambda t: content.with_devices(t.cells.select(*fv.CONTENT_KEYS), t.logs),
+    "engagement_hours": lambda t: t.cells.select(
+        *fv.CONTENT_KEYS, content.engagement_hours().alias("Total_Engagement_Hours")
+    ),
+    "engagement_score": _cell_kpi("Engagement_Score"),
+    "quality_satisfaction": lambda t: t.cells.select(
+        *fv.CONTENT_KEYS, content.quality_satisfaction().alias("Quality_Satisfaction")
+    ),
+    "popularity_tier": lambda t: content.with_popularity(t.cells, t.cells).select(
+        *fv.CONTENT_KEYS, "Total_Views", "Popularity_Tier"
+    ),
+    "customer_penetration": _cell_kpi("Customer_Penetration"),
+    "genre_strength_index": lambda t: content.genre_strength(settle(content.genre_viewers(t.logs), "genres")),
+    "device_adoption_index": lambda t: content.device_adoption(settle(content.device_views(t.logs), "devices")),
+    "content_health": _cell_kpi("Engagement_Score", "Content_Health"),
+    "viewing_frequency": lambda t: t.cells.select(*fv.CONTENT_KEYS, content.viewing_frequency().alias("Viewing_Frequency")),
+    "content_reach_score": _cell_kpi("Content_Reach_Score"),
+    "ad_opportunity_score": _cell_kpi("Ad_Opportunity_Score"),
+    "gold_content": lambda t: content.gold_content(t.logs),
+    # dashboard 1: billing
+    "d1_options": lambda t: dash_billing.options(t.billing),
+    "d1_filtered": lambda t: dash_billing.chosen(t.billing, **_CHOSEN_CUSTOMERS),
+    "d1_filtered_revenue_by_region": lambda t: dash_billing.revenue_by_region(
+        dash_billing.chosen(t.billing, **_CHOSEN_CUSTOMERS)
+    ),
+    "d1_financial_kpis": lambda t: dash_billing.financial_kpis(t.billing),
+    "d1_health_kpis": lambda t: dash_billing.health_kpis(t.billing),
+    "d1_revenue_by_region": lambda t: dash_billing.revenue_by_region(t.billing),
+    "d1_bill_category_dist": lambda t: dash_billing.bill_category_dist(t.billing),
+    "d1_revenue_by_bill_category": lambda t: dash_billing.revenue_by_bill_category(t.billing),
+    "d1_health_hist": lambda t: dash_billing.health_hist(t.billing),
+    "d1_churn_dist": lambda t: dash_billing.churn_dist(t.billing),
+    "d1_payment_dist": lambda t: dash_billing.payment_dist(t.billing),
+    "d1_contract_dist": lambda t: dash_billing.contract_dist(t.billing),
+    "d1_loyalty_ltv": lambda t: dash_billing.loyalty_ltv(t.billing),
+    "d1_device_hist": lambda t: dash_billing.device_hist(t.billing),
+    "d1_segment_dist": lambda t: dash_billing.segment_dist(t.billing),
+    "d1_segment_revenue": lambda t: dash_billing.segment_revenue(t.billing),
+    "d1_detail": lambda t: dash_billing.detail(t.billing),
+    # dashboard 2: content
+    "d2_options": lambda t: dash_content.options(t.content),
+    "d2_filtered": lambda t: dash_content.chosen(t.content, ["Click", "Error"], ["Tablet"]),
+    "d2_filtered_kpis": lambda t: dash_content.kpis(dash_content.chosen(t.content, ["Click", "Error"], ["Tablet"])),
+    "d2_kpis": lambda t: dash_content.kpis(t.content),
+    "d2_genre_duration": lambda t: dash_content.genre_duration(t.content),
+    "d2_device_views": lambda t: dash_content.device_views(t.content),
+    "d2_engagement_hist": lambda t: dash_content.engagement_hist(t.content),
+    "d2_quality_dist": lambda t: dash_content.quality_dist(t.content),
+    "d2_popularity_dist": lambda t: dash_content.popularity_dist(t.content),
+    "d2_health_dist": lambda t: dash_content.health_dist(t.content),
+    "d2_reach_top": lambda t: dash_content.reach_top(t.content),
+    "d2_engagement_rating": lambda t: dash_content.engagement_rating(t.content),
+    "d2_top_viewed": lambda t: dash_content.top_viewed(t.content),
+    "d2_top_rated": lambda t: dash_content.top_rated(t.content),
+    "d2_detail": lambda t: dash_content.detail(t.content),
+    # dashboard 3: operations
+    "d3_options": lambda t: dash_operations.options(t.operations),
+    "d3_filtered": lambda t: dash_operations.chosen(t.operations, ["4K Mini", "Relay"], ["Billing", "Sales"]),
+    "d3_filtered_department_perf": lambda t: dash_operations.department_perf(
+        dash_operations.chosen(t.operations, ["4K Mini", "Relay"], ["Billing", "Sales"])
+    ),
+    "d3_kpis": lambda t: dash_operations.kpis(t.operations),
+    "d3_resolution_hist": lambda t: dash_operations.resolution_hist(t.operations),
+    "d3_efficiency_dist": lambda t: dash_operations.efficiency_dist(t.operations),
+    "d3_tier_dist": lambda t: dash_operations.tier_dist(t.operations),
+    "d3_score_hist": lambda t: dash_operations.score_hist(t.operations),
+    "d3_equipment_dist": lambda t: dash_operations.equipment_dist(t.operations),
+    "d3_reliability": lambda t: dash_operations.reliability(t.operations),
+    "d3_issue_dist": lambda t: dash_operations.issue_dist(t.operations),
+    "d3_impact_hist": lambda t: dash_operations.impact_hist(t.operations),
+    "d3_signal_dist": lambda t: dash_operations.signal_dist(t.operations),
+    "d3_satisfaction_resolution": lambda t: dash_operations.satisfaction_resolution(t.operations),
+    "d3_department_perf": lambda t: dash_operations.department_perf(t.operations),
+    "d3_detail": lambda t: dash_operations.detail(t.operations),
+    # executive summary
+    "exec_overview": lambda t: executive.overview(t.billing, t.operations, t.content),
+    "exec_revenue_health": lambda t: executive.revenue_health(t.billing),
+    "exec_risk": lambda t: executive.risk(t.billing),
+    "exec_performance": lambda t: executive.performance(t.operations, t.content),
+    "exec_revenue_at_risk": lambda t: executive.revenue_at_risk(t.billing),
+    "exec_engagement_vs_rating": lambda t: executive.engagement_vs_rating(t.content),
+    "layer_reconciliation": lambda t: executive.layer_reconciliation(t.bronze("viewing_logs"), t.content),
+    # data quality
+    "dq_null_rates": lambda t: audits.null_rates(
+        {table: bronze_csv.bronze_only(df, table) for table, df in t.all_bronze().items()}
+    ),
+    "dq_duplicate_customers": lambda t: audits.duplicate_customers(t.bronze("customers")),
+    "dq_future_dates": lambda t: audits.future_dates(t.bronze("customers")),
+    "dq_outliers": lambda t: audits.outliers(t.bronze("customers"), t.bronze("viewing_logs")),
+    "dq_category_variants": _category_variants,
+    "dq_negative_durations": lambda t: audits.negative_durations(t.bronze("tickets"), t.bronze("viewing_logs")),
+    "dq_orphans": lambda t: audits.orphans(
+        t.bronze("customers"), {"tickets": t.bronze("tickets"), "viewing_logs": t.bronze("viewing_logs")}
+    ),
+}
+
+
+def _query(plan: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, folder: rounded(plan(tables(spark, folder)))
+
+
+QUERIES: dict[str, Query] = {name: _query(plan) for name, plan in PLANS.items()}

@@ -59,9 +59,8 @@ def bad_value_counts(bronze: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Export with a header; texts with commas or quotes are quoted."""
-    df.write.mode("overwrite").csv(
-        path, header=True, escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", emptyValue=""
-    )
+    writer = df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    writer.csv(path, header=True, escape='"')
 
 
 def bronze_only(df: DataFrame, table: str) -> DataFrame:
