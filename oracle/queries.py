@@ -462,6 +462,83 @@ query(
     ),
 )
 
+
+
+# KPI cards
+def cards(row: str, texts: dict[str, str]) -> str:
+    return union([f"SELECT '{title}' AS Card, {text} AS Text FROM ({row})" for title, text in texts.items()])
+
+
+def money(column: str, digits: int = 0) -> str:
+    return f"format('${{:,.{digits}f}}', {column})"
+
+
+def whole(column: str) -> str:
+    return f"format('{{:,.0f}}', CAST({column} AS DOUBLE))"
+
+
+def rating(column: str) -> str:
+    return f"format('{{:.2f}}/5.0', {column})"
+
+
+query(
+    "d1_kpi_cards",
+    cards(
+        "SELECT sum(Monthly_Bill) AS bills, avg(Monthly_Bill) AS bill, count(*) AS n, avg(Service_Health_Score) AS health,"
+        " count(*) FILTER (WHERE Payment_Status = 'Paid') AS paid, avg(Customer_Lifetime_Value) AS ltv,"
+        " count(*) FILTER (WHERE Calculated_Churn_Risk = 'High') AS churn FROM gold_billing",
+        {
+            "Total Monthly Revenue": money("bills"),
+            "Annual Revenue (Projected)": money("bills * 12"),
+            "Active Customers": whole("n"),
+            "Avg Monthly Bill": money("bill", 2),
+            "Avg Health Score (0-100)": "format('{:.1f}', health)",
+            "Customers in Good Standing": whole("paid"),
+            "High Churn Risk Count": whole("churn"),
+            "Avg Customer LTV": money("ltv"),
+        },
+    ),
+)
+query(
+    "d2_kpi_cards",
+    cards(
+        content_kpis("gold_content"),
+        {
+            "Total Views": whole("Total_Views"),
+            "Total Engagement Hours": whole("Total_Engagement_Hours"),
+            "Avg Unique Viewers": whole("Avg_Unique_Viewers"),
+            "Avg User Rating": rating("Avg_User_Rating"),
+        },
+    ),
+)
+query(
+    "d3_kpi_cards",
+    cards(
+        "SELECT count(*) AS n, avg(Resolution_Time_Hrs) AS hours, avg(Customer_Satisfaction_Rating) AS rated,"
+        " count(*) FILTER (WHERE Performance_Tier = 'Expert') AS experts FROM gold_operations",
+        {
+            "Total Service Tickets": whole("n"),
+            "Avg Resolution Time (hrs)": "format('{:.1f}', hours)",
+            "Expert Technicians": whole("experts"),
+            "Avg Satisfaction Rating": rating("rated"),
+        },
+    ),
+)
+query(
+    "exec_kpi_cards",
+    cards(
+        "SELECT * FROM (SELECT count(*) AS n, sum(Monthly_Bill) AS bills FROM gold_billing),"
+        " (SELECT avg(Customer_Satisfaction_Rating) AS rated FROM gold_operations),"
+        " (SELECT sum(Total_Views) AS views FROM gold_content)",
+        {
+            "Total Customers": whole("n"),
+            "Monthly Revenue": money("bills"),
+            "Avg Customer Satisfaction": rating("rated"),
+            "Total Content Views": whole("views"),
+        },
+    ),
+)
+
 # data quality
 _columns = {
     "bronze_customers": """Customer_ID Name Email Phone Address City State Zip_Code Subscription_Type Service_Tier

@@ -55,16 +55,20 @@ def engagement_vs_rating(content: DataFrame) -> DataFrame:
 
 
 def layer_reconciliation(bronze_logs: DataFrame, gold_content: DataFrame) -> DataFrame:
-    """Rows, distinct genres and rows per genre of both layers, in long form."""
+    """Rows, distinct genres and rows per genre of both layers, in long form.
+
+    Everything follows from the rows per genre, so each layer is read and shuffled once.
+    """
     parts = []
     for layer, df in (("bronze", bronze_logs), ("gold", gold_content)):
-        totals = df.agg(F.count("*").alias("rows"), F.count_distinct("Program_Genre").alias("genres"))
-        parts.append(totals.select(F.lit(layer).alias("Layer"), F.lit("rows").alias("Item"), F.col("rows").alias("Count")))
-        parts.append(totals.select(F.lit(layer).alias("Layer"), F.lit("genres").alias("Item"), F.col("genres").alias("Count")))
-        frequencies = df.where(F.col("Program_Genre").isNotNull()).groupBy("Program_Genre").agg(F.count("*").alias("Count"))
-        parts.append(
-            frequencies.select(F.lit(layer).alias("Layer"), F.concat(F.lit("genre "), "Program_Genre").alias("Item"), "Count")
+        genres = df.groupBy("Program_Genre").agg(F.count("*").alias("Count"))
+        totals = genres.agg(
+            F.coalesce(F.sum("Count"), F.lit(0)).alias("rows"), F.count("Program_Genre").alias("genres")
+        ).unpivot([], ["rows", "genres"], "Item", "Count")
+        named = genres.where(F.col("Program_Genre").isNotNull()).select(
+            F.concat(F.lit("genre "), "Program_Genre").alias("Item"), "Count"
         )
+        parts += [part.select(F.lit(layer).alias("Layer"), "Item", "Count") for part in (totals, named)]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -1,5 +1,7 @@
 """Whole-layer jobs: bronze in, silver and gold tables out."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,12 +11,30 @@ from viewmart.plans.billing import gold_billing
 from viewmart.plans.content import gold_content
 from viewmart.plans.operations import gold_operations
 from viewmart.plans.silver import silver_customers, silver_logs, silver_tickets
+from viewmart.sources.bronze_csv import bad_value_counts, read_bronze_csv
 from viewmart.sources.layers import read_layer, write_layer
 
 SILVER_TABLES = ["customers", "tickets", "viewing_logs"]
 GOLD_TABLES = ["billing_segmentation", "content_strategy", "network_operations"]
 
 
+def run_bronze(spark: SparkSession, csv_paths: dict[str, str], base: str) -> dict[str, DataFrame]:
+    """Take CSV files in: parse them once and store them typed."""
+    return {
+        table: write_layer(read_bronze_csv(spark, path, table), base, "bronze", table)
+        for table, path in csv_paths.items()
+    }
+
+
+def unreadable_values(bronze: dict[str, DataFrame]) -> DataFrame:
+    """Cells per table and column that did not fit the declared type."""
+    parts = [bad_value_counts(df).select(F.lit(table).alias("Table_Name"), "*") for table, df in bronze.items()]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    return total
+
+
 def run_silver(
     bronze: dict[str, DataFrame], base: str, as_of: date = AS_OF, csv_copy: bool = False
 ) -> dict[str, DataFrame]:
@@ -54,6 +74,22 @@ def run_all(
     return run_gold(spark, base, as_of, csv_copy)
 
 
+def load_gold(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """All gold tables, or an error that names the missing one."""
+    return {table: read_layer(spark, base, "gold", table) for table in GOLD_TABLES}
+
+
+@contextmanager
+def cached(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """Hold tables in the cluster's cache for a batch of dashboard queries."""
+    held = tuple(table.cache() for table in tables)
+    try:
+        yield held
+    finally:
+        for table in held:
+            table.unpersist()
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table with its number of rows."""
     counts = [

@@ -9,6 +9,10 @@ from viewmart.functions import title_case
 from viewmart.operators import existing, impute, keep_first
 
 
+# Columns that ingestion adds; silver tables have the bronze columns only.
+_TECHNICAL = ["ingest_seq", "_bad_columns"]
+
+
 def standardize(df: DataFrame, titled: list[str], upper: list[str]) -> DataFrame:
     """Settle the letter case of the given columns, as far as the table has them."""
     changes: dict[str, Column] = {name: title_case(F.col(name)) for name in existing(df, titled)}
@@ -41,14 +45,14 @@ def silver_customers(bronze: DataFrame, as_of: date = fv.AS_OF, order_by: str =
     """
     clean = as_type(bronze, "date", ["Join_Date", "Contract_End", "Last_Payment_Date"])
     clean = impute(clean, medians=("Monthly_Bill",))
-    clean = keep_first(clean, "Customer_ID", order_by).drop(order_by)
+    clean = keep_first(clean, "Customer_ID", order_by).drop(order_by, *_TECHNICAL)
     clean = standardize(clean, fv.CUSTOMER_TITLE_CASE, fv.CUSTOMER_UPPER_CASE)
     clean = clean.withColumn("Phone", F.coalesce("Phone", F.lit(fv.UNKNOWN_PHONE)))
     return clamp_future(clean, "Join_Date", as_of)
 
 
 def silver_tickets(bronze: DataFrame) -> DataFrame:
-    clean = as_type(bronze, "timestamp_ntz", ["Created_Date", "Resolved_Date"])
+    clean = as_type(bronze.drop(*_TECHNICAL), "timestamp_ntz", ["Created_Date", "Resolved_Date"])
     clean = impute(
         clean,
         means=tuple(existing(clean, ["Signal_Strength_dBm", "Buffering_Events"])),
@@ -61,7 +65,7 @@ def silver_tickets(bronze: DataFrame) -> DataFrame:
 
 
 def silver_logs(bronze: DataFrame) -> DataFrame:
-    clean = as_type(bronze, "timestamp_ntz", ["Timestamp", "Start_Time", "End_Time"])
+    clean = as_type(bronze.drop(*_TECHNICAL), "timestamp_ntz", ["Timestamp", "Start_Time", "End_Time"])
     clean = impute(
         clean,
         means=tuple(existing(clean, ["Buffering_Events"])),

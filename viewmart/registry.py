@@ -12,7 +12,7 @@ from viewmart import fixed_values as fv
 from viewmart.functions import title_case
 from viewmart.operators import impute, keep_first
 from viewmart.plans import (
-    audits, billing, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
+    audits, billing, cards, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
 )
 from viewmart.session import new_folder, settle
 from viewmart.sources import bronze_csv, star_schema
@@ -348,6 +348,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d1_segment_dist": lambda t: dash_billing.segment_dist(t.billing),
     "d1_segment_revenue": lambda t: dash_billing.segment_revenue(t.billing),
     "d1_detail": lambda t: dash_billing.detail(t.billing),
+    "d1_kpi_cards": lambda t: cards.billing(t.billing),
     # dashboard 2: content
     "d2_options": lambda t: dash_content.options(t.content),
     "d2_filtered": lambda t: dash_content.chosen(t.content, ["Click", "Error"], ["Tablet"]),
@@ -364,6 +365,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d2_top_viewed": lambda t: dash_content.top_viewed(t.content),
     "d2_top_rated": lambda t: dash_content.top_rated(t.content),
     "d2_detail": lambda t: dash_content.detail(t.content),
+    "d2_kpi_cards": lambda t: cards.content(t.content),
     # dashboard 3: operations
     "d3_options": lambda t: dash_operations.options(t.operations),
     "d3_filtered": lambda t: dash_operations.chosen(t.operations, ["4K Mini", "Relay"], ["Billing", "Sales"]),
@@ -383,7 +385,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d3_satisfaction_resolution": lambda t: dash_operations.satisfaction_resolution(t.operations),
     "d3_department_perf": lambda t: dash_operations.department_perf(t.operations),
     "d3_detail": lambda t: dash_operations.detail(t.operations),
+    "d3_kpi_cards": lambda t: cards.operations(t.operations),
     # executive summary
+    "exec_kpi_cards": lambda t: cards.overview(t.billing, t.operations, t.content),
     "exec_overview": lambda t: executive.overview(t.billing, t.operations, t.content),
     "exec_revenue_health": lambda t: executive.revenue_health(t.billing),
     "exec_risk": lambda t: executive.risk(t.billing),
