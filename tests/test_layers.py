@@ -1,11 +1,14 @@
 """CSV in, layer tables out."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from viewmart import fixed_values as fv
 from viewmart.plans import audits, dash_billing, medallion
 from viewmart.schemas import bronze_names
+from viewmart.session import scratch, settle, shared_dir
 from viewmart.sources import bronze_csv, layers, star_schema
 
 SMALL = "/root/testdata/sf0.001"
@@ -137,3 +140,19 @@ def test_filters_without_choice_keep_all(spark):
 def test_sum_of_every_distribution_is_the_row_count(spark):
     gold = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "Payment_Status string")
     assert dash_billing.payment_dist(gold).agg(F.sum("Count")).collect()[0][0] == 3
+
+
+def test_scratch_tables_go_when_the_block_ends(spark):
+    kept = settle(spark.range(3), "kept")
+    with scratch(spark):
+        path = settle(spark.range(4), "gone").inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert kept.count() == 3
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert shared_dir(spark) == configured.rstrip("/")
+    assert shared_dir(spark) == shared_dir(spark)

@@ -11,6 +11,7 @@ from viewmart.plans.billing import gold_billing
 from viewmart.plans.content import gold_content
 from viewmart.plans.operations import gold_operations
 from viewmart.plans.silver import silver_customers, silver_logs, silver_tickets
+from viewmart.session import scratch
 from viewmart.sources.bronze_csv import bad_value_counts, read_bronze_csv
 from viewmart.sources.layers import read_layer, write_layer
 
@@ -44,9 +45,11 @@ def run_silver(
         "tickets": silver_tickets,
         "viewing_logs": silver_logs,
     }
-    return {
-        table: write_layer(clean[table](df), base, "silver", table, csv_copy) for table, df in bronze.items()
-    }
+    stored = {}
+    for table, df in bronze.items():
+        with scratch(df.sparkSession):
+            stored[table] = write_layer(clean[table](df), base, "silver", table, csv_copy)
+    return stored
 
 
 def run_gold(
@@ -62,9 +65,11 @@ def run_gold(
         "content_strategy": lambda: gold_content(silver("viewing_logs")),
         "network_operations": lambda: gold_operations(silver("tickets")),
     }
-    return {
-        table: write_layer(build[table](), base, "gold", table, csv_copy) for table in tables or GOLD_TABLES
-    }
+    stored = {}
+    for table in tables or GOLD_TABLES:
+        with scratch(spark):
+            stored[table] = write_layer(build[table](), base, "gold", table, csv_copy)
+    return stored
 
 
 def run_all(
