@@ -27,22 +27,30 @@ def _without_most(df: DataFrame) -> DataFrame:
 # --- aggregates over the logs ------------------------------------------------------------
 
 
+def _with_viewers(measures: DataFrame, logs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add the number of distinct customers per group.
+
+    Pairs of group and customer are made distinct in a shuffle of their own. In one
+    aggregation with the measures, every pair would carry all their buffers along.
+    """
+    pairs = logs.dropna(subset=[*keys, "Customer_ID"]).select(*keys, "Customer_ID").distinct()
+    return measures.join(pairs.groupBy(keys).agg(F.count("*").alias(name)), keys, "left").fillna(0)
+
+
 def content_agg(logs: DataFrame) -> DataFrame:
-    """Views per content cell. The distinct viewers are counted in two steps: pairs of cell
-    and customer first, so neither a hot cell nor a hot viewer lands in one task."""
-    complete = logs.dropna(subset=fv.CONTENT_KEYS)
-    return (
-        complete.groupBy(fv.CONTENT_KEYS)
+    """Views per content cell."""
+    measures = (
+        logs.dropna(subset=fv.CONTENT_KEYS)
+        .groupBy(fv.CONTENT_KEYS)
         .agg(
             F.sum("View_Duration_Mins").alias("Total_View_Duration_Mins"),
             F.avg("View_Duration_Mins").alias("Average_View_Duration_Mins"),
-            F.count_distinct("Customer_ID").alias("Unique_Customer_Count"),
             F.count("Log_ID").alias("Total_Views"),
             any_of(logs, "Buffering_Events", F.avg, fv.DEFAULT_BUFFERING).alias("Avg_Buffering_Events"),
             any_of(logs, "User_Rating", F.avg, fv.DEFAULT_RATING).alias("Avg_User_Rating"),
         )
-        .fillna(0)
     )
+    return _with_viewers(measures, logs, fv.CONTENT_KEYS, "Unique_Customer_Count")
 
 
 def _by(logs: DataFrame, key: str):
@@ -50,6 +58,7 @@ def _by(logs: DataFrame, key: str):
 
 
 def genre_viewers(logs: DataFrame) -> DataFrame:
+    """Only what the strength index and its join need."""
     return _by(logs, "Program_Genre").agg(
         F.count_distinct("Customer_ID").alias("Genre_Total_Viewers"), F.count("Log_ID").alias("Genre_Total_Views")
     )
@@ -57,12 +66,12 @@ def genre_viewers(logs: DataFrame) -> DataFrame:
 
 def genre_performance(logs: DataFrame) -> DataFrame:
     measures = _by(logs, "Program_Genre").agg(
-        F.count_distinct("Customer_ID").alias("Genre_Total_Viewers"),
         F.count("Log_ID").alias("Genre_Total_Views"),
         F.avg("View_Duration_Mins").alias("Genre_Avg_Duration"),
         any_of(logs, "User_Rating", F.avg, fv.DEFAULT_RATING).alias("Genre_Avg_Rating"),
     )
-    return _with_quality(measures, logs, "Program_Genre", "Genre_Peak_Quality")
+    counted = _with_viewers(measures, logs, ["Program_Genre"], "Genre_Total_Viewers")
+    return _with_quality(counted, logs, "Program_Genre", "Genre_Peak_Quality")
 
 
 def device_views(logs: DataFrame) -> DataFrame:
@@ -72,28 +81,23 @@ def device_views(logs: DataFrame) -> DataFrame:
 def device_performance(logs: DataFrame) -> DataFrame:
     measures = _by(logs, "Device_Type").agg(
         F.count("Log_ID").alias("Device_Total_Views"),
-        F.count_distinct("Customer_ID").alias("Device_Unique_Users"),
         F.avg("View_Duration_Mins").alias("Device_Avg_Duration"),
         any_of(logs, "Buffering_Events", F.avg, fv.DEFAULT_BUFFERING).alias("Device_Avg_Buffering"),
     )
-    return _with_quality(measures, logs, "Device_Type", "Device_Preferred_Quality")
+    counted = _with_viewers(measures, logs, ["Device_Type"], "Device_Unique_Users")
+    return _with_quality(counted, logs, "Device_Type", "Device_Preferred_Quality")
 
 
 def _with_quality(measures: DataFrame, logs: DataFrame, key: str, name: str) -> DataFrame:
     joined = measures.join(most_common(logs, key, "Stream_Quality", name), key, "left")
-    return joined.fillna(0).fillna(fv.DEFAULT_QUALITY, subset=[name])
+    return joined.fillna(fv.DEFAULT_QUALITY, subset=[name])
 
 
 def content_type_performance(logs: DataFrame) -> DataFrame:
-    return (
-        _by(logs, "Content_Type")
-        .agg(
-            F.count("Log_ID").alias("ContentType_Views"),
-            F.count_distinct("Customer_ID").alias("ContentType_Unique_Viewers"),
-            F.avg("View_Duration_Mins").alias("ContentType_Avg_Duration"),
-        )
-        .fillna(0)
+    measures = _by(logs, "Content_Type").agg(
+        F.count("Log_ID").alias("ContentType_Views"), F.avg("View_Duration_Mins").alias("ContentType_Avg_Duration")
     )
+    return _with_viewers(measures, logs, ["Content_Type"], "ContentType_Unique_Viewers")
 
 
 def logs_with_content_type(logs: DataFrame) -> DataFrame:
