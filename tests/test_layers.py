@@ -48,6 +48,20 @@ def test_csv_counts_unreadable_cells(spark, tmp_path):
     assert medallion.unreadable_values({"customers": bronze}).count() == 2
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        "Status,Ticket_ID,Customer_ID,Resolution_Time_Hrs,Equipment_Model,Issue_Category,Technician_Assigned,"
+        "Signal_Strength_dBm,Extra\nCLOSED,7,1,5,mini,billing,,-60,x\nopen,8,1,9,mini,billing,joe,NA,NA\n"
+    )
+    bronze = medallion.run_bronze(spark, {"tickets": str(tmp_path / "t.csv")}, str(tmp_path / "lake"))
+    out = medallion.run_silver(bronze, str(tmp_path / "lake"))["tickets"].orderBy("Ticket_ID").collect()
+    assert [(r.Ticket_ID, r.Status, r.Technician_Assigned, r.Signal_Strength_dBm, r.Extra) for r in out] == [
+        (7, "Closed", "Unassigned", -60.0, "x"), (8, "Open", "Joe", -60.0, None),
+    ]
+    gold = medallion.run_gold(spark, str(tmp_path / "lake"), tables=["network_operations"])["network_operations"]
+    assert gold.count() == 2 and "Department" not in gold.columns
+
+
 def test_first_row_in_file_order_survives(spark, tmp_path):
     files = [[line(Name=f"first {i}", Customer_ID=str(i)) for i in range(50)], [line(Name=f"later {i}", Customer_ID=str(i)) for i in range(50)]]
     path = write(tmp_path, *files)

@@ -24,7 +24,7 @@ def _long(df: DataFrame, measures: dict[str, Column], name: str, value: str) ->
 def null_rates(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table, df in tables.items():
-        rates = {name: F.avg(F.col(name).isNull().cast("int")) for name in df.columns}
+        rates = {name: F.expr(f"try_divide(count(*) - count(`{name}`), count(*))") for name in df.columns}
         parts.append(_long(df, rates, "Column_Name", "Null_Rate").select(F.lit(table).alias("Table_Name"), "*"))
     return _stack(parts)
 

@@ -1,15 +1,16 @@
 """Bronze CSV files in, typed tables out."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType
 
 from viewmart.functions import null_tokens_to_null
+from viewmart.operators import existing
 from viewmart.schemas import bronze_names, bronze_schema
 
 _BAD = "_bad_columns"
 
 
-def _typed(text: Column, kind) -> Column:
+def _typed(text: Column, kind: DataType) -> Column:
     text = null_tokens_to_null(text)
     if isinstance(kind, StringType):
         return text
@@ -22,13 +23,15 @@ def _typed(text: Column, kind) -> Column:
 def read_bronze_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The bronze table with declared types, plus two technical columns.
 
+    Columns go by the names in the header: any order will do, optional ones may be missing,
+    and unknown ones stay text. All files of a path must have the same header.
     ``ingest_seq`` orders rows as they stand in the files, across splits. ``_bad_columns``
     names the columns whose text is neither a "no value" token nor of the declared type;
     those cells are NULL.
     """
-    schema = bronze_schema(table)
-    as_text = StructType([StructField(field.name, StringType()) for field in schema])
-    raw = spark.read.schema(as_text).csv(path, header=True, enforceSchema=False, escape='"', multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"', multiLine=False)
+    declared = {field.name: field.dataType for field in bronze_schema(table)}
+    kinds = {name: declared.get(name, StringType()) for name in raw.columns}
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -36,12 +39,12 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     )
     raw = raw.select("*", place.alias("ingest_seq"))
     bad = [
-        F.when(null_tokens_to_null(F.col(field.name)).isNotNull() & _typed(F.col(field.name), field.dataType).isNull(), field.name)
-        for field in schema
-        if not isinstance(field.dataType, StringType)
+        F.when(null_tokens_to_null(F.col(name)).isNotNull() & _typed(F.col(name), kind).isNull(), name)
+        for name, kind in kinds.items()
+        if not isinstance(kind, StringType)
     ]
     return raw.select(
-        *[_typed(F.col(field.name), field.dataType).alias(field.name) for field in schema],
+        *[_typed(F.col(name), kind).alias(name) for name, kind in kinds.items()],
         "ingest_seq",
         F.array_compact(F.array(*bad)).alias(_BAD),
     )
@@ -64,5 +67,5 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def bronze_only(df: DataFrame, table: str) -> DataFrame:
-    """Without the technical columns."""
-    return df.select(bronze_names(table))
+    """The bronze columns the table has, in their usual order."""
+    return df.select(existing(df, bronze_names(table)))
