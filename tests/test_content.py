@@ -98,6 +98,11 @@ def test_top_rows_break_ties_by_key(spark):
     assert dash_content.top_rated(gold.drop("Channel_Name")).columns[0] == "Program_Genre"
 
 
+def test_kpis_of_missing_columns_are_zero(spark):
+    gold = spark.createDataFrame([(3,), (4,)], "Total_Views bigint")
+    assert tuple(dash_content.kpis(gold).collect()[0]) == (7, 0.0, 0.0, 0.0)
+
+
 def test_detail_is_a_repeatable_shuffle(spark):
     rows = [("g", f"c{i:02d}", "d", "q") for i in range(30)]
     gold = spark.createDataFrame(rows, "Program_Genre string, Channel_Name string, Device_Type string, Stream_Quality string")

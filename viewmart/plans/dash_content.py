@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.operators import existing, has, histogram, value_counts, where_in
+from viewmart.operators import any_of, existing, has, histogram, value_counts, where_in
 from viewmart.plans.dash_billing import filter_options
 
 Choice = Sequence[str] | None
@@ -25,10 +25,10 @@ def _label(gold: DataFrame) -> str:
 
 def kpis(gold: DataFrame) -> DataFrame:
     return gold.agg(
-        F.sum("Total_Views").alias("Total_Views"),
-        F.sum("Total_Engagement_Hours").alias("Total_Engagement_Hours"),
-        F.avg("Unique_Customer_Count").alias("Avg_Unique_Viewers"),
-        F.avg("Avg_User_Rating").alias("Avg_User_Rating"),
+        any_of(gold, "Total_Views", F.sum, 0).alias("Total_Views"),
+        any_of(gold, "Total_Engagement_Hours", F.sum, 0.0).alias("Total_Engagement_Hours"),
+        any_of(gold, "Unique_Customer_Count", F.avg, 0.0).alias("Avg_Unique_Viewers"),
+        any_of(gold, "Avg_User_Rating", F.avg, 0.0).alias("Avg_User_Rating"),
     )
 
 
