@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from viewmart.llm import bpe, token_counts
-from viewmart.llm.common import read_table, tokenizer_file
+from viewmart.llm import bpe, decontaminate, language_id, simhash, token_counts
+from viewmart.llm.common import fold, read_table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,34 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_digests(bpe.bpe_decode(bpe.bpe_encode(read_table(spark, folder, "documents"), path), path))
 
 
+def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose fingerprints of three-word shingles link at 3 bits."""
+    return simhash.simhash_dedup(read_table(spark, folder, "documents"), 3, 3).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold four fifths of a benchmark item's template windows; items as text."""
+    documents, benchmark = read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    found = decontaminate.decontaminate(documents, benchmark)
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    documents = read_table(spark, folder, "documents")
+    vocabulary = tokenizer_file("piece_bpe_32k.model")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    languages = language_id.fit_languages(documents.where(~held_out), vocabulary)
+    found = language_id.identify_languages(documents, vocabulary, languages)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_language_id": op7_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.decontaminate_sql()}
