@@ -18,7 +18,7 @@ from viewmart.llm.common import slices, text_bytes, texts_of
 from viewmart.llm.pieces import PieceMemo, split_pieces
 
 #: Distinct pieces whose ids a worker remembers; it starts anew beyond that.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 600_000
 NEVER = np.int64(1) << 40
 
 
@@ -214,11 +214,12 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
     return kept.mapInArrow(decode, schema)
 
 
-def bpe_digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from (doc_id, ids, decoded)."""
+def bpe_digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ``more`` from (doc_id, ids, decoded)."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -5,27 +5,58 @@ further columns, whatever their names, never reach it.
 """
 
 import os
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from viewmart.session import new_folder, settle
-
-__all__ = ["fold", "new_folder", "read_table", "settle", "slices", "text_bytes", "texts_of"]
+from viewmart.session import new_folder, settle  # noqa: F401
 
 #: Text that a task holds as Python objects or numpy work arrays at once.
 SLICE_BYTES = 4 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Gives the package to Python workers, unless their path holds it already."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    paths = [Path(path or ".").resolve() for path in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]]
+    if root in paths or root.suffix == ".zip" or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    with tempfile.TemporaryDirectory() as folder:  # read by the driver alone, which serves the copy
+        context.addPyFile(shutil.make_archive(f"{folder}/viewmart", "zip", root, "viewmart"))
+
+
 def read_table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with NULL text read as empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) with NULL text read as empty, and carried columns under numbered names."""
+    ship(docs.sparkSession)
+    carried = [F.col(name).alias(f"carried_{i}") for i, name in enumerate(carry)]
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
+
+
+def schema_of(table: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{name}` {table.schema[name].dataType.simpleString()}" for name in names)
+
+
+def carried_names(carry: tuple[str, ...]) -> list[str]:
+    return [f"carried_{i}" for i in range(len(carry))]
+
+
+def with_own_names(table: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Carried columns last and under their own names, in place of others that are called so."""
+    kept = [F.col(name) for name in table.columns if name not in carry and not name.startswith("carried_")]
+    return table.select(*kept, *[F.col(f"carried_{i}").alias(name) for i, name in enumerate(carry)])
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from viewmart.llm.common import slices, text_bytes, texts_of
+from viewmart.llm.common import carried_names, schema_of, slices, text_bytes, texts_of, with_own_names
 from viewmart.llm.pieces import PieceMemo, split_pieces, sum_by_text
 
 WORD = regex.compile(r"\p{L}+")
@@ -187,9 +187,14 @@ def fit_languages(
 
 
 def identify_languages(
-    docs: DataFrame, vocabulary_path: str, languages: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary_path: str,
+    languages: dict[str, np.ndarray],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row.
+    """(doc_id, lang_pred, score) for every row, and the columns of ``docs`` that ``carry`` names.
 
     ``score`` is the posterior probability of ``lang_pred`` when all languages are equally
     likely beforehand; of equal ones the first by name is taken. NULL text, text without a
@@ -199,7 +204,7 @@ def identify_languages(
     names = list(languages)
     model = np.array([languages[name] for name in names]) if names else np.zeros((0, 0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages
-    texts = texts_of(docs, id_col, text_col)
+    texts, passed = texts_of(docs, id_col, text_col, carry), ["doc_id", *carried_names(carry)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(_lattice(vocabulary_path), shared.value)
@@ -214,8 +219,8 @@ def identify_languages(
                 else:
                     best, sure, known = np.zeros(len(values), int), np.zeros(len(values)), np.zeros(len(values), bool)
                 pred = [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.where(known, sure, 0.0))], ["doc_id", "lang_pred", "score"]
-                )
+                found = [pa.array(pred, pa.string()), pa.array(np.where(known, sure, 0.0))]
+                yield pa.RecordBatch.from_arrays([*map(part.column, passed), *found], [*passed, "lang_pred", "score"])
 
-    return texts.mapInArrow(score, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    scored = texts.mapInArrow(score, schema_of(texts, passed) + ", lang_pred string, score double")
+    return with_own_names(scored, carry)

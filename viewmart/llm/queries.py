@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from viewmart.llm import bpe, decontaminate, language_id, simhash, token_counts
+from viewmart.llm import bpe, decontaminate, language_id, simhash, suffix_dedup, token_counts
 from viewmart.llm.common import fold, read_table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,18 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that an earlier one holds."""
+    return suffix_dedup.suffix_digests(suffix_dedup.suffix_dedup(read_table(spark, folder, "documents"), 50))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_language_id": op7_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.decontaminate_sql()}
