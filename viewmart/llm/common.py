@@ -4,6 +4,7 @@ Every operator takes a DataFrame with an id column and a text column and selects
 further columns, whatever their names, never reach it.
 """
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -30,8 +31,9 @@ def ship(spark) -> None:
     if root in paths or root.suffix == ".zip" or context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    with tempfile.TemporaryDirectory() as folder:  # read by the driver alone, which serves the copy
-        context.addPyFile(shutil.make_archive(f"{folder}/viewmart", "zip", root, "viewmart"))
+    folder = tempfile.mkdtemp(prefix="viewmart-")  # read by the driver alone, which serves the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/viewmart", "zip", root, "viewmart"))
 
 
 def read_table(spark, folder: str, name: str) -> DataFrame:

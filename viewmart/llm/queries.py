@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from viewmart.llm import bpe, decontaminate, language_id, simhash, suffix_dedup, token_counts
+from viewmart.llm import (
+    bpe, decontaminate, embedding_dedup, language_id, quality, simhash, suffix_dedup, token_counts, toxicity,
+)
 from viewmart.llm.common import fold, read_table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,11 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_digests(bpe.bpe_decode(bpe.bpe_encode(read_table(spark, folder, "documents"), path), path))
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of vectors of one label that link at a cosine of 0.93."""
+    return embedding_dedup.embedding_dedup(read_table(spark, folder, "embeddings"), 0.93)
+
+
 def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of documents whose fingerprints of three-word shingles link at 3 bits."""
     return simhash.simhash_dedup(read_table(spark, folder, "documents"), 3, 3).select("doc_id", "fingerprint", "component_id")
@@ -34,6 +41,13 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the labelled ones."""
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = toxicity.classify_toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     documents = read_table(spark, folder, "documents")
@@ -49,13 +63,23 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_digests(suffix_dedup.suffix_dedup(read_table(spark, folder, "documents"), 50))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from two thirds of the labelled ones."""
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = quality.classify_quality(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.decontaminate_sql()}
