@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viewmart.llm import (
-    bpe, decontaminate, embedding_dedup, language_id, quality, simhash, suffix_dedup, token_counts, toxicity,
+    bpe, decontaminate, embedding_dedup, language_id, lm, quality, simhash, suffix_dedup, token_counts, toxicity,
 )
 from viewmart.llm.common import fold, read_table, tokenizer_file
 
@@ -58,6 +58,13 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Suffix-tree and unigram scores of every document, learned from four fifths of them."""
+    held_out = fold(F.col("doc_id"), 5) == 1
+    found = lm.lm_scores(read_table(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the strings of 50 bytes that an earlier one holds."""
     return suffix_dedup.suffix_digests(suffix_dedup.suffix_dedup(read_table(spark, folder, "documents"), 50))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_lm_scores": op8_lm_scores,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
