@@ -10,7 +10,7 @@ import os
 import statistics
 import time
 
-from viewmart.registry import QUERIES
+from fixtures.registry import QUERIES
 from viewmart.session import local_session
 
 HEADLINE = [

@@ -1,13 +1,14 @@
 """Every query by name: ``query(spark, folder) -> DataFrame`` over the star-schema tables.
 
-Bronze, silver and gold tables are stored once per session and folder, as a medallion
-deployment stores them; queries on a layer read the stored tables below it.
+Silver and gold tables are stored once per session and folder, as a medallion deployment
+stores them; queries on a layer read the stored tables below it.
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fixtures import star_schema
 from viewmart import fixed_values as fv
 from viewmart.functions import title_case
 from viewmart.operators import impute, keep_first
@@ -15,7 +16,7 @@ from viewmart.plans import (
     audits, billing, cards, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
 )
 from viewmart.session import new_folder, settle
-from viewmart.sources import bronze_csv, star_schema
+from viewmart.sources import bronze_csv
 from viewmart.sources.layers import read_layer, write_layer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +35,8 @@ class Tables:
         return self._stored[label]
 
     def bronze(self, table: str) -> DataFrame:
-        return self._store(f"bronze-{table}", lambda: star_schema.BRONZE[table](self.spark, self.folder))
+        """A plan over the given tables, so that a query reads the columns it needs and no more."""
+        return star_schema.BRONZE[table](self.spark, self.folder)
 
     def all_bronze(self) -> dict[str, DataFrame]:
         return {table: self.bronze(table) for table in medallion.SILVER_TABLES}
@@ -117,27 +119,42 @@ def _write_layer(t: Tables) -> DataFrame:
     for table, df in t.all_bronze().items():
         write_layer(df, base, "bronze", table, csv_copy=True)
     stored = {table: read_layer(t.spark, base, "bronze", table) for table in medallion.SILVER_TABLES}
-    return medallion.row_counts(stored)
+    return medallion.contents(stored)
 
 
 def _layer_silver(t: Tables) -> DataFrame:
-    return medallion.row_counts(medallion.run_silver(t.all_bronze(), new_folder(t.spark, "layer-silver")))
+    return medallion.contents(medallion.run_silver(t.all_bronze(), new_folder(t.spark, "layer-silver")))
 
 
 def _layer_gold(t: Tables) -> DataFrame:
     base = new_folder(t.spark, "layer-gold")
     for table, df in (("customers", t.customers), ("tickets", t.tickets), ("viewing_logs", t.logs)):
         write_layer(df, base, "silver", table)
-    return medallion.row_counts(medallion.run_gold(t.spark, base))
+    return medallion.contents(medallion.run_gold(t.spark, base))
 
 
 def _layer_all(t: Tables) -> DataFrame:
-    return medallion.row_counts(medallion.run_all(t.spark, t.all_bronze(), new_folder(t.spark, "layer-all")))
+    return medallion.contents(medallion.run_all(t.spark, t.all_bronze(), new_folder(t.spark, "layer-all")))
 
 
 # --- single rules ------------------------------------------------------------------------
 
 
+#: Cells that a feed may hold where a number is declared: fine, infinite, with a decimal comma, a word.
+_ODD_BILLS = {3: "inf", 5: "12,5", 7: "unknown value"}
+
+
+def _unreadable(t: Tables) -> DataFrame:
+    """Count what cannot be read in an export of customers in which some bills are not numbers."""
+    customers = bronze_csv.bronze_only(t.bronze("customers"), "customers")
+    bill = F.col("Monthly_Bill").cast("string")
+    for rest, cell in _ODD_BILLS.items():
+        bill = F.when(F.col("Customer_ID") % 11 == rest, cell).otherwise(bill)
+    path = new_folder(t.spark, "csv-odd")
+    bronze_csv.write_csv(customers.withColumn("Monthly_Bill", bill), path)
+    return medallion.unreadable_values({"customers": bronze_csv.read_bronze_csv(t.spark, path, "customers", multi_line=True)})
+
+
 def _title_case(t: Tables) -> DataFrame:
     bronze = t.bronze("tickets")
     titled = [title_case(F.col(name)).alias(f"{name}_Title") for name in fv.TICKET_TITLE_CASE]
@@ -221,6 +238,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_customers": _scan("customers"),
     "scan_tickets": _scan("tickets"),
     "scan_logs": _scan("viewing_logs"),
+    "unreadable_values": _unreadable,
     "write_layer": _write_layer,
     "layer_silver": _layer_silver,
     "layer_gold": _layer_gold,
@@ -372,6 +390,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d3_filtered_department_perf": lambda t: dash_operations.department_perf(
         dash_operations.chosen(t.operations, ["4K Mini", "Relay"], ["Billing", "Sales"])
     ),
+    "d3_filtered_null": lambda t: dash_operations.chosen(t.operations, departments=[None, "Billing"]),
     "d3_kpis": lambda t: dash_operations.kpis(t.operations),
     "d3_resolution_hist": lambda t: dash_operations.resolution_hist(t.operations),
     "d3_efficiency_dist": lambda t: dash_operations.efficiency_dist(t.operations),

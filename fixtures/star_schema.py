@@ -39,8 +39,8 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
     base = (
         _table(spark, folder, "customer")
-        .join(_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
         .withColumn("copy", F.explode(copies))
     )
     columns = {
@@ -76,12 +76,14 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     }
     return base.select(
         *[columns[name].alias(name) for name in bronze_names("customers")],
-        (ck + F.when(second, 100_000_000).otherwise(0)).alias("ingest_seq"),
+        (ck * 2 + F.col("copy")).alias("ingest_seq"),
     )
 
 
 def tickets(spark: SparkSession, folder: str) -> DataFrame:
-    ok, oc = F.col("o_orderkey"), F.col("o_custkey")
+    # Every order is a ticket; a fifth of the customers hand theirs to the next one and have none.
+    ok, custkey = F.col("o_orderkey"), F.col("o_custkey")
+    oc = F.when(custkey % 5 == 0, custkey + 1).otherwise(custkey)
     person = (ok * 7) % 300
     level = F.substring("o_orderpriority", 1, 1)
     rated = (
@@ -95,7 +97,7 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     cost = F.when(person < 60, oc % 20).when(person < 120, oc % 150).otherwise((oc * 23) % 500)
     columns = {
         "Ticket_ID": ok,
-        "Customer_ID": F.when(ok % 211 == 5, oc + 900_000_000).otherwise(oc),
+        "Customer_ID": F.when(ok % 211 == 5, -oc).otherwise(oc),
         "Equipment_Model": _pick(ok % 7, "gateway 3", "MINI", "relay", "4K Mini", "Outdoor Antenna"),
         "Issue_Category": _pick(oc % 4, "signal loss", "HARDWARE failure", "Billing", "remote pairing"),
         "Priority_Level": F.when(level == "1", "Critical")
@@ -125,7 +127,6 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     }
     return (
         _table(spark, folder, "orders")
-        .where((oc % 5 != 0) & ((ok % 3 == 0) | (oc % 25 == 1)))
         .select(*[columns[name].alias(name) for name in bronze_names("tickets")])
     )
 
@@ -142,7 +143,7 @@ def viewing_logs(spark: SparkSession, folder: str) -> DataFrame:
     )
     columns = {
         "Log_ID": e,
-        "Customer_ID": F.when(e % 307 == 11, u + 900_000_000).otherwise(u),
+        "Customer_ID": F.when(e % 307 == 11, -u).otherwise(u),
         "Channel_Name": F.concat(F.lit("ch "), F.when(error, k % 20).otherwise(k % 8)),
         "Program_Genre": F.col("event_type"),
         "Device_Type": _pick(u % 3, "Smart TV", "Set-top Box", "Tablet"),

@@ -49,11 +49,29 @@ def union(parts: list[str]) -> str:
 # sources, sinks, layer jobs
 query("scan_customers", "SELECT * EXCLUDE (ingest_seq) FROM bronze_customers", "Monthly_Bill Customer_Lifetime_Value")
 query("scan_tickets", "SELECT * FROM bronze_tickets", "Signal_Strength_dBm Customer_Satisfaction_Rating Cost_Of_Resolution")
+query(
+    "unreadable_values",
+    "SELECT 'customers' AS Table_Name, 'Monthly_Bill' AS Column_Name, count(*) AS Bad_Values FROM bronze_customers"
+    " WHERE Customer_ID % 11 IN (5, 7) HAVING count(*) > 0",
+)
 query("scan_logs", "SELECT * FROM bronze_logs", "Buffering_Events User_Rating")
 
 
-def row_counts(pairs: list[tuple[str, str]]) -> str:
-    return union([f"SELECT '{name}' AS Table_Name, count(*) AS Row_Count FROM {table}" for name, table in pairs])
+def contents(pairs: list[tuple[str, str]]) -> str:
+    """Rows, values and an order-free checksum of every column of each table."""
+    every = "COLUMNS('(.*)')"
+    text = (
+        f"CASE WHEN typeof({every}) = 'DOUBLE' THEN CAST(CAST(round(TRY_CAST(CAST({every} AS VARCHAR) AS DOUBLE) * 1e4) AS HUGEINT)"
+        f" AS VARCHAR) ELSE CAST({every} AS VARCHAR) END AS \"\\1\""
+    )
+    return union(
+        [
+            f"SELECT '{name}' AS Table_Name, column_name AS Column_Name, count(*) AS Row_Count, count(v) AS Non_Null,"
+            " CAST(coalesce(sum(CAST('0x' || substr(md5(v), 1, 8) AS BIGINT)), 0) AS BIGINT) AS Checksum"
+            f" FROM (SELECT {text} FROM {table}) UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(*))) GROUP BY 2"
+            for name, table in pairs
+        ]
+    )
 
 
 GOLD = [
@@ -61,10 +79,10 @@ GOLD = [
     ("content_strategy", "gold_content"),
     ("network_operations", "gold_operations"),
 ]
-query("write_layer", row_counts([("customers", "bronze_customers"), ("tickets", "bronze_tickets"), ("viewing_logs", "bronze_logs")]))
-query("layer_silver", row_counts([("customers", "silver_customers"), ("tickets", "silver_tickets"), ("viewing_logs", "silver_logs")]))
-query("layer_gold", row_counts(GOLD))
-query("layer_all", row_counts(GOLD))
+query("write_layer", contents([("customers", "(SELECT * EXCLUDE (ingest_seq) FROM bronze_customers)"), ("tickets", "bronze_tickets"), ("viewing_logs", "bronze_logs")]))
+query("layer_silver", contents([("customers", "silver_customers"), ("tickets", "silver_tickets"), ("viewing_logs", "silver_logs")]))
+query("layer_gold", contents(GOLD))
+query("layer_all", contents(GOLD))
 
 # cleaning rules
 _titled = ["Status", "Equipment_Model", "Issue_Category", "Department", "Technician_Assigned"]
@@ -376,6 +394,7 @@ UNPIVOT (Value FOR Measure IN (Avg_Resolution_Hrs, Avg_Satisfaction, Avg_Perform
 
 query("d3_options", options("gold_operations", "Equipment_Model", "Department"))
 query("d3_filtered", f"SELECT * FROM {D3}", OPERATIONS_FRACTIONS)
+query("d3_filtered_null", "SELECT * FROM gold_operations WHERE Department IS NULL OR Department = 'Billing'", OPERATIONS_FRACTIONS)
 query("d3_filtered_department_perf", departments(D3), "Value")
 query(
     "d3_kpis",

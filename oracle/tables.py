@@ -53,21 +53,21 @@ SELECT c_custkey AS Customer_ID,
   c_custkey % 2 = 0 AS Has_Outdoor_Dish, c_custkey % 3 = 0 AS Auto_Pay_Enabled,
   c_custkey % 4 = 0 AS Paperless_Billing,
   DATE '2026-03-13' - CAST((c_custkey * 11) % 90 AS INTEGER) AS Last_Payment_Date,
-  c_custkey + CASE WHEN copy = 1 THEN 100000000 ELSE 0 END AS ingest_seq
+  c_custkey * 2 + copy AS ingest_seq
 FROM (
   SELECT *, CASE WHEN c_custkey % 20 = 7 THEN NULL
       WHEN c_custkey % 240 = 3 THEN (500000 + cents // 5) / 100e0
       ELSE (5000 + cents // 50) / 100e0 END AS bill
   FROM (
     SELECT customer.*, n_name, r_name, copy, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS cents
-    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
     CROSS JOIN (VALUES (0), (1)) copies(copy)
     WHERE copy = 0 OR c_custkey % 50 = 0))
 """
 
 CTES["bronze_tickets"] = """
 SELECT o_orderkey AS Ticket_ID,
-  CASE WHEN o_orderkey % 211 = 5 THEN o_custkey + 900000000 ELSE o_custkey END AS Customer_ID,
+  CASE WHEN o_orderkey % 211 = 5 THEN -o_custkey ELSE o_custkey END AS Customer_ID,
   CASE o_orderkey % 7 WHEN 0 THEN 'gateway 3' WHEN 1 THEN 'MINI' WHEN 2 THEN 'relay' WHEN 3 THEN '4K Mini'
     ELSE 'Outdoor Antenna' END AS Equipment_Model,
   CASE o_custkey % 4 WHEN 0 THEN 'signal loss' WHEN 1 THEN 'HARDWARE failure' WHEN 2 THEN 'Billing'
@@ -96,13 +96,15 @@ SELECT o_orderkey AS Ticket_ID,
   CAST(CASE WHEN person < 60 THEN o_custkey % 20 WHEN person < 120 THEN o_custkey % 150
     ELSE (o_custkey * 23) % 500 END AS DOUBLE) AS Cost_Of_Resolution,
   o_orderkey % 4 = 0 AS Parts_Replaced
-FROM (SELECT *, (o_orderkey * 7) % 300 AS person FROM orders)
-WHERE o_custkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_custkey % 25 = 1)
+FROM (
+  SELECT * REPLACE (CASE WHEN o_custkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey),
+    (o_orderkey * 7) % 300 AS person
+  FROM orders)
 """
 
 CTES["bronze_logs"] = """
 SELECT event_id AS Log_ID,
-  CASE WHEN event_id % 307 = 11 THEN user_id + 900000000 ELSE user_id END AS Customer_ID,
+  CASE WHEN event_id % 307 = 11 THEN -user_id ELSE user_id END AS Customer_ID,
   'ch ' || CASE WHEN event_type = 'error' THEN k % 20 ELSE k % 8 END AS Channel_Name,
   event_type AS Program_Genre,
   ['Smart TV', 'Set-top Box', 'Tablet'][CAST(user_id % 3 + 1 AS INTEGER)] AS Device_Type,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from viewmart import fixed_values as fv
 from viewmart.plans import billing, silver
 from viewmart.schemas import bronze_schema
-from viewmart.sources import star_schema
+from fixtures import star_schema
 
 AS_OF = date(2026, 3, 13)
 BASE = dict(

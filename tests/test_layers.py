@@ -9,7 +9,8 @@ from viewmart import fixed_values as fv
 from viewmart.plans import audits, dash_billing, medallion
 from viewmart.schemas import bronze_names
 from viewmart.session import scratch, settle, shared_dir
-from viewmart.sources import bronze_csv, layers, star_schema
+from fixtures import star_schema
+from viewmart.sources import bronze_csv, layers
 
 SMALL = "/root/testdata/sf0.001"
 HEADER = ",".join(name for name, _ in fv.CUSTOMER_COLUMNS)
@@ -170,3 +171,59 @@ def test_shared_folder_comes_from_the_session(spark):
     if configured:
         assert shared_dir(spark) == configured.rstrip("/")
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_broken_records_and_odd_cells_are_counted(spark, tmp_path):
+    """A quoted line break survives where allowed, and is counted as broken records where not."""
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    rows = ["Customer_ID,Name,Monthly_Bill", '1,"two\nlines",10.5', "2,plain,inf", '3,comma,"12,5"', "4,short", "5,fine,7.25"]
+    (folder / "a.csv").write_text("\n".join(rows) + "\n")
+    whole = bronze_csv.read_bronze_csv(spark, str(folder), "customers", multi_line=True)
+    stored = layers.write_layer(whole, str(tmp_path), "bronze", "customers")
+    assert {r.Customer_ID: r.Monthly_Bill for r in stored.collect()} == {1: 10.5, 2: float("inf"), 3: None, 4: None, 5: 7.25}
+    assert stored.where("Customer_ID = 1").first().Name == "two\nlines"
+    counts = {r.Column_Name: r.Bad_Values for r in bronze_csv.bad_value_counts(stored).collect()}
+    assert counts == {"Monthly_Bill": 1, bronze_csv.RECORD: 1}
+    split = layers.write_layer(bronze_csv.read_bronze_csv(spark, str(folder), "customers"), str(tmp_path), "bronze", "split")
+    assert {r.Column_Name: r.Bad_Values for r in bronze_csv.bad_value_counts(split).collect()}[bronze_csv.RECORD] >= 2
+    found = medallion.run_unreadable({"customers": stored}, str(tmp_path))
+    assert {(r.Table_Name, r.Column_Name, r.Bad_Values) for r in found.collect()} == {
+        ("customers", "Monthly_Bill", 1), ("customers", bronze_csv.RECORD, 1)
+    }
+    with pytest.raises(ValueError, match="could not be read"):
+        medallion.run_unreadable({"customers": stored}, str(tmp_path), limit=1)
+
+
+def test_contents_see_a_changed_value(spark):
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, 2.5)], "i int, s string, x double")
+    base = {tuple(r) for r in medallion.contents({"t": df}).collect()}
+    assert {r[1:4] for r in base} == {("i", 2, 2), ("s", 2, 1), ("x", 2, 2)}
+    assert base == {tuple(r) for r in medallion.contents({"t": df.orderBy("x", ascending=False)}).collect()}
+    other = {tuple(r) for r in medallion.contents({"t": df.withColumn("x", F.col("x") + 1)}).collect()}
+    assert {r for r in base if r[1] != "x"} == {r for r in other if r[1] != "x"} and base != other
+
+
+def test_folders_outside_scratch_go_with_the_program(spark):
+    from viewmart import session
+
+    path = settle(spark.range(2), "program").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and any(made in path for _, made in session._program)
+
+
+def test_scratch_blocks_of_threads_are_apart(spark):
+    from threading import Thread
+
+    paths = {}
+
+    def job(name, inner):
+        with scratch(spark):
+            paths[name] = settle(spark.range(3), name).inputFiles()[0].removeprefix("file://")
+            inner()
+
+    with scratch(spark):
+        kept = settle(spark.range(3), "outer").inputFiles()[0].removeprefix("file://")
+        thread = Thread(target=job, args=("thread", lambda: None))
+        thread.start()
+        thread.join()
+        assert os.path.exists(kept) and not os.path.exists(paths["thread"])

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from oracle import ORACLES
-from viewmart.registry import QUERIES
+from fixtures.registry import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SMALL = "/root/testdata/sf0.001"

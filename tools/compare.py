@@ -14,7 +14,7 @@ import duckdb  # noqa: E402
 import pandas as pd  # noqa: E402
 
 from oracle import ORACLES  # noqa: E402
-from viewmart.registry import QUERIES  # noqa: E402
+from fixtures.registry import QUERIES  # noqa: E402
 from viewmart.session import local_session  # noqa: E402
 
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels

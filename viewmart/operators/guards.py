@@ -23,9 +23,17 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def where_in(df: DataFrame, **choices: Sequence | None) -> DataFrame:
-    """Keep rows whose column is among the chosen values; no choice means no filter."""
+def where_in(df: DataFrame, optional: Sequence[str] = (), **choices: Sequence | None) -> DataFrame:
+    """Keep rows whose column is among the chosen values; no choice means no filter.
+
+    None among the values chooses NULL. A choice on a column that the table lacks is an error,
+    unless the column is ``optional``.
+    """
     for name, values in choices.items():
-        if values and has(df, name):
-            df = df.where(F.col(name).isin(list(values)))
+        if not values or (name in optional and not has(df, name)):
+            continue
+        if not has(df, name):
+            raise ValueError(f"there is no column {name} to choose from")
+        wanted = F.col(name).isin([value for value in values if value is not None])
+        df = df.where(wanted | F.col(name).isNull() if None in values else wanted)
     return df

@@ -1,32 +1,14 @@
 """Left join of a large table to a per-key lookup table."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 100_000
 
-
-def attach_lookup(
-    facts: DataFrame, lookup: DataFrame, key: str, weight: str, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def attach_lookup(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Add the columns of ``lookup`` (one row per key) to ``facts``; no match gives NULL.
 
-    ``lookup`` comes from a settled table, so counting it is cheap, and ``weight`` is the
-    number of fact rows its key has. A lookup of at most ``broadcast_rows`` rows is broadcast
-    and the facts stay where they are. In a larger one the ``broadcast_rows`` heaviest keys
-    are broadcast; every other key then has less than 1/``broadcast_rows`` of the facts, so
-    the remaining facts can be shuffled by key without a hot partition.
+    A plain left join at every size. ``lookup`` comes from a settled table, so Spark knows its
+    true size and broadcasts it when small; otherwise the adaptive join splits hot keys of the
+    facts. A NULL key matches nothing.
     """
-    columns = [name for name in lookup.columns if name != weight]
-    if lookup.count() <= broadcast_rows:
-        return facts.join(F.broadcast(lookup.select(columns)), key, "left").select(*facts.columns, *columns[1:])
-
-    heavy = lookup.orderBy(F.desc(weight), key).limit(broadcast_rows)
-    marked = F.broadcast(heavy.select(*columns, F.lit(True).alias("_heavy")))
-    near = facts.join(marked, key, "left").where(F.col(key).isNull() | F.col("_heavy")).drop("_heavy")
-    far = (
-        facts.where(F.col(key).isNotNull())
-        .join(F.broadcast(heavy.select(key)), key, "left_anti")
-        .join(lookup.select(columns), key, "left")
-    )
-    order = [*facts.columns, *columns[1:]]
-    return near.select(order).unionByName(far.select(order))
+    columns = [name for name in lookup.columns if name != key]
+    return facts.join(lookup, key, "left").select(*facts.columns, *columns)

@@ -1,10 +1,11 @@
-"""Exact quantiles of a column of any size.
+"""Exact quantiles of a column, found the same way at every size.
 
-``percentile`` gathers every distinct value in one task, so it only serves tables of a checked
-number of rows. Beyond that the wanted ranks are narrowed down in three counting passes, each
-a map-side combined ``groupBy`` with a bounded number of groups:
+``percentile`` gathers every distinct value in one task. Here the wanted ranks are narrowed
+down in three counting passes, each a map-side combined ``groupBy`` with a bounded number of
+groups:
 
-1. logarithmic cells over the whole number line (at most 1.6 million, a few thousand in use),
+1. logarithmic cells over the whole number line (at most 1.6 million, a few thousand in use;
+   either infinity has a cell of its own),
 2. 2**20 even slices of the cells that hold a wanted rank,
 3. the distinct values of the slices that hold one (a slice spans so little that fewer than
    2**24 distinct doubles fit).
@@ -14,17 +15,15 @@ Both codes only ever grow with the value, so counting groups in order gives exac
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from viewmart.session import settle
-
 _CELLS_PER_E = 1024
 _CELL_OFFSET = 800_000  # ln of the smallest double is -745; keeps codes of |v| above zero
 _SLICES = 1 << 20
-
-DIRECT_ROWS = 1_000_000
+_INFINITE = 2_000_000
 
 
 def _cell(value: Column) -> Column:
-    size = F.floor(F.log(F.abs(value)) * _CELLS_PER_E).cast("long") + _CELL_OFFSET
+    finite = F.floor(F.log(F.abs(value)) * _CELLS_PER_E).cast("long") + _CELL_OFFSET
+    size = F.when(F.abs(value) == float("inf"), F.lit(_INFINITE).cast("long")).otherwise(finite)
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
@@ -35,7 +34,7 @@ def _cell_limits(cell: Column) -> tuple[Column, Column]:
 
 def _slice() -> Column:
     depth = F.try_divide(F.abs("value") - F.col("low"), F.col("high") - F.col("low"))
-    place = F.floor(F.coalesce(depth, F.lit(0.0)) * _SLICES)
+    place = F.when(F.abs("cell") == _INFINITE, 0).otherwise(F.floor(F.coalesce(depth, F.lit(0.0)) * _SLICES))
     return F.when(F.col("value") > 0, place).when(F.col("value") < 0, -place).otherwise(0).cast("long")
 
 
@@ -52,23 +51,14 @@ def _narrow(groups: DataFrame, wanted: DataFrame, known: list[str], code: str) -
     )
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, fractions: dict[str, float], direct_rows: int = DIRECT_ROWS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, fractions: dict[str, float]) -> DataFrame:
     """One row with an exact, linearly interpolated quantile per entry of ``fractions``.
 
-    NULLs are skipped; the quantiles of no values are NULL. ``df`` should be a stored table:
-    its rows are counted first (from file footers) and its column is read up to three times.
+    NULL and NaN are skipped; the quantiles of no values are NULL. The column is read three
+    times, by one plan: what a pass has found is broadcast to the next (two ranks a fraction).
     """
     values = df.select(F.col(column).cast("double").alias("value"))
-    values = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    if df.count() <= direct_rows:
-        return values.agg(*[F.percentile("value", fraction).alias(name) for name, fraction in fractions.items()])
-    return _by_counting(values.withColumn("cell", _cell(F.col("value"))), fractions)
-
-
-def _by_counting(values: DataFrame, fractions: dict[str, float]) -> DataFrame:
-    """The three passes; the wanted ranks (two per fraction) are settled between them."""
+    values = values.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("cell", _cell(F.col("value")))
     # The windows without a key run over the cell counts only, never over the rows.
     cells = values.groupBy("cell").agg(F.count("*").alias("n")).withColumns(
         {
@@ -93,12 +83,10 @@ def _by_counting(values: DataFrame, fractions: dict[str, float]) -> DataFrame:
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
         .select("want", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "cell")
     )
-    in_cells = settle(in_cells, "quantile-cells")
-
     low, high = _cell_limits(F.col("cell"))
     targets = in_cells.select("cell").distinct().select("cell", low.alias("low"), high.alias("high"))
     sliced = values.join(F.broadcast(targets), "cell").select("value", "cell", _slice().alias("slice"))
-    in_slices = settle(_narrow(sliced, in_cells, ["cell"], "slice"), "quantile-slices")
+    in_slices = _narrow(sliced, in_cells, ["cell"], "slice")
 
     held = F.broadcast(in_slices.select("cell", "slice").distinct())
     found = _narrow(sliced.join(held, ["cell", "slice"], "left_semi"), in_slices, ["cell", "slice"], "value")
@@ -109,5 +97,6 @@ def _by_counting(values: DataFrame, fractions: dict[str, float]) -> DataFrame:
     picked = []
     for i, name in enumerate(fractions):
         low, high, part = pick(2 * i, "value"), pick(2 * i + 1, "value"), pick(2 * i, "part")
-        picked.append((low + (high - low) * part).alias(name))
+        between = (F.lit(1.0) - part) * low + part * high
+        picked.append(F.when(low == high, low).otherwise(between).alias(name))
     return found.agg(*picked)

@@ -12,9 +12,8 @@ def _cards(row: DataFrame, cards: dict[str, Column]) -> DataFrame:
 
 
 def billing(gold: DataFrame) -> DataFrame:
-    row = dash_billing.financial_kpis(gold).crossJoin(dash_billing.health_kpis(gold))
     return _cards(
-        row,
+        dash_billing.all_kpis(gold),
         {
             "Total Monthly Revenue": money_text(F.col("Total_Monthly_Revenue")),
             "Annual Revenue (Projected)": money_text(F.col("Annual_Revenue")),

@@ -101,9 +101,7 @@ def content_type_performance(logs: DataFrame) -> DataFrame:
 
 
 def logs_with_content_type(logs: DataFrame) -> DataFrame:
-    lookup = settle(content_type_performance(logs), "content-types")
-    lookup = lookup.withColumn("_weight", F.col("ContentType_Views"))
-    return attach_lookup(logs, lookup, "Content_Type", weight="_weight")
+    return attach_lookup(logs, settle(content_type_performance(logs), "content-types"), "Content_Type")
 
 
 def quality_analysis(logs: DataFrame) -> DataFrame:
@@ -203,14 +201,14 @@ def device_adoption(views: DataFrame) -> DataFrame:
 
 def with_genres(df: DataFrame, logs: DataFrame) -> DataFrame:
     rated = genre_strength(settle(genre_viewers(logs), "genres"))
-    lookup = rated.select("Program_Genre", "Genre_Strength_Index", "Genre_Total_Views")
-    return attach_lookup(df, lookup, "Program_Genre", weight="Genre_Total_Views")
+    lookup = rated.select("Program_Genre", "Genre_Strength_Index")
+    return attach_lookup(df, lookup, "Program_Genre")
 
 
 def with_devices(df: DataFrame, logs: DataFrame) -> DataFrame:
     rated = device_adoption(settle(device_views(logs), "devices"))
-    lookup = rated.select("Device_Type", "Device_Adoption_Index", "Device_Total_Views")
-    return attach_lookup(df, lookup, "Device_Type", weight="Device_Total_Views")
+    lookup = rated.select("Device_Type", "Device_Adoption_Index")
+    return attach_lookup(df, lookup, "Device_Type")
 
 
 def cell_scores(cells: DataFrame) -> DataFrame:

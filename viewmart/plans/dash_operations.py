@@ -12,7 +12,7 @@ Choice = Sequence[str] | None
 
 
 def chosen(gold: DataFrame, equipment: Choice = None, departments: Choice = None) -> DataFrame:
-    return where_in(gold, Equipment_Model=equipment, Department=departments)
+    return where_in(gold, ("Equipment_Model", "Department"), Equipment_Model=equipment, Department=departments)
 
 
 def options(gold: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from viewmart.fixed_values import AS_OF
 from viewmart.plans.billing import gold_billing
@@ -19,10 +19,12 @@ SILVER_TABLES = ["customers", "tickets", "viewing_logs"]
 GOLD_TABLES = ["billing_segmentation", "content_strategy", "network_operations"]
 
 
-def run_bronze(spark: SparkSession, csv_paths: dict[str, str], base: str) -> dict[str, DataFrame]:
+def run_bronze(
+    spark: SparkSession, csv_paths: dict[str, str], base: str, multi_line: bool = False
+) -> dict[str, DataFrame]:
     """Take CSV files in: parse them once and store them typed."""
     return {
-        table: write_layer(read_bronze_csv(spark, path, table), base, "bronze", table)
+        table: write_layer(read_bronze_csv(spark, path, table, multi_line), base, "bronze", table)
         for table, path in csv_paths.items()
     }
 
@@ -36,6 +38,16 @@ def unreadable_values(bronze: dict[str, DataFrame]) -> DataFrame:
     return total
 
 
+def run_unreadable(bronze: dict[str, DataFrame], base: str, limit: int | None = None) -> DataFrame:
+    """Write the counts of unreadable cells beside bronze; more than ``limit`` in all are an error."""
+    first = next(iter(bronze.values()))
+    stored = write_layer(unreadable_values(bronze), base, "bronze", "unreadable_values")
+    total = stored.agg(F.coalesce(F.sum("Bad_Values"), F.lit(0))).first()[0]
+    if limit is not None and total > limit:
+        raise ValueError(f"{total} cells or records could not be read, more than {limit}; see {base}/bronze/unreadable_values")
+    return first.sparkSession.read.parquet(f"{base}/bronze/unreadable_values")
+
+
 def run_silver(
     bronze: dict[str, DataFrame], base: str, as_of: date = AS_OF, csv_copy: bool = False
 ) -> dict[str, DataFrame]:
@@ -95,12 +107,32 @@ def cached(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
             table.unpersist()
 
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per table with its number of rows."""
-    counts = [
-        df.agg(F.lit(name).alias("Table_Name"), F.count("*").alias("Row_Count")) for name, df in tables.items()
-    ]
-    total = counts[0]
-    for count in counts[1:]:
-        total = total.unionByName(count)
+def _as_text(name: str, kind: str) -> Column:
+    """A value as text that does not depend on the engine; fractions count to four digits."""
+    if kind == "double":
+        return F.round(F.col(name) * 10_000).cast("decimal(38,0)").cast("string")
+    return F.col(name).cast("string")
+
+
+def contents(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table and column: rows, values that are not NULL, and a checksum that knows no order.
+
+    The checksum adds up the first 32 bits of each value's MD5. One scan of each table.
+    """
+    parts = []
+    for table, df in tables.items():
+        columns = [(name, kind) for name, kind in df.dtypes if not name.startswith("_") and name != "ingest_seq"]
+        measures = [F.count("*").alias("rows")]
+        for i, (name, kind) in enumerate(columns):
+            first = F.conv(F.substring(F.md5(_as_text(name, kind).cast("binary")), 1, 8), 16, 10).cast("long")
+            measures += [F.count(name).alias(f"n{i}"), F.coalesce(F.sum(first), F.lit(0).cast("long")).alias(f"c{i}")]
+        each = [
+            F.struct(F.lit(name).alias("Column_Name"), F.col("rows").alias("Row_Count"), F.col(f"n{i}").alias("Non_Null"), F.col(f"c{i}").alias("Checksum"))
+            for i, (name, _) in enumerate(columns)
+        ]
+        row = df.agg(*measures)
+        parts.append(row.select(F.lit(table).alias("Table_Name"), F.explode(F.array(*each)).alias("v")).select("Table_Name", "v.*"))
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
     return total

@@ -126,22 +126,20 @@ def department_efficiency(stats: DataFrame) -> DataFrame:
 
 def with_technicians(df: DataFrame, tickets: DataFrame) -> DataFrame:
     scored = technician_scores(settle(technician_stats(tickets), "technicians"))
-    lookup = scored.select(
-        "Technician_Assigned", "Overall_Performance_Score", "Performance_Tier", "Tickets_Count"
-    )
-    return attach_lookup(df, lookup, "Technician_Assigned", weight="Tickets_Count")
+    lookup = scored.select("Technician_Assigned", "Overall_Performance_Score", "Performance_Tier")
+    return attach_lookup(df, lookup, "Technician_Assigned")
 
 
 def with_equipment(df: DataFrame, tickets: DataFrame) -> DataFrame:
     rated = equipment_reliability(settle(equipment_stats(tickets), "equipment"))
-    lookup = rated.select("Equipment_Model", "Reliability_Index", "Total_Issues")
-    return attach_lookup(df, lookup, "Equipment_Model", weight="Total_Issues")
+    lookup = rated.select("Equipment_Model", "Reliability_Index")
+    return attach_lookup(df, lookup, "Equipment_Model")
 
 
 def with_departments(df: DataFrame, tickets: DataFrame) -> DataFrame:
     rated = department_efficiency(settle(department_stats(tickets), "departments"))
-    lookup = rated.select("Department", "Dept_Efficiency", "Tickets_Handled")
-    return attach_lookup(df, lookup, "Department", weight="Tickets_Handled")
+    lookup = rated.select("Department", "Dept_Efficiency")
+    return attach_lookup(df, lookup, "Department")
 
 
 # --- per-ticket KPIs ---------------------------------------------------------------------
@@ -202,10 +200,8 @@ def impact_score(df: DataFrame) -> Column:
 def tickets_with_customer_metrics(tickets: DataFrame) -> DataFrame:
     """Each ticket with its customer's volume and satisfaction, for the full impact score."""
     metrics = settle(ticket_metrics(tickets), "ticket-metrics")
-    lookup = metrics.select(
-        "Customer_ID", "Total_Tickets", "Avg_Satisfaction", F.col("Total_Tickets").alias("_weight")
-    )
-    return attach_lookup(tickets, lookup, "Customer_ID", weight="_weight")
+    lookup = metrics.select("Customer_ID", "Total_Tickets", "Avg_Satisfaction")
+    return attach_lookup(tickets, lookup, "Customer_ID")
 
 
 def enrich_tickets(tickets: DataFrame) -> DataFrame:

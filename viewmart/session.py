@@ -1,9 +1,11 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,14 +51,36 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="viewmart-"))
         folder = context.getCheckpointDir()
+    if folder.startswith("file:") and not context.master.startswith("local"):
+        raise ValueError(f"{folder} is local to each machine; name a folder that all executors share")
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/viewmart/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder, deleted when the enclosing ``scratch`` block or the program ends."""
+    path = f"{shared_dir(spark)}/viewmart/{label}-{uuid.uuid4().hex}"
+    _paths.get().append((spark, path))
+    return path
 
 
-_SCOPES: list[list[str]] = []
+def _delete(made: list[tuple[SparkSession, str]]) -> None:
+    while made:
+        spark, path = made.pop()
+        # PySpark has no public call that deletes a folder of any file system.
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+
+
+def _delete_last(made: list[tuple[SparkSession, str]]) -> None:
+    try:
+        _delete(made)
+    except Exception:  # noqa: BLE001 - the JVM may be gone before the program ends
+        pass
+
+
+_program: list[tuple[SparkSession, str]] = []
+_paths: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("paths", default=_program)
+atexit.register(_delete_last, _program)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -66,19 +90,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     executors, and its file sizes tell the optimizer how large the table really is.
     """
     path = new_folder(df.sparkSession, label)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables settled inside the block when it ends; nothing may read them later."""
-    _SCOPES.append([])
+    """Delete the tables settled inside the block when it ends; nothing may read them later.
+
+    Each thread and task has its own block, so jobs that run side by side keep their tables.
+    """
+    made: list[tuple[SparkSession, str]] = []
+    before = _paths.set(made)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _paths.reset(before)
+        _delete(made)

@@ -1,13 +1,16 @@
 """Bronze CSV files in, typed tables out."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from viewmart.functions import null_tokens_to_null
 from viewmart.operators import existing
 from viewmart.schemas import bronze_names, bronze_schema
 
 _BAD = "_bad_columns"
+_BROKEN = "_broken_record"
+#: What a record with too few or too many cells is counted under.
+RECORD = "(record)"
 
 
 def _typed(text: Column, kind: DataType) -> Column:
@@ -20,18 +23,24 @@ def _typed(text: Column, kind: DataType) -> Column:
     return text.try_cast(kind)
 
 
-def read_bronze_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read_bronze_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
     """The bronze table with declared types, plus two technical columns.
 
     Columns go by the names in the header: any order will do, optional ones may be missing,
     and unknown ones stay text. All files of a path must have the same header.
     ``ingest_seq`` orders rows as they stand in the files, across splits. ``_bad_columns``
     names the columns whose text is neither a "no value" token nor of the declared type;
-    those cells are NULL.
+    those cells are NULL. It also names ``(record)`` for a record with too few or too many cells.
+
+    ``multi_line`` allows line breaks in quoted cells; a file is then read by one task. Without
+    it such a record is split, and its parts are counted as broken.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"', multiLine=False)
+    shape = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line}
+    names = spark.read.csv(path, inferSchema=False, **shape).columns
+    texts = StructType([StructField(name, StringType()) for name in [*names, _BROKEN]])
+    raw = spark.read.csv(path, schema=texts, columnNameOfCorruptRecord=_BROKEN, mode="PERMISSIVE", **shape)
     declared = {field.name: field.dataType for field in bronze_schema(table)}
-    kinds = {name: declared.get(name, StringType()) for name in raw.columns}
+    kinds = {name: declared.get(name, StringType()) for name in names}
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -43,6 +52,7 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
         for name, kind in kinds.items()
         if not isinstance(kind, StringType)
     ]
+    bad.append(F.when(F.col(_BROKEN).isNotNull(), RECORD))
     return raw.select(
         *[_typed(F.col(name), kind).alias(name) for name, kind in kinds.items()],
         "ingest_seq",
