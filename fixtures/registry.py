@@ -289,16 +289,16 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "department_stats": lambda t: operations.department_stats(t.tickets),
     "department_efficiency": lambda t: operations.department_efficiency(t.departments),
     "ticket_technician_join": lambda t: operations.with_technicians(
-        t.tickets.select("Ticket_ID", "Technician_Assigned"), t.tickets
+        t.tickets.select("Ticket_ID", "Technician_Assigned"), operations.work_cells(t.tickets)
     ),
     "ticket_equipment_join": lambda t: operations.with_equipment(
-        t.tickets.select("Ticket_ID", "Equipment_Model"), t.tickets
+        t.tickets.select("Ticket_ID", "Equipment_Model"), operations.work_cells(t.tickets)
     ),
     "ticket_department_join": lambda t: operations.with_departments(
         t.tickets.select("Ticket_ID", "Department"), t.tickets
     ),
     "resolution_efficiency": lambda t: operations.with_resolution_efficiency(
-        t.tickets.select("Ticket_ID", "Resolution_Time_Hrs"), t.tickets
+        t.tickets.select("Ticket_ID", "Resolution_Time_Hrs"), operations.work_cells(t.tickets)
     ),
     "issue_resolution_bucket": lambda t: t.tickets.select(
         "Ticket_ID", "Resolution_Time_Hrs", operations.resolution_band().alias("Issue_Resolution_Time")
@@ -326,8 +326,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "peak_analysis": lambda t: content.peak_analysis(t.logs),
     "viewing_calendar": lambda t: content.viewing_calendar(t.logs).select("Log_ID", "Hour_Of_Day", "Day_Of_Week"),
     "logs_content_type_join": lambda t: content.logs_with_content_type(t.logs.select("Log_ID", "Content_Type", "Customer_ID", "View_Duration_Mins")),
-    "content_genre_join": lambda t: content.with_genres(t.cells.select(*fv.CONTENT_KEYS), t.logs),
-    "content_device_join": lambda t: content.with_devices(t.cells.select(*fv.CONTENT_KEYS), t.logs),
+    "content_genre_join": lambda t: content.with_genres(t.cells.select(*fv.CONTENT_KEYS), content.viewer_cells(t.logs)),
+    "content_device_join": lambda t: content.with_devices(t.cells.select(*fv.CONTENT_KEYS), content.viewer_cells(t.logs)),
     "engagement_hours": lambda t: t.cells.select(
         *fv.CONTENT_KEYS, content.engagement_hours().alias("Total_Engagement_Hours")
     ),
@@ -339,8 +339,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         *fv.CONTENT_KEYS, "Total_Views", "Popularity_Tier"
     ),
     "customer_penetration": _cell_kpi("Customer_Penetration"),
-    "genre_strength_index": lambda t: content.genre_strength(settle(content.genre_viewers(t.logs), "genres")),
-    "device_adoption_index": lambda t: content.device_adoption(settle(content.device_views(t.logs), "devices")),
+    "genre_strength_index": lambda t: content.genre_strength(settle(content.genre_viewers(content.viewer_cells(t.logs)), "genres")),
+    "device_adoption_index": lambda t: content.device_adoption(settle(content.device_views(content.viewer_cells(t.logs)), "devices")),
     "content_health": _cell_kpi("Engagement_Score", "Content_Health"),
     "viewing_frequency": lambda t: t.cells.select(*fv.CONTENT_KEYS, content.viewing_frequency().alias("Viewing_Frequency")),
     "content_reach_score": _cell_kpi("Content_Reach_Score"),

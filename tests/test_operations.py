@@ -88,7 +88,7 @@ def test_equipment_and_departments(spark):
     rated = by_id(operations.equipment_reliability(settle(operations.equipment_stats(work), "e")), "Equipment_Model")
     assert {k: v.Reliability_Index for k, v in rated.items()} == {"a": 60, "b": 30}
     assert rated["a"].High_Priority_Rate == 1.0
-    joined = by_id(operations.with_equipment(work, work))
+    joined = by_id(operations.with_equipment(work, operations.work_cells(work)))
     assert joined[5].Reliability_Index is None and joined[0].Reliability_Index == 60
     assert by_id(operations.with_departments(work, work))[5].Dept_Efficiency is None
 

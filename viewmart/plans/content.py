@@ -37,30 +37,63 @@ def _with_viewers(measures: DataFrame, logs: DataFrame, keys: list[str], name: s
     return measures.join(pairs.groupBy(keys).agg(F.count("*").alias(name)), keys, "left").fillna(0)
 
 
-def content_agg(logs: DataFrame) -> DataFrame:
-    """Views per content cell."""
-    measures = (
-        logs.dropna(subset=fv.CONTENT_KEYS)
+#: Measures of the logs that a cell averages: column, what stands in where the feed lacks it, result.
+_AVERAGED = [
+    ("View_Duration_Mins", None, "Average_View_Duration_Mins"),
+    ("Buffering_Events", fv.DEFAULT_BUFFERING, "Avg_Buffering_Events"),
+    ("User_Rating", fv.DEFAULT_RATING, "Avg_User_Rating"),
+]
+
+
+def viewer_cells(logs: DataFrame) -> DataFrame:
+    """Sums and counts per content cell and customer, NULL keys kept.
+
+    Cells, genres, devices and all numbers of distinct viewers add up from it, so gold content
+    reads the logs once.
+    """
+    sums = [
+        part
+        for name, _, _ in _AVERAGED
+        if name in logs.columns
+        for part in (F.sum(name).alias(f"sum_{name}"), F.count(name).alias(f"n_{name}"))
+    ]
+    return logs.groupBy(*fv.CONTENT_KEYS, "Customer_ID").agg(F.count("Log_ID").alias("views"), *sums)
+
+
+def cells_of(viewers: DataFrame) -> DataFrame:
+    """Views per content cell, from ``viewer_cells``."""
+    averages = [
+        any_of(viewers, f"n_{name}", lambda n, name=name: F.try_divide(F.sum(f"sum_{name}"), F.sum(n)), instead).alias(label)
+        for name, instead, label in _AVERAGED
+    ]
+    return (
+        viewers.dropna(subset=fv.CONTENT_KEYS)
         .groupBy(fv.CONTENT_KEYS)
         .agg(
-            F.sum("View_Duration_Mins").alias("Total_View_Duration_Mins"),
-            F.avg("View_Duration_Mins").alias("Average_View_Duration_Mins"),
-            F.count("Log_ID").alias("Total_Views"),
-            any_of(logs, "Buffering_Events", F.avg, fv.DEFAULT_BUFFERING).alias("Avg_Buffering_Events"),
-            any_of(logs, "User_Rating", F.avg, fv.DEFAULT_RATING).alias("Avg_User_Rating"),
+            F.sum("sum_View_Duration_Mins").alias("Total_View_Duration_Mins"),
+            averages[0],
+            F.sum("views").alias("Total_Views"),
+            *averages[1:],
+            F.count("Customer_ID").alias("Unique_Customer_Count"),  # a customer has one row in a cell
         )
+        .fillna(0)
     )
-    return _with_viewers(measures, logs, fv.CONTENT_KEYS, "Unique_Customer_Count")
+
+
+def content_agg(logs: DataFrame) -> DataFrame:
+    """Views per content cell."""
+    return cells_of(viewer_cells(logs))
 
 
 def _by(logs: DataFrame, key: str):
     return logs.where(F.col(key).isNotNull()).groupBy(key)
 
 
-def genre_viewers(logs: DataFrame) -> DataFrame:
-    """Only what the strength index and its join need."""
-    return _by(logs, "Program_Genre").agg(
-        F.count_distinct("Customer_ID").alias("Genre_Total_Viewers"), F.count("Log_ID").alias("Genre_Total_Views")
+def genre_viewers(viewers: DataFrame) -> DataFrame:
+    """Only what the strength index needs, from ``viewer_cells``; a customer counts once in a genre."""
+    by_customer = viewers.where(F.col("Program_Genre").isNotNull()).groupBy("Program_Genre", "Customer_ID").agg(F.sum("views").alias("views"))
+    return by_customer.groupBy("Program_Genre").agg(
+        F.count("Customer_ID").alias("Genre_Total_Viewers"), F.sum("views").alias("Genre_Total_Views")
     )
 
 
@@ -74,8 +107,9 @@ def genre_performance(logs: DataFrame) -> DataFrame:
     return _with_quality(counted, logs, "Program_Genre", "Genre_Peak_Quality")
 
 
-def device_views(logs: DataFrame) -> DataFrame:
-    return _by(logs, "Device_Type").agg(F.count("Log_ID").alias("Device_Total_Views"))
+def device_views(viewers: DataFrame) -> DataFrame:
+    """From ``viewer_cells``."""
+    return _by(viewers, "Device_Type").agg(F.sum("views").alias("Device_Total_Views"))
 
 
 def device_performance(logs: DataFrame) -> DataFrame:
@@ -199,14 +233,14 @@ def device_adoption(views: DataFrame) -> DataFrame:
     )
 
 
-def with_genres(df: DataFrame, logs: DataFrame) -> DataFrame:
-    rated = genre_strength(settle(genre_viewers(logs), "genres"))
+def with_genres(df: DataFrame, viewers: DataFrame) -> DataFrame:
+    rated = genre_strength(settle(genre_viewers(viewers), "genres"))
     lookup = rated.select("Program_Genre", "Genre_Strength_Index")
     return attach_lookup(df, lookup, "Program_Genre")
 
 
-def with_devices(df: DataFrame, logs: DataFrame) -> DataFrame:
-    rated = device_adoption(settle(device_views(logs), "devices"))
+def with_devices(df: DataFrame, viewers: DataFrame) -> DataFrame:
+    rated = device_adoption(settle(device_views(viewers), "devices"))
     lookup = rated.select("Device_Type", "Device_Adoption_Index")
     return attach_lookup(df, lookup, "Device_Type")
 
@@ -227,7 +261,8 @@ def cell_scores(cells: DataFrame) -> DataFrame:
 
 
 def gold_content(logs: DataFrame) -> DataFrame:
-    cells = settle(content_agg(logs), "content-cells")
+    viewers = settle(viewer_cells(logs), "viewer-cells")
+    cells = settle(cells_of(viewers), "content-cells")
     df = with_popularity(cell_scores(cells), cells)
-    df = with_devices(with_genres(df, logs), logs)
+    df = with_devices(with_genres(df, viewers), viewers)
     return df.select(unique_names(fv.GOLD_CONTENT))

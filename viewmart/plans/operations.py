@@ -9,10 +9,6 @@ from viewmart.plans.billing import ticket_metrics
 from viewmart.session import settle
 
 
-def _share(flag: Column) -> Column:
-    return F.avg(flag.cast("int"))
-
-
 def _by(tickets: DataFrame, key: str):
     return tickets.where(F.col(key).isNotNull()).groupBy(key)
 
@@ -28,24 +24,51 @@ def _with_most(stats: DataFrame, *measures: str) -> DataFrame:
 
 # --- per-technician, per-model and per-department tables ---------------------------------
 
+#: Optional yes/no and number columns whose averages the group tables need.
+_FLAGS = ["First_Contact_Resolution", "Remote_Resolution_Attempted", "Escalation_Flag"]
+_NUMBERS = ["Resolution_Time_Hrs", "Customer_Satisfaction_Rating", "Cost_Of_Resolution"]
 
-def technician_stats(tickets: DataFrame) -> DataFrame:
+
+def work_cells(tickets: DataFrame) -> DataFrame:
+    """Sums and counts per technician and equipment model, NULL keys kept.
+
+    Technicians, models and the mean over all tickets add up from it, so gold operations reads
+    the tickets twice: here and for its rows.
+    """
+    parts = [F.count("Ticket_ID").alias("tickets"), F.count("*").alias("rows")]
+    for name in [*_NUMBERS, *_FLAGS]:
+        if has(tickets, name):
+            value = F.col(name).cast("int") if name in _FLAGS else F.col(name)
+            parts += [F.sum(value).alias(f"sum_{name}"), F.count(value).alias(f"n_{name}")]
+    if has(tickets, "Priority_Level"):
+        parts.append(F.count_if(F.col("Priority_Level") == "High").alias("high"))
+    return tickets.groupBy("Technician_Assigned", "Equipment_Model").agg(*parts)
+
+
+def _mean(cells: DataFrame, name: str, instead: object) -> Column:
+    return any_of(cells, f"n_{name}", lambda n: F.try_divide(F.sum(f"sum_{name}"), F.sum(n)), instead)
+
+
+def technicians_of(cells: DataFrame) -> DataFrame:
+    """Measures per technician, from ``work_cells``."""
     return (
-        _by(tickets, "Technician_Assigned")
+        _by(cells, "Technician_Assigned")
         .agg(
-            F.count("Ticket_ID").alias("Tickets_Count"),
-            F.avg("Resolution_Time_Hrs").alias("Avg_Resolution_Time"),
-            any_of(tickets, "Customer_Satisfaction_Rating", F.avg, fv.DEFAULT_RATING).alias("Avg_Satisfaction"),
-            any_of(tickets, "First_Contact_Resolution", _share, fv.DEFAULT_FIRST_CONTACT_RATE).alias("FCR_Rate"),
-            any_of(tickets, "Remote_Resolution_Attempted", _share, fv.DEFAULT_REMOTE_RATE).alias(
-                "Remote_Resolution_Rate"
-            ),
-            any_of(tickets, "Cost_Of_Resolution", F.avg, fv.DEFAULT_COST).alias("Cost_Per_Ticket"),
+            F.sum("tickets").alias("Tickets_Count"),
+            _mean(cells, "Resolution_Time_Hrs", None).alias("Avg_Resolution_Time"),
+            _mean(cells, "Customer_Satisfaction_Rating", fv.DEFAULT_RATING).alias("Avg_Satisfaction"),
+            _mean(cells, "First_Contact_Resolution", fv.DEFAULT_FIRST_CONTACT_RATE).alias("FCR_Rate"),
+            _mean(cells, "Remote_Resolution_Attempted", fv.DEFAULT_REMOTE_RATE).alias("Remote_Resolution_Rate"),
+            _mean(cells, "Cost_Of_Resolution", fv.DEFAULT_COST).alias("Cost_Per_Ticket"),
         )
         .fillna(0)
     )
 
 
+def technician_stats(tickets: DataFrame) -> DataFrame:
+    return technicians_of(work_cells(tickets))
+
+
 def performance_tier() -> Column:
     overall = F.col("Overall_Performance_Score")
     return ladder([(overall >= low, label) for low, label in fv.PERFORMANCE_AT_LEAST], fv.PERFORMANCE_OTHER)
@@ -76,22 +99,24 @@ def technician_scores(stats: DataFrame) -> DataFrame:
     )
 
 
-def equipment_stats(tickets: DataFrame) -> DataFrame:
-    def high_share(level: Column) -> Column:
-        return F.count_if(level == "High") / F.count("*")
-
+def equipment_of(cells: DataFrame) -> DataFrame:
+    """Measures per equipment model, from ``work_cells``."""
     return (
-        _by(tickets, "Equipment_Model")
+        _by(cells, "Equipment_Model")
         .agg(
-            F.count("Ticket_ID").alias("Total_Issues"),
-            F.avg("Resolution_Time_Hrs").alias("Avg_Resolution_Time"),
-            any_of(tickets, "Priority_Level", high_share, fv.DEFAULT_HIGH_PRIORITY_RATE).alias("High_Priority_Rate"),
-            any_of(tickets, "Escalation_Flag", _share, fv.DEFAULT_ESCALATION_RATE).alias("Escalation_Rate"),
+            F.sum("tickets").alias("Total_Issues"),
+            _mean(cells, "Resolution_Time_Hrs", None).alias("Avg_Resolution_Time"),
+            any_of(cells, "high", lambda n: F.sum(n) / F.sum("rows"), fv.DEFAULT_HIGH_PRIORITY_RATE).alias("High_Priority_Rate"),
+            _mean(cells, "Escalation_Flag", fv.DEFAULT_ESCALATION_RATE).alias("Escalation_Rate"),
         )
         .fillna(0)
     )
 
 
+def equipment_stats(tickets: DataFrame) -> DataFrame:
+    return equipment_of(work_cells(tickets))
+
+
 def equipment_reliability(stats: DataFrame) -> DataFrame:
     index = 100 - _part_of_most("Total_Issues") * 40 - F.col("Escalation_Rate") * 60
     return (
@@ -124,14 +149,16 @@ def department_efficiency(stats: DataFrame) -> DataFrame:
 # --- the group results on each ticket ----------------------------------------------------
 
 
-def with_technicians(df: DataFrame, tickets: DataFrame) -> DataFrame:
-    scored = technician_scores(settle(technician_stats(tickets), "technicians"))
+def with_technicians(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` are ``work_cells``."""
+    scored = technician_scores(settle(technicians_of(cells), "technicians"))
     lookup = scored.select("Technician_Assigned", "Overall_Performance_Score", "Performance_Tier")
     return attach_lookup(df, lookup, "Technician_Assigned")
 
 
-def with_equipment(df: DataFrame, tickets: DataFrame) -> DataFrame:
-    rated = equipment_reliability(settle(equipment_stats(tickets), "equipment"))
+def with_equipment(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` are ``work_cells``."""
+    rated = equipment_reliability(settle(equipment_of(cells), "equipment"))
     lookup = rated.select("Equipment_Model", "Reliability_Index")
     return attach_lookup(df, lookup, "Equipment_Model")
 
@@ -145,9 +172,10 @@ def with_departments(df: DataFrame, tickets: DataFrame) -> DataFrame:
 # --- per-ticket KPIs ---------------------------------------------------------------------
 
 
-def with_resolution_efficiency(df: DataFrame, tickets: DataFrame) -> DataFrame:
+def with_resolution_efficiency(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` are ``work_cells``, which hold the mean over all tickets."""
     faster = F.col("Resolution_Time_Hrs") < F.col("_mean")
-    averaged = with_globals(df, tickets, _mean=F.avg("Resolution_Time_Hrs"))
+    averaged = with_globals(df, cells, _mean=_mean(cells, "Resolution_Time_Hrs", None))
     return averaged.withColumn("Resolution_Efficiency", F.when(faster, "High").otherwise("Low")).drop("_mean")
 
 
@@ -206,8 +234,9 @@ def tickets_with_customer_metrics(tickets: DataFrame) -> DataFrame:
 
 def enrich_tickets(tickets: DataFrame) -> DataFrame:
     """Every ticket KPI that the gold table keeps."""
-    df = with_resolution_efficiency(tickets, tickets)
-    df = with_equipment(with_technicians(df, tickets), tickets)
+    cells = settle(work_cells(tickets), "work-cells")
+    df = with_resolution_efficiency(tickets, cells)
+    df = with_equipment(with_technicians(df, cells), cells)
     return df.withColumns(
         {
             "Issue_Resolution_Time": resolution_band(),
