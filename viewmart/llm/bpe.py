@@ -7,19 +7,22 @@ search over the sorted pair keys, takes the pair of lowest rank in each word, an
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
-from viewmart.llm.common import slices, text_bytes, texts_of
+from viewmart.llm.common import single_threaded_tokenizers, slices, text_bytes, texts_of
 from viewmart.llm.pieces import PieceMemo, split_pieces
 
 #: Distinct pieces whose ids a worker remembers; it starts anew beyond that.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 NEVER = np.int64(1) << 40
+#: Characters whose Unicode properties are the same in all versions in use.
+SETTLED = regex.compile("[\u0000-\u052f\u2000-\u206f\u3040-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 def byte_symbols() -> list[str]:
@@ -114,6 +117,8 @@ class WordBpe:
         if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or level["type"] != "ByteLevel" or described.get("decoder") or not described.get("added_tokens"):
             raise ValueError(f"{path} is not a lower-case word-end BPE")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.path = path
+        self.byte_of = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
         self.table = MergeTable(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.special = {token["content"]: token["id"] for token in described.get("added_tokens", [])}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
@@ -121,12 +126,22 @@ class WordBpe:
         self._forget()
         self.memo = PieceMemo(self._learn, self._forget, MEMO_PIECES)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """For cleaning and splitting rare characters, not for merges."""
+        single_threaded_tokenizers()
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.ids, self.starts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
 
-    def _words(self, piece: str) -> list[str]:
+    def _words(self, piece: str) -> list[bytes]:
+        """The cleaned and split words; rare characters are left to the library's Unicode tables."""
+        if not SETTLED.fullmatch(piece):
+            clean = self.library.normalizer.normalize_str(piece)
+            return [bytes(map(self.byte_of.__getitem__, word)) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
         clean = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-        return self.pattern.findall(_lower(clean))
+        return [word.encode() for word in self.pattern.findall(_lower(clean))]
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Adds the ids of the pieces. Special strings stand for themselves, before any cleaning."""
@@ -140,7 +155,7 @@ class WordBpe:
                     fixed[len(words)] = self.special[part]
                     words.append(b"!")
                 else:
-                    words += [word.encode() for word in self._words(part)]
+                    words += self._words(part)
             per_piece[k] = len(words) - before
         ids, sizes = self.table.encode(words)
         ends = np.r_[0, np.cumsum(sizes)]
@@ -187,6 +202,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 ids, offsets = bpe.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+        bpe.memo.clear()
 
     texts = texts_of(docs, id_col, text_col)
     return texts.mapInArrow(encode, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>")
