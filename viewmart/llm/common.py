@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from viewmart.session import new_folder, settle  # noqa: F401
 
 #: Text that a task holds as Python objects or numpy work arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()

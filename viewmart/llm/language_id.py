@@ -22,7 +22,9 @@ WORD_START = "▁"
 #: Code points of a piece, and of a word: longer words are scored in parts.
 MAX_PIECE, MAX_WORD = 8, 40
 UNKNOWN = 1e-7
-MEMO_PIECES = 600_000
+#: Words whose lattices are held at once.
+BLOCK = 8_000
+MEMO_PIECES = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,7 +70,7 @@ class Lattice:
         for length in range(1, MAX_PIECE + 1):
             value = value * MIX + codes[length - 1 : length - 1 + longest]
             inside = place + length <= sizes
-            number = np.full(value.shape, none, np.int64)
+            number = np.full(value.shape, none, np.int32)
             wanted = value[inside]
             at = np.minimum(np.searchsorted(self.hashes, wanted), max(none - 1, 0))
             hit = self.hashes[at] == wanted if none else np.zeros(len(wanted), bool)
@@ -88,11 +90,11 @@ class Lattice:
 
     def fit(self, counts: dict[str, int], rounds: int = 4) -> np.ndarray:
         """Piece probabilities that make the counted words likely; none and unknown come last."""
-        words = list(counts)
-        weight = np.fromiter(counts.values(), np.float64, len(words))
+        words = sorted(counts, key=len)  # words of one block have about one length
+        weight = np.array([counts[word] for word in words], np.float64)
         probability = np.full(len(self.pieces) + 2, 1.0 / max(1, len(self.pieces)))
         probability[-2:] = 0, UNKNOWN
-        blocks = [(self.arcs(words[k : k + 20_000]), weight[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        blocks = [(self.arcs(words[k : k + BLOCK]), weight[k : k + BLOCK]) for k in range(0, len(words), BLOCK)]
         for _ in range(rounds):
             expected = np.zeros(len(probability))
             for (sizes, arcs), w in blocks:
@@ -142,11 +144,13 @@ class Scorer:
             own[k] = len(found)
             words += found
         logs = np.zeros((len(words) + 1, len(self.probabilities)))
-        for k in range(0, len(words), 20_000):
-            sizes, arcs = self.lattice.arcs(words[k : k + 20_000])
+        by_size = sorted(range(len(words)), key=lambda k: len(words[k]))
+        for k in range(0, len(words), BLOCK):
+            chosen = by_size[k : k + BLOCK]
+            sizes, arcs = self.lattice.arcs([words[c] for c in chosen])
             for j, probability in enumerate(self.probabilities):
                 mass = self.lattice.forward(sizes, arcs, probability)[sizes, np.arange(len(sizes))]
-                logs[k + 1 : k + 1 + len(sizes), j] = np.log(np.maximum(mass, 1e-300))
+                logs[np.array(chosen) + 1, j] = np.log(np.maximum(mass, 1e-300))
         total, ends = np.cumsum(logs, axis=0), np.cumsum(own)
         self.values.append(np.c_[own, total[ends] - total[ends - own]])
 

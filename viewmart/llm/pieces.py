@@ -92,13 +92,17 @@ class PieceMemo:
         self.learn, self.forget, self.limit = learn, forget, limit
         self.number: dict[int, int] = {}
 
+    def clear(self) -> None:
+        """Called at the end of a task, as the next one on this worker may be of another job."""
+        self.number = {}
+        self.forget()
+
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each piece."""
         hashes = hash_runs(data, starts)
         distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.number) + len(distinct) > self.limit:
-            self.number.clear()
-            self.forget()
+            self.clear()
         keys = distinct.tolist()
         get = self.number.get
         numbers = np.fromiter((get(key, -1) for key in keys), np.int64, len(keys))

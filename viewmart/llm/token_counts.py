@@ -20,7 +20,7 @@ from viewmart.llm.pieces import PieceMemo, split_pieces, sum_by_text
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Distinct pieces whose counts a worker remembers; it starts anew beyond that.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 
 
 class TokenCounter:
@@ -56,6 +56,10 @@ class TokenCounter:
         self._forget()
         self.memo = PieceMemo(self._learn, self._forget, MEMO_PIECES)
 
+    def clear(self) -> None:
+        if self.by_piece:
+            self.memo.clear()
+
     def _forget(self) -> None:
         self.n_tokens = np.zeros(0, np.int64)
 
@@ -101,6 +105,7 @@ def encode_misses(misses: DataFrame, tokenizer_path: str) -> DataFrame:
             for part in slices(batch):
                 n = counter.counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+        counter.clear()
 
     return misses.select("digest", "text").mapInArrow(count, "digest binary, n_tokens long")
 
