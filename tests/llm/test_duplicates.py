@@ -188,6 +188,8 @@ def test_suffix_array_and_prefixes(seed):
     order = suffixes.suffix_array(data, 10**6)
     assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
     shared = suffixes.common_prefixes(data, order)
+    capped = suffixes.common_prefixes(data, order, 9, np.arange(0, len(data), 13))
+    assert (np.minimum(capped, 9) == np.minimum(shared, 9)).all()
     for k in range(1, len(raw)):
         a, b = raw[order[k - 1] :], raw[order[k] :]
         same = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))

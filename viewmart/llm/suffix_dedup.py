@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from viewmart.llm.common import carried_names, schema_of, text_bytes, texts_of, with_own_names
-from viewmart.llm.suffixes import WINDOW_BITS, Contexts, covered_windows, cut_out
+from viewmart.llm.suffixes import WINDOW_BITS, Contexts, covered_windows, cut_out, hash_from
 
 #: Text of a shard, and entries that one bucket of seeds gathers, on average.
 SHARD_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: A seed with more contexts than this has its windows dealt out one by one, by their own hash.
 HOT_CONTEXTS = 2_000
 
@@ -118,19 +118,10 @@ def answer_entries(table: pa.Table) -> pa.Table:
 
 
 SENT = {
-    "bucket": pa.int32(), "shard": pa.int32(), "keys": pa.binary(), "places": pa.binary(), "windows": pa.binary(), "bytes": pa.binary(),
-    "told": pa.binary(),
+    "bucket": pa.int32(), "shard": pa.int32(), "keys": pa.binary(), "places": pa.binary(), "windows": pa.binary(), "seeds": pa.binary(),
+    "bytes": pa.binary(), "told": pa.binary(),
 }
-SENT_SCHEMA = "bucket int, shard int, keys binary, places binary, windows binary, bytes binary, told binary"
-
-
-def _run_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """A hash of ``length`` bytes from each start."""
-    total = np.zeros(len(start), np.uint64)
-    for k in range(length):
-        total = (total ^ data[start + k]) * np.uint64(0x100000001B3)
-        total ^= total >> np.uint64(33)
-    return total
+SENT_SCHEMA = "bucket int, shard int, keys binary, places binary, windows binary, seeds binary, bytes binary, told binary"
 
 
 def send_contexts(length: int, buckets: int):
@@ -148,12 +139,13 @@ def send_contexts(length: int, buckets: int):
         for bucket, low, high in entries.cuts():
             code[low:high] = np.frombuffer(told[bucket], np.uint8)
 
-        def add(bucket, keys, start, windows):
+        def add(bucket, keys, start, windows, seeds):
             out["bucket"].append(int(bucket))
             out["shard"].append(key[0].as_py())
             out["keys"].append(keys.astype(np.uint32).tobytes())
             out["places"].append(start.astype(np.uint32).tobytes())
             out["windows"].append(windows.astype(np.uint8).tobytes())
+            out["seeds"].append((seeds - start).astype(np.uint8).tobytes())
             out["bytes"].append(cut_out(shard.data, start, windows + length - 1).tobytes())
             out["told"].append(b"")
 
@@ -165,16 +157,16 @@ def send_contexts(length: int, buckets: int):
         of = entries.bucket[entries.entry[compare]]
         for bucket in np.unique(of):
             at = compare[np.searchsorted(of, bucket) : np.searchsorted(of, bucket, "right")]
-            add(bucket, entries.key[entries.entry[at]], contexts.start[at], contexts.windows[at])
+            add(bucket, entries.key[entries.entry[at]], contexts.start[at], contexts.windows[at], contexts.seed[at])
         at = np.flatnonzero(each == HOT)
         if len(at):
             n = contexts.windows[at]
             single = np.repeat(contexts.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            hashes = _run_hash(shard.data, single, length)
+            hashes = hash_from(shard.data, single, length)
             bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
             for b in np.unique(bucket):
                 rows = np.flatnonzero(bucket == b)
-                add(b, hashes[rows] & np.uint64(0xFFFFFFFF), single[rows], np.ones(len(rows), np.int64))
+                add(b, hashes[rows] & np.uint64(0xFFFFFFFF), single[rows], np.ones(len(rows), np.int64), single[rows])
         whole = np.flatnonzero(each == WHOLE)
         if len(whole):
             start, n = contexts.start[whole], contexts.windows[whole]
@@ -182,7 +174,7 @@ def send_contexts(length: int, buckets: int):
             runs = np.stack([start[edge], np.add.reduceat(n, edge)])
             out["bucket"].append(key[0].as_py() % buckets)
             out["shard"].append(key[0].as_py())
-            for name in ("keys", "places", "windows", "bytes"):
+            for name in ("keys", "places", "windows", "seeds", "bytes"):
                 out[name].append(b"")
             out["told"].append(runs.astype(np.uint32).tobytes())
         return _as_bytes(out, SENT)
@@ -207,7 +199,8 @@ def merge_contexts(length: int):
         owner = np.repeat(table["shard"].to_numpy().astype(np.int64), sizes)
         span = windows + length - 1
         start = np.cumsum(span) - span
-        context, window = covered_windows(data, start, windows, key, owner, length)
+        seed = start + np.frombuffer(b"".join(table["seeds"].to_pylist()), np.uint8)
+        context, window = covered_windows(data, start, windows, key, owner, length, seed)
         at, of = place[context] + window, owner[context]
         order = np.lexsort((at, of))
         at, of = at[order], of[order]
@@ -237,7 +230,9 @@ def cut_documents(length: int, passed: list[str]):
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             several = np.repeat(o[starts] != o[np.r_[starts[1:], len(k)] - 1], np.diff(np.r_[starts, len(k)]))
             own = np.sort(order[several])
-            context, window = covered_windows(data, contexts.start[own], contexts.windows[own], contexts.key[own], owner[own], length)
+            context, window = covered_windows(
+                data, contexts.start[own], contexts.windows[own], contexts.key[own], owner[own], length, contexts.seed[own]
+            )
             at = contexts.start[own][context] + window
             np.add.at(depth, at, 1)
             np.add.at(depth, at + length, -1)

@@ -6,7 +6,7 @@ Everything here works on bytes and knows nothing of Spark.
 import numpy as np
 
 #: Bytes whose suffixes are sorted at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 WINDOW_BITS = 31
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -55,9 +55,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, enough: int | None = None, parts: np.ndarray | None = None) -> np.ndarray:
     """For each place of the suffix array, the bytes shared with the suffix before it (Kasai).
 
+    Numbers of ``enough`` or more are only known to be at least that. ``parts`` are places where
+    comparing starts afresh, so that long periodic texts are not followed from end to end.
+
     Let ``before`` be the suffix that precedes a suffix in the array. Where the suffix and its
     ``before`` both follow, by one byte, those of the place on the left, one byte less is shared
     than there. Only the other places are compared, eight bytes at a time.
@@ -67,10 +70,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     before[order[1:]] = order[:-1]
     place = np.arange(n)
     fresh = np.r_[True, before[1:] != before[:-1] + 1] | (before < 0)
+    if parts is not None:
+        fresh[parts] = True
     words = packed(data)
-    at = np.flatnonzero(fresh & (before >= 0))
+    starts = np.flatnonzero(fresh)
+    upto = np.r_[starts[1:], n] - starts + (n if enough is None else enough)  # what the places after each start need
+    starts, upto = starts[before[starts] >= 0], upto[before[starts] >= 0]
     length = np.zeros(n, np.int64)
-    active, other, done = at, before[at], 0
+    active, other, done = starts, before[starts], 0
     while len(active):
         a, b = active + done, other + done
         room = n - np.maximum(a, b)
@@ -81,9 +88,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
             agree[(differ >> np.uint64(8 * (7 - k))) & np.uint64(255) != 0] = k
         agree = np.minimum(agree, np.maximum(room, 0))
         length[active] += agree
-        going = agree == 8
-        active, other = active[going], other[going]
         done += 8
+        going = (agree == 8) & (upto > done)
+        active, other, upto = active[going], other[going], upto[going]
     source = np.maximum.accumulate(np.where(fresh, place, 0))
     shared = np.where(before >= 0, np.maximum(length[source] - (place - source), 0), 0)
     return shared[order]
@@ -140,7 +147,7 @@ class Contexts:
         self.data, self.length = data, length
         size = seed_bytes(length)
         width = length - size + 1
-        starts, counts, keys = [], [], []
+        starts, counts, keys, seeds = [], [], [], []
         last = offsets[1:]
         for low in range(0, max(len(data) - length + 1, 0), block):
             part = data[low : low + block + length - 1]
@@ -161,8 +168,10 @@ class Contexts:
             starts.append(edge + low)
             counts.append(count)
             keys.append(hashes[seed[edge]])
+            seeds.append(seed[edge] + np.int64(low))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.windows, self.key = join(starts, np.int64), join(counts, np.int64), join(keys, np.uint64)
+        self.seed = join(seeds, np.int64)
 
     def text_hashes(self) -> np.ndarray:
         """A 64-bit hash of each context's bytes."""
@@ -171,8 +180,8 @@ class Contexts:
         # Prefix sums of byte values times powers of an odd step; a run's sum is brought to a common power.
         out = np.zeros(len(self.start), np.uint64)
         sizes = self.windows + self.length - 1
-        for low in range(0, len(self.start), 200_000):
-            a, s = self.start[low : low + 200_000], sizes[low : low + 200_000]
+        for low in range(0, len(self.start), 40_000):
+            a, s = self.start[low : low + 40_000], sizes[low : low + 40_000]
             base = int(a[0])
             part = self.data[base : int((a + s).max())]
             powers = np.full(len(part) + 1, MIX, np.uint64)
@@ -184,7 +193,7 @@ class Contexts:
             a = a - base
             total = (total[a + s] - total[a]) * _inverse_power(a)
             total ^= total >> np.uint64(31)
-            out[low : low + 200_000] = total * SPREAD + s.astype(np.uint64)
+            out[low : low + 40_000] = total * SPREAD + s.astype(np.uint64)
         return out
 
 
@@ -205,16 +214,51 @@ def cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(total) + np.repeat(start - (ends - size), size)]
 
 
+def hash_from(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A hash of ``size`` bytes from each start."""
+    total = np.zeros(len(start), np.uint64)
+    for k in range(size):
+        total = (total ^ data[start + k]) * np.uint64(0x100000001B3)
+        total ^= total >> np.uint64(33)
+    return total
+
+
+def may_repeat(
+    data: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, owner: np.ndarray, length: int, seed: np.ndarray
+) -> np.ndarray:
+    """Contexts that another owner's context of the same key may share a window with.
+
+    Equal windows have their seed at the same place, so they agree in the half of the other
+    bytes that stands before the seed, or in the half after it.
+    """
+    size = seed_bytes(length)
+    half = (length - size) // 2
+    result = np.zeros(len(start), bool)
+    for room, at in ((seed - start, seed - half), (start + windows + length - 1 - seed - size, seed + size)):
+        able = np.flatnonzero(room >= half)
+        side = hash_from(data, at[able], half) ^ key[able].astype(np.uint64) * MIX
+        order = np.argsort(side, kind="stable")
+        edge = np.flatnonzero(np.r_[True, side[order][1:] != side[order][:-1]]) if len(order) else order
+        if not len(edge):
+            continue
+        own = owner[able][order]
+        several = np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)
+        result[able[order[np.repeat(several, np.diff(np.r_[edge, len(order)]))]]] = True
+    return result
+
+
 def covered_windows(
-    data: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, owner: np.ndarray, length: int
+    data: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, owner: np.ndarray, length: int, seed: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Windows of contexts that also stand in a context of a smaller owner: (context, window in it).
 
     Contexts go by key in chunks of bounded size, each with its own suffix array; one key with
-    more text than a chunk makes a larger chunk.
+    more text than a chunk makes a larger chunk. ``seed`` is where each context's seed stands.
     """
     found_context, found_window = [], []
-    order = np.argsort(key, kind="stable")
+    order = np.flatnonzero(may_repeat(data, start, windows, key, owner, length, seed))
+    order = order[np.argsort(key[order], kind="stable")]
+    padded = np.r_[data, np.uint8(0)]
     size = windows[order] + length  # a zero byte parts contexts
     ends = np.cumsum(size)
     group_end = np.flatnonzero(np.r_[key[order][1:] != key[order][:-1], True]) if len(order) else order
@@ -226,12 +270,12 @@ def covered_windows(
         chosen = order[low:high]
         low = high
         span = windows[chosen] + length
-        text = cut_out(np.r_[data, np.uint8(0)], start[chosen], span)
+        text = cut_out(padded, start[chosen], span)
         own_end = np.cumsum(span)
         text[own_end - 1] = 0
         place = own_end - span
         sorted_places = suffix_array(text, length)
-        shared = common_prefixes(text, sorted_places)
+        shared = common_prefixes(text, sorted_places, length, place)
         which = np.repeat(np.arange(len(chosen)), span)
         inside = np.arange(len(text)) - place[which]
         holder = np.where(inside < windows[chosen][which], owner[chosen][which], np.iinfo(np.int64).max)
