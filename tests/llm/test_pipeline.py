@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -55,6 +56,16 @@ def test_stages_take_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == left
 
 
+def test_no_language_learned_keeps_texts_with_a_letter(spark):
+    data = [(1, "a clean text"), (2, "123 !!!"), (3, None), (4, ""), (5, "Ω")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr(
+        "doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars"
+    )
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SMALL).collect()} == {1, 5}
+    wordless = docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en"))  # the only labelled text holds no word
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, wordless, SMALL).collect()} == {1, 5}
+
+
 def test_registered():
     import __spark_entry__ as driver
 

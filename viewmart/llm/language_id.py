@@ -198,12 +198,13 @@ def identify_languages(
     text_col: str = "text",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row, and the columns of ``docs`` that ``carry`` names.
+    """(doc_id, lang_pred, score, has_letter) for every row, and the columns of ``docs`` that ``carry`` names.
 
     ``score`` is the posterior probability of ``lang_pred`` when all languages are equally
     likely beforehand; of equal ones the first by name is taken. NULL text, text without a
-    letter, and any text when no language was learned, give ``und`` and 0. Whole texts of any
-    length are scored; NULL and repeated ids keep their rows; an empty table gives an empty result.
+    letter, and any text when no language was learned, give ``und`` and 0; ``has_letter`` tells
+    the last from the others. Whole texts of any length are scored; NULL and repeated ids keep
+    their rows; an empty table gives an empty result.
     """
     names = list(languages)
     model = np.array([languages[name] for name in names]) if names else np.zeros((0, 0))
@@ -215,16 +216,17 @@ def identify_languages(
         for batch in batches:
             for part in slices(batch):
                 values = scorer(part.column("text"))
+                letter = values[:, 0] > 0
                 if names:
                     logs = values[:, 1:]
                     best = logs.argmax(axis=1)
                     sure = 1 / np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -700)).sum(axis=1)
-                    known = values[:, 0] > 0
+                    known = letter
                 else:
                     best, sure, known = np.zeros(len(values), int), np.zeros(len(values)), np.zeros(len(values), bool)
                 pred = [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                found = [pa.array(pred, pa.string()), pa.array(np.where(known, sure, 0.0))]
-                yield pa.RecordBatch.from_arrays([*map(part.column, passed), *found], [*passed, "lang_pred", "score"])
+                found = [pa.array(pred, pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(letter)]
+                yield pa.RecordBatch.from_arrays([*map(part.column, passed), *found], [*passed, "lang_pred", "score", "has_letter"])
 
-    scored = texts.mapInArrow(score, schema_of(texts, passed) + ", lang_pred string, score double")
+    scored = texts.mapInArrow(score, schema_of(texts, passed) + ", lang_pred string, score double, has_letter boolean")
     return with_own_names(scored, carry)
