@@ -119,6 +119,42 @@ def test_fitting_raises_the_likelihood():
     assert fits == sorted(fits) and lattice.fit(counts)[:-2].sum() == pytest.approx(1)
 
 
+def test_long_pieces_and_long_words_lose_no_segmentation():
+    rng = np.random.default_rng(4)
+    lattice = lid.Lattice(["▁", *"abc", "ab", "▁function", "abcabcabcabc", "bcabcabcabcabcab", *"functio"])
+    number = {piece: k for k, piece in enumerate(lattice.pieces)}
+    assert {"▁function", "bcabcabcabcabcab"} <= set(number) and lattice.depth == 16
+    p = np.r_[rng.random(len(number)) / 10, 0, 1e-7]
+
+    def reach(word, p, back=False):
+        mass, steps = [1.0] + [0.0] * len(word), range(1, len(word) + 1)
+        for t in steps:
+            for n in range(1, min(16, t) + 1):
+                piece = word[t - n : t] if not back else word[len(word) - t : len(word) - t + n]
+                mass[t] += mass[t - n] * (p[number[piece]] if piece in number else p[-1] * (n == 1))
+        return mass
+
+    words = ["▁function", "▁" + "abc" * 8, "▁" + "abc" * 13 + "z" + "abc" * 20, "▁" + "abc" * 15 + "a", "▁functions"]
+    logs = lattice.word_logs(words, np.c_[p, p / 2])
+    for k, word in enumerate(words):
+        assert logs[k] == pytest.approx([math.log(reach(word, q)[-1]) for q in (p, p / 2)])
+    assert np.isfinite(lattice.word_logs(["▁" + "abc" * 400, "▁" + "z" * 5000], p[:, None])).all()
+
+    sizes, arcs = lattice.arcs(words)
+    expected = np.zeros(len(p))
+    for w, word in enumerate(words, 1):
+        ahead, rest = reach(word, p), reach(word, p, True)[::-1]
+        for t in range(len(word)):
+            for n in range(1, 17):
+                if word[t : t + n] in number and t + n <= len(word):
+                    k = number[word[t : t + n]]
+                    expected[k] += w * ahead[t] * p[k] * rest[t + n] / ahead[-1]
+    assert lattice.expected(sizes, arcs, p, np.arange(1.0, 6))[:-2] == pytest.approx(expected[:-2])
+    whole = lid.Lattice(["▁", *"abc", "abc"]).fit({"▁" + "abc" * 400: 3, "▁cab": 1})
+    assert np.isfinite(whole).all() and whole[:-2].sum() == pytest.approx(1)
+    assert lid.marked_words("ab" * 30 + " c") == ["▁" + "ab" * 30, "▁c"]
+
+
 def test_languages_held_out_and_odd_texts(spark):
     rng = random.Random(3)
     speech = {"en": WORDS, "de": "der die und nicht schön weiß über wir gehen heute haus".split(), "fr": "le la des été où nous allons maison très bien".split()}
