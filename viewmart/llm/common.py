@@ -61,6 +61,16 @@ def with_own_names(table: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     return table.select(*kept, *[F.col(f"carried_{i}").alias(name) for i, name in enumerate(carry)])
 
 
+#: The characters that part words, as the inside of a character class.
+SPACES = r"\x20\x09-\x0D"
+
+
+def words_of(text: Column) -> Column:
+    """The words between the six spaces of ASCII; an empty array if there is none."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner != "", F.split(inner, f"[{SPACES}]+")).otherwise(F.array().cast("array<string>"))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; NULL for a NULL id."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")

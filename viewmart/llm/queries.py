@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viewmart.llm import (
-    bpe, decontaminate, embedding_dedup, language_id, lm, quality, simhash, suffix_dedup, token_counts, toxicity,
+    bpe, decontaminate, embedding_dedup, filter_audit, language_id, lm, quality, simhash, suffix_dedup, token_counts, toxicity,
 )
 from viewmart.llm.common import fold, read_table, tokenizer_file
 
@@ -77,6 +77,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove, alone and after others, by source, in all 120 orders."""
+    return filter_audit.filter_audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -88,6 +93,10 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.decontaminate_sql()}
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": decontaminate.decontaminate_sql(),
+    "op11_filter_audit": filter_audit.filter_audit_sql(),
+}
