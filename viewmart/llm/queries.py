@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viewmart.llm import (
-    bpe, decontaminate, embedding_dedup, filter_audit, language_id, lm, quality, simhash, suffix_dedup, token_counts, toxicity,
+    bpe, decontaminate, embedding_dedup, filter_audit, language_id, lm, periodic_runs, quality, simhash, suffix_dedup,
+    token_counts, toxicity,
 )
 from viewmart.llm.common import fold, read_table, tokenizer_file
 
@@ -82,6 +83,12 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words of every document, one in ten of which has a planted one."""
+    planted = periodic_runs.plant_periods(read_table(spark, folder, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted, 24, 3))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -94,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
