@@ -2,9 +2,9 @@
 
 A run is a stretch of words with a smallest period that no neighbouring word keeps up. Runs come from
 suffix trees (``suffix_trees``) over word numbers. Trees are grown only where a run can be:
-every window of ``_gram_words`` words inside a run stands again one period further, so each run
-lies within one stretch of words that are covered by windows that occur twice in their document.
-This loses no run, and most documents have no such stretch.
+a window of ``_gram_words`` words inside a run stands there again one period away, so each run lies
+within one stretch of words covered by windows that occur twice near by. This loses no run, and
+most documents have no such stretch.
 """
 
 from collections.abc import Iterator
@@ -62,19 +62,12 @@ def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def repeated_stretches(numbers: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the stretches covered by windows of ``size`` words that their text holds twice.
-
-    Windows are compared by a hash; an accident only makes a stretch longer than needed.
-    """
+def window_keys(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window of ``size`` words; equal windows have equal hashes."""
     n = len(numbers) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    hashed = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    hashed ^= hashed >> np.uint64(32)
-    whole, width = np.zeros(n, np.uint64), 0
-    part, part_width = hashed, 1
+    part = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    part ^= part >> np.uint64(32)
+    whole, width, part_width = np.zeros(n, np.uint64), 0, 1
     for bit in range(size.bit_length()):  # windows of 1, 2, 4 ... words make up one of size words
         if size >> bit & 1:
             whole = whole * STEP ** np.uint64(part_width) + part[width : width + n]
@@ -83,28 +76,52 @@ def repeated_stretches(numbers: np.ndarray, bounds: np.ndarray, size: int) -> tu
             part = part[:-part_width] * STEP ** np.uint64(part_width) + part[part_width:]
             part ^= part >> np.uint64(29)
             part_width *= 2
-    inside = np.flatnonzero(text[:n] == text[size - 1 :])
-    keys = whole[inside] ^ (text[inside].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    at = inside[twice]
-    cover = np.zeros(len(numbers) + 1, np.int64)
+    return whole
+
+
+def _stretches(at: np.ndarray, size: int, n: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what the windows at ``at`` cover, cut where a text begins."""
+    cover = np.zeros(n + 1, np.int8)
     cover[at] += 1
     cover[at + size] -= 1
-    covered = np.cumsum(cover[:-1]) > 0
-    first = np.zeros(len(numbers), bool)
-    first[bounds[:-1][bounds[:-1] < len(numbers)]] = True
+    covered = np.cumsum(cover[:-1], dtype=np.int32) > 0
     starts = np.flatnonzero(covered & (first | ~np.r_[False, covered[:-1]]))
     ends = np.flatnonzero(covered & (np.r_[first[1:], True] | ~np.r_[covered[1:], False])) + 1
     return starts, ends
 
 
+def repeated_stretches(numbers: np.ndarray, bounds: np.ndarray, size: int, min_exponent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of stretches covered by windows of ``size`` words that stand twice, near by.
+
+    Inside a run the next or last equal window is at most a period away, and the run's stretch
+    is ``min_exponent`` periods long, so windows whose nearest equal one is farther are left
+    out, and so again in what then remains. Windows are compared by a hash; an accident only
+    makes a stretch longer than needed.
+    """
+    if len(numbers) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = len(numbers) - size + 1
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(text[:n] == text[size - 1 :])
+    keys = window_keys(numbers, size)[at] ^ (text[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+    order = np.argsort(keys, kind="stable")
+    gap = np.where(keys[order][1:] == keys[order][:-1], np.diff(at[order]), len(numbers))
+    nearest = np.empty(len(at), np.int64)
+    nearest[order] = np.minimum(np.r_[gap, len(numbers)], np.r_[len(numbers), gap])
+    most = np.diff(bounds)[text[at]]
+    first = np.zeros(len(numbers), bool)
+    first[bounds[:-1][bounds[:-1] < len(numbers)]] = True
+    for _ in range(3):  # any number of rounds is right; few windows go later
+        near = nearest * min_exponent <= most
+        at, nearest = at[near], nearest[near]
+        starts, ends = _stretches(at, size, len(numbers), first)
+        most = (ends - starts)[np.searchsorted(starts, at, "right") - 1]
+    return starts, ends
+
+
 def runs_in(numbers: np.ndarray, bounds: np.ndarray, min_length: int, min_exponent: int) -> np.ndarray:
     """Rows (place of the first word among all, length, period), by place and period."""
-    starts, ends = repeated_stretches(numbers, bounds, _gram_words(min_length, min_exponent))
+    starts, ends = repeated_stretches(numbers, bounds, _gram_words(min_length, min_exponent), min_exponent)
     long = ends - starts >= min_length
     starts, ends = starts[long], ends[long]
     found, first = [np.zeros((0, 3), np.int64)], 0
