@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viewmart.llm import (
     bpe, decontaminate, embedding_dedup, filter_audit, language_id, lm, periodic_runs, quality, simhash, suffix_dedup,
-    token_counts, toxicity,
+    token_counts, toxicity, url_filter,
 )
 from viewmart.llm.common import fold, read_table, tokenizer_file
 
@@ -83,6 +83,21 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+#: The stated rules of the url query.
+URL_RULES = [
+    url_filter.UrlRule("com", "/", "allow"),
+    url_filter.UrlRule("example.com", "/en/", "block"),
+    url_filter.UrlRule("www.example.com", "/en/", "allow"),
+    url_filter.UrlRule("net", "/es/", "block"),
+    url_filter.UrlRule("net", "/fr/", "block"),
+]
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Stated rules and, elsewhere, rules mined from what these say, for the url of every page."""
+    return url_filter.url_verdicts(read_table(spark, folder, "pages"), URL_RULES)
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of words of every document, one in ten of which has a planted one."""
     planted = periodic_runs.plant_periods(read_table(spark, folder, "documents"))
@@ -101,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_url_filter": op12_url_filter,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
