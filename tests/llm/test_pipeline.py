@@ -70,6 +70,6 @@ def test_registered():
     import __spark_entry__ as driver
 
     names = list(driver.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and "op5_decontaminate" in driver.oracle_sql()
