@@ -114,12 +114,12 @@ def imputed(name: str, table: str, key: str, column: str, statistic: str) -> Non
 
 
 imputed("impute_monthly_bill", "bronze_customers", "ingest_seq", "Monthly_Bill", "quantile_cont(Monthly_Bill, 0.5)")
-imputed("impute_signal", "bronze_tickets", "Ticket_ID", "Signal_Strength_dBm", "avg(Signal_Strength_dBm)")
+imputed("impute_signal", "bronze_tickets", "Ticket_ID", "Signal_Strength_dBm", "CAST(sum(CAST(Signal_Strength_dBm AS DECIMAL(28, 6))) AS DOUBLE) / count(Signal_Strength_dBm)")
 imputed(
     "impute_satisfaction", "bronze_tickets", "Ticket_ID", "Customer_Satisfaction_Rating",
     "quantile_cont(Customer_Satisfaction_Rating, 0.5)",
 )
-imputed("impute_buffering", "bronze_logs", "Log_ID", "Buffering_Events", "avg(Buffering_Events)")
+imputed("impute_buffering", "bronze_logs", "Log_ID", "Buffering_Events", "CAST(sum(CAST(Buffering_Events AS DECIMAL(28, 6))) AS DOUBLE) / count(Buffering_Events)")
 imputed("impute_rating", "bronze_logs", "Log_ID", "User_Rating", "quantile_cont(User_Rating, 0.5)")
 query("guard_defaults", "SELECT * FROM bare_technician_scores", SCORE_FRACTIONS)
 

@@ -148,7 +148,7 @@ SELECT * REPLACE (
   {title('Status')} AS Status, {title('Equipment_Model')} AS Equipment_Model,
   {title('Issue_Category')} AS Issue_Category, {title('Department')} AS Department,
   coalesce({title('Technician_Assigned')}, 'Unassigned') AS Technician_Assigned,
-  coalesce(Signal_Strength_dBm, (SELECT avg(Signal_Strength_dBm) FROM bronze_tickets)) AS Signal_Strength_dBm,
+  coalesce(Signal_Strength_dBm, (SELECT CAST(sum(CAST(Signal_Strength_dBm AS DECIMAL(28, 6))) AS DOUBLE) / count(Signal_Strength_dBm) FROM bronze_tickets)) AS Signal_Strength_dBm,
   coalesce(Customer_Satisfaction_Rating, (SELECT quantile_cont(Customer_Satisfaction_Rating, 0.5) FROM bronze_tickets))
     AS Customer_Satisfaction_Rating)
 FROM bronze_tickets
@@ -160,7 +160,7 @@ SELECT * REPLACE (
   {title('Program_Genre')} AS Program_Genre, {title('Content_Type')} AS Content_Type,
   upper(Stream_Quality) AS Stream_Quality, upper(Video_Resolution) AS Video_Resolution,
   CASE WHEN View_Duration_Mins > 480 THEN 480 ELSE View_Duration_Mins END AS View_Duration_Mins,
-  coalesce(Buffering_Events, (SELECT avg(Buffering_Events) FROM bronze_logs)) AS Buffering_Events,
+  coalesce(Buffering_Events, (SELECT CAST(sum(CAST(Buffering_Events AS DECIMAL(28, 6))) AS DOUBLE) / count(Buffering_Events) FROM bronze_logs)) AS Buffering_Events,
   coalesce(User_Rating, (SELECT quantile_cont(User_Rating, 0.5) FROM bronze_logs)) AS User_Rating)
 FROM bronze_logs
 """
@@ -169,9 +169,9 @@ CTES["ticket_metrics"] = """
 SELECT Customer_ID, count(Ticket_ID) AS Total_Tickets,
   coalesce(avg(Resolution_Time_Hrs), 0) AS Avg_Resolution_Time,
   coalesce(CAST(sum(CAST(Escalation_Flag AS INTEGER)) AS BIGINT), 0) AS Critical_Escalations,
-  coalesce(avg(Customer_Satisfaction_Rating), 0) AS Avg_Satisfaction,
+  coalesce(CAST(sum(CAST(Customer_Satisfaction_Rating AS DECIMAL(28, 6))) AS DOUBLE) / count(Customer_Satisfaction_Rating), 0) AS Avg_Satisfaction,
   coalesce(avg(CAST(First_Contact_Resolution AS INTEGER)), 0) AS FCR_Rate,
-  coalesce(avg(Signal_Strength_dBm), 0) AS Avg_Signal_Strength
+  coalesce(CAST(sum(CAST(Signal_Strength_dBm AS DECIMAL(28, 6))) AS DOUBLE) / count(Signal_Strength_dBm), 0) AS Avg_Signal_Strength
 FROM silver_tickets WHERE Customer_ID IS NOT NULL GROUP BY Customer_ID
 """
 
@@ -237,10 +237,10 @@ FROM customer_kpis
 CTES["technician_stats"] = """
 SELECT Technician_Assigned, count(Ticket_ID) AS Tickets_Count,
   coalesce(avg(Resolution_Time_Hrs), 0) AS Avg_Resolution_Time,
-  coalesce(avg(Customer_Satisfaction_Rating), 0) AS Avg_Satisfaction,
+  coalesce(CAST(sum(CAST(Customer_Satisfaction_Rating AS DECIMAL(28, 6))) AS DOUBLE) / count(Customer_Satisfaction_Rating), 0) AS Avg_Satisfaction,
   coalesce(avg(CAST(First_Contact_Resolution AS INTEGER)), 0) AS FCR_Rate,
   coalesce(avg(CAST(Remote_Resolution_Attempted AS INTEGER)), 0) AS Remote_Resolution_Rate,
-  coalesce(avg(Cost_Of_Resolution), 0) AS Cost_Per_Ticket
+  coalesce(CAST(sum(CAST(Cost_Of_Resolution AS DECIMAL(28, 6))) AS DOUBLE) / count(Cost_Of_Resolution), 0) AS Cost_Per_Ticket
 FROM silver_tickets WHERE Technician_Assigned IS NOT NULL GROUP BY Technician_Assigned
 """
 
@@ -290,7 +290,7 @@ FROM equipment_stats e CROSS JOIN (SELECT max(Total_Issues) AS most FROM equipme
 
 CTES["department_stats"] = """
 SELECT Department, count(Ticket_ID) AS Tickets_Handled, coalesce(avg(Resolution_Time_Hrs), 0) AS Avg_Resolution,
-  coalesce(avg(Customer_Satisfaction_Rating), 0) AS Satisfaction_Avg
+  coalesce(CAST(sum(CAST(Customer_Satisfaction_Rating AS DECIMAL(28, 6))) AS DOUBLE) / count(Customer_Satisfaction_Rating), 0) AS Satisfaction_Avg
 FROM silver_tickets WHERE Department IS NOT NULL GROUP BY Department
 """
 
@@ -325,7 +325,7 @@ SELECT Program_Genre, Channel_Name, Device_Type, Stream_Quality,
   coalesce(CAST(sum(View_Duration_Mins) AS BIGINT), 0) AS Total_View_Duration_Mins,
   coalesce(avg(View_Duration_Mins), 0) AS Average_View_Duration_Mins,
   count(DISTINCT Customer_ID) AS Unique_Customer_Count, count(Log_ID) AS Total_Views,
-  coalesce(avg(Buffering_Events), 0) AS Avg_Buffering_Events, coalesce(avg(User_Rating), 0) AS Avg_User_Rating
+  coalesce(CAST(sum(CAST(Buffering_Events AS DECIMAL(28, 6))) AS DOUBLE) / count(Buffering_Events), 0) AS Avg_Buffering_Events, coalesce(CAST(sum(CAST(User_Rating AS DECIMAL(28, 6))) AS DOUBLE) / count(User_Rating), 0) AS Avg_User_Rating
 FROM silver_logs
 WHERE Program_Genre IS NOT NULL AND Channel_Name IS NOT NULL AND Device_Type IS NOT NULL
   AND Stream_Quality IS NOT NULL
@@ -344,7 +344,7 @@ CTES["genre_performance"] = f"""
 SELECT g.*, coalesce(Genre_Peak_Quality, 'HD') AS Genre_Peak_Quality
 FROM (
   SELECT Program_Genre, count(DISTINCT Customer_ID) AS Genre_Total_Viewers, count(Log_ID) AS Genre_Total_Views,
-    coalesce(avg(View_Duration_Mins), 0) AS Genre_Avg_Duration, coalesce(avg(User_Rating), 0) AS Genre_Avg_Rating
+    coalesce(avg(View_Duration_Mins), 0) AS Genre_Avg_Duration, coalesce(CAST(sum(CAST(User_Rating AS DECIMAL(28, 6))) AS DOUBLE) / count(User_Rating), 0) AS Genre_Avg_Rating
   FROM silver_logs WHERE Program_Genre IS NOT NULL GROUP BY Program_Genre) g
 LEFT JOIN {most_common('Program_Genre', 'Genre_Peak_Quality')} USING (Program_Genre)
 """
@@ -354,7 +354,7 @@ SELECT d.*, coalesce(Device_Preferred_Quality, 'HD') AS Device_Preferred_Quality
 FROM (
   SELECT Device_Type, count(Log_ID) AS Device_Total_Views, count(DISTINCT Customer_ID) AS Device_Unique_Users,
     coalesce(avg(View_Duration_Mins), 0) AS Device_Avg_Duration,
-    coalesce(avg(Buffering_Events), 0) AS Device_Avg_Buffering
+    coalesce(CAST(sum(CAST(Buffering_Events AS DECIMAL(28, 6))) AS DOUBLE) / count(Buffering_Events), 0) AS Device_Avg_Buffering
   FROM silver_logs WHERE Device_Type IS NOT NULL GROUP BY Device_Type) d
 LEFT JOIN {most_common('Device_Type', 'Device_Preferred_Quality')} USING (Device_Type)
 """

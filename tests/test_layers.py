@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.plans import audits, dash_billing, medallion
+from viewmart.plans import audits, billing, content, dash_billing, medallion, operations
+from viewmart.functions import exact_avg
 from viewmart.schemas import bronze_names
 from viewmart.session import scratch, settle, shared_dir
 from fixtures import star_schema
+from fixtures.registry import tables
 from viewmart.sources import bronze_csv, layers
 
 SMALL = "/root/testdata/sf0.001"
@@ -227,3 +229,34 @@ def test_scratch_blocks_of_threads_are_apart(spark):
         thread.start()
         thread.join()
         assert os.path.exists(kept) and not os.path.exists(paths["thread"])
+
+
+def gold_marks(spark, deal):
+    t = tables(spark, SMALL)
+    tickets, logs = deal(t.tickets, "Ticket_ID"), deal(t.logs, "Log_ID")
+    gold = {
+        "billing": billing.gold_billing(t.customers, tickets),
+        "content": content.gold_content(logs),
+        "operations": operations.gold_operations(tickets),
+    }
+    return sorted(map(tuple, medallion.contents(gold).collect()))
+
+
+@pytest.fixture(scope="module")
+def stored_gold_marks(spark):
+    return gold_marks(spark, lambda df, key: df)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8, 50, 200])
+def test_gold_does_not_depend_on_the_order_of_rows(spark, stored_gold_marks, partitions):
+    """Averages of fractions, and with them scores and checksums, are the same however rows are dealt."""
+    dealt = gold_marks(spark, lambda df, key: df.repartition(partitions, F.xxhash64(key, F.lit(partitions))).sortWithinPartitions(F.xxhash64(key)))
+    assert dealt == stored_gold_marks
+
+
+def test_exact_averages_know_no_order(spark):
+    values = [0.1 * i for i in range(1000)] + [1e15, -1e15, 1e-7, None, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    means = {df.repartition(n).agg(exact_avg("x")).first()[0] for n in (1, 3, 17)}
+    assert means == {sum(round(1e5 * i) for i in range(1000)) / 1e6 / 1003}
+    assert df.where("false").agg(exact_avg("x")).first()[0] is None

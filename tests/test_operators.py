@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viewmart.operators import (
-    any_of, attach_lookup, exact_quantiles, existing, histogram, impute, keep_first, most_common, unique_names,
+    any_of, attach_lookup, exact_quantiles, existing, histogram, impute, keep_first, most_common, quantile_values, unique_names,
     value_counts, where_in, with_globals,
 )
 from viewmart.session import settle
@@ -47,18 +47,21 @@ def test_quantiles_are_exact(spark, kind):
     fractions = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "low": 0.0, "high": 1.0, "odd": 0.9173}
     row = exact_quantiles(df, "x", fractions).collect()
     assert len(row) == 1
+    at_once = quantile_values(df, "x", fractions)
     ordered = sorted(values)
     for name, fraction in fractions.items():
         place = fraction * (len(ordered) - 1)
         low, high, part = ordered[math.floor(place)], ordered[math.ceil(place)], place - math.floor(place)
         expected = low if low == high else (1 - part) * low + part * high
         assert math.isclose(row[0][name], expected, rel_tol=1e-12, abs_tol=1e-320), (name, row[0][name], expected)
+        assert math.isclose(at_once[name], expected, rel_tol=1e-12, abs_tol=1e-320), (name, at_once[name], expected)
 
 
 @pytest.mark.parametrize("rows", [[], [(None,), (None,)], [(math.nan,)]])
 def test_quantiles_of_nothing(spark, rows):
     df = frame(spark, rows, "x double")
     assert exact_quantiles(df, "x", {"q": 0.5}).collect()[0].q is None
+    assert quantile_values(df, "x", {"q": 0.5}) == {"q": None}
 
 
 def test_quantiles_read_nothing_ahead(spark):
@@ -67,6 +70,19 @@ def test_quantiles_read_nothing_ahead(spark):
     exact_quantiles(df, "x", {"q": 0.5})
 
 
+def test_a_pass_ends_when_every_rank_is_found(spark):
+    """Few distinct values are found in one pass, which reads the column once."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = frame(spark, [(float(i % 5),) for i in range(400)], "x double").mapInArrow(seen, "x double")
+    assert quantile_values(df, "x", {"low": 0.25, "mid": 0.5}) == {"low": 1.0, "mid": 2.0} and reads.value == 400
+
+
 # --- joins to per-key tables -------------------------------------------------------------
 
 

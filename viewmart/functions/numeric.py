@@ -21,6 +21,25 @@ def score(value: Column) -> Column:
     return F.coalesce(truncate(value), F.lit(0))
 
 
+#: Fractions add up to six digits, so sums do not depend on the order of the rows.
+EXACT = "decimal(28,6)"
+
+
+def exact(value: Column) -> Column:
+    """The value to six digits as a decimal, for sums that know no order.
+
+    Doubles that are added up in another order differ in their last bits, which a comparison or a
+    truncated score turns into another result. NaN, the infinities and 1e22 or more become NULL.
+    """
+    return value.try_cast(EXACT)
+
+
+def exact_avg(value: Column | str) -> Column:
+    """The mean of the values that are not NULL, the same in any order of the rows."""
+    taken = exact(F.col(value) if isinstance(value, str) else value)
+    return F.try_divide(F.sum(taken).cast("double"), F.count(taken))
+
+
 def ladder(steps: Iterable[tuple[Column, object]], otherwise: object) -> Column:
     """The label of the first condition that holds; a NULL condition does not hold."""
     chain = F

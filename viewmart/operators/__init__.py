@@ -5,9 +5,9 @@ from viewmart.operators.frequency import histogram, most_common, value_counts
 from viewmart.operators.global_stats import impute, with_globals
 from viewmart.operators.guards import any_of, existing, has, unique_names, where_in
 from viewmart.operators.lookup import attach_lookup
-from viewmart.operators.quantiles import exact_quantiles
+from viewmart.operators.quantiles import exact_quantiles, quantile_values
 
 __all__ = [
     "any_of", "attach_lookup", "exact_quantiles", "existing", "has", "histogram", "impute",
-    "keep_first", "most_common", "unique_names", "value_counts", "where_in", "with_globals",
+    "keep_first", "most_common", "quantile_values", "unique_names", "value_counts", "where_in", "with_globals",
 ]

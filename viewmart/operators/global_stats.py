@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from viewmart.operators.quantiles import exact_quantiles
+from viewmart.functions.numeric import exact_avg
+from viewmart.operators.quantiles import quantile_values
 
 
 def with_globals(df: DataFrame, source: DataFrame, **stats: Column) -> DataFrame:
@@ -19,11 +20,9 @@ def impute(df: DataFrame, means: tuple[str, ...] = (), medians: tuple[str, ...]
     """Replace NULL by the column's own mean or exact median over all rows."""
     filled = df
     if means:
-        filled = with_globals(filled, df, **{f"_fill_{name}": F.avg(name) for name in means})
-    for name in medians:
-        one_row = exact_quantiles(df, name, {f"_fill_{name}": 0.5})
-        filled = filled.crossJoin(F.broadcast(one_row))
-    names = [*means, *medians]
+        filled = with_globals(filled, df, **{f"_fill_{name}": exact_avg(name) for name in means})
+    fills = {name: F.col(f"_fill_{name}") for name in means}
+    fills |= {name: F.lit(quantile_values(df, name, {name: 0.5})[name]).cast("double") for name in medians}
     return filled.withColumns(
-        {name: F.coalesce(F.col(name).cast("double"), F.col(f"_fill_{name}")) for name in names}
-    ).drop(*[f"_fill_{name}" for name in names])
+        {name: F.coalesce(F.col(name).cast("double"), fill) for name, fill in fills.items()}
+    ).drop(*[f"_fill_{name}" for name in means])

@@ -1,4 +1,4 @@
-"""Exact quantiles of a column, found the same way at every size.
+"""Exact quantiles of a column, found the same way at every size, as a plan or at once.
 
 ``percentile`` gathers every distinct value in one task. Here the wanted ranks are narrowed
 down in three counting passes, each a map-side combined ``groupBy`` with a bounded number of
@@ -11,8 +11,14 @@ groups:
    2**24 distinct doubles fit).
 
 Both codes only ever grow with the value, so counting groups in order gives exact ranks.
+
+``exact_quantiles`` is one plan that runs nothing until it is used. ``quantile_values`` runs the passes at
+once and stops as soon as each wanted rank stands in a group of a single value, which ratings and
+counts mostly do after the first pass and amounts after the second.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _CELLS_PER_E = 1024
@@ -100,3 +106,50 @@ def exact_quantiles(df: DataFrame, column: str, fractions: dict[str, float]) ->
         between = (F.lit(1.0) - part) * low + part * high
         picked.append(F.when(low == high, low).otherwise(between).alias(name))
     return found.agg(*picked)
+
+
+def _held(groups: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """Groups with the number of values up to each, and in all, within ``keys``."""
+    # Without keys the windows run over the counts of cells only, never over the rows.
+    part = Window.partitionBy(*keys)
+    return groups.withColumns({"upto": F.sum("n").over(part.orderBy(code)), "total": F.sum("n").over(part)})
+
+
+def quantile_values(df: DataFrame, column: str, fractions: dict[str, float]) -> dict[str, float | None]:
+    """An exact, linearly interpolated quantile per entry of ``fractions``.
+
+    NULL and NaN are skipped; the quantiles of no values are None. Each pass runs when this is called and
+    brings at most two rows a fraction to the driver.
+    """
+    values = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counted = [F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
+    cells = _held(values.groupBy(_cell(F.col("value")).alias("cell")).agg(*counted), [], "cell")
+    places = [F.floor(F.lit(float(f)) * (F.col("total") - 1)) for f in fractions.values()]
+    places += [F.ceil(F.lit(float(f)) * (F.col("total") - 1)) for f in fractions.values()]
+    wants = F.array(*[F.struct(F.lit(i).alias("want"), place.cast("long").alias("rank")) for i, place in enumerate(places)])
+    inside = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    rows = cells.select("*", F.explode(wants).alias("w")).select("*", "w.*").where(inside).collect()
+    if not rows:
+        return dict.fromkeys(fractions)
+    total = rows[0]["total"]
+    #: Per wanted rank: its place among the values of its group, and the group's smallest and largest.
+    found = {r["want"]: (r["rank"] - (r["upto"] - r["n"]), r["low"], r["high"]) for r in rows}
+    while spans := sorted({(low, high) for _, low, high in found.values() if low < high}):
+        code, span = F, F
+        for i, (low, high) in enumerate(spans):
+            own = F.col("value").between(low, high)
+            code = code.when(own, F.floor((F.col("value") - low) / F.lit(high - low) * _SLICES).cast("long"))
+            span = span.when(own, i)
+        sliced = values.select("value", span.alias("span"), code.alias("slice")).where(F.col("span").isNotNull())
+        groups = _held(sliced.groupBy("span", "slice").agg(*counted), ["span"], "slice")
+        asked = {want: (spans.index((low, high)), rank) for want, (rank, low, high) in found.items() if low < high}
+        wants = F.array(*[F.struct(F.lit(w).alias("want"), F.lit(s).alias("of"), F.lit(r).cast("long").alias("rank")) for w, (s, r) in asked.items()])
+        rows = groups.select("*", F.explode(wants).alias("w")).select("*", "w.*").where((F.col("of") == F.col("span")) & inside).collect()
+        found |= {r["want"]: (r["rank"] - (r["upto"] - r["n"]), r["low"], r["high"]) for r in rows}
+    picked = {}
+    for i, (name, fraction) in enumerate(fractions.items()):
+        low, high = found[i][1], found[len(fractions) + i][1]
+        position = float(fraction) * (total - 1)
+        part = position - math.floor(position)
+        picked[name] = low if low == high else (1.0 - part) * low + part * high
+    return picked

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.functions import bands, clip, days_until, ladder, score
+from viewmart.functions import bands, clip, days_until, exact_avg, ladder, score
 from viewmart.operators import has, with_globals
 
 
@@ -23,9 +23,9 @@ def ticket_metrics(tickets: DataFrame) -> DataFrame:
             number.alias("Total_Tickets"),
             F.avg("Resolution_Time_Hrs").alias("Avg_Resolution_Time"),
             measure("Escalation_Flag", lambda c: F.sum(c.cast("int"))).alias("Critical_Escalations"),
-            measure("Customer_Satisfaction_Rating", F.avg).alias("Avg_Satisfaction"),
+            measure("Customer_Satisfaction_Rating", exact_avg).alias("Avg_Satisfaction"),
             measure("First_Contact_Resolution", lambda c: F.avg(c.cast("int"))).alias("FCR_Rate"),
-            measure("Signal_Strength_dBm", F.avg).alias("Avg_Signal_Strength"),
+            measure("Signal_Strength_dBm", exact_avg).alias("Avg_Signal_Strength"),
         )
         .fillna(0)
     )

@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.functions import clip, ladder, score
-from viewmart.operators import any_of, attach_lookup, exact_quantiles, most_common, unique_names, with_globals
+from viewmart.functions import clip, exact, exact_avg, ladder, score
+from viewmart.operators import any_of, attach_lookup, most_common, quantile_values, unique_names, with_globals
 from viewmart.session import settle
 
 
@@ -51,11 +51,10 @@ def viewer_cells(logs: DataFrame) -> DataFrame:
     Cells, genres, devices and all numbers of distinct viewers add up from it, so gold content
     reads the logs once.
     """
+    # Minutes are whole numbers; the others may be fractions.
+    added = {name: F.col(name) if name == "View_Duration_Mins" else exact(F.col(name)) for name, _, _ in _AVERAGED if name in logs.columns}
     sums = [
-        part
-        for name, _, _ in _AVERAGED
-        if name in logs.columns
-        for part in (F.sum(name).alias(f"sum_{name}"), F.count(name).alias(f"n_{name}"))
+        part for name, value in added.items() for part in (F.sum(value).alias(f"sum_{name}"), F.count(value).alias(f"n_{name}"))
     ]
     return logs.groupBy(*fv.CONTENT_KEYS, "Customer_ID").agg(F.count("Log_ID").alias("views"), *sums)
 
@@ -63,7 +62,7 @@ def viewer_cells(logs: DataFrame) -> DataFrame:
 def cells_of(viewers: DataFrame) -> DataFrame:
     """Views per content cell, from ``viewer_cells``."""
     averages = [
-        any_of(viewers, f"n_{name}", lambda n, name=name: F.try_divide(F.sum(f"sum_{name}"), F.sum(n)), instead).alias(label)
+        any_of(viewers, f"n_{name}", lambda n, name=name: F.try_divide(F.sum(f"sum_{name}").cast("double"), F.sum(n)), instead).alias(label)
         for name, instead, label in _AVERAGED
     ]
     return (
@@ -101,7 +100,7 @@ def genre_performance(logs: DataFrame) -> DataFrame:
     measures = _by(logs, "Program_Genre").agg(
         F.count("Log_ID").alias("Genre_Total_Views"),
         F.avg("View_Duration_Mins").alias("Genre_Avg_Duration"),
-        any_of(logs, "User_Rating", F.avg, fv.DEFAULT_RATING).alias("Genre_Avg_Rating"),
+        any_of(logs, "User_Rating", exact_avg, fv.DEFAULT_RATING).alias("Genre_Avg_Rating"),
     )
     counted = _with_viewers(measures, logs, ["Program_Genre"], "Genre_Total_Viewers")
     return _with_quality(counted, logs, "Program_Genre", "Genre_Peak_Quality")
@@ -116,7 +115,7 @@ def device_performance(logs: DataFrame) -> DataFrame:
     measures = _by(logs, "Device_Type").agg(
         F.count("Log_ID").alias("Device_Total_Views"),
         F.avg("View_Duration_Mins").alias("Device_Avg_Duration"),
-        any_of(logs, "Buffering_Events", F.avg, fv.DEFAULT_BUFFERING).alias("Device_Avg_Buffering"),
+        any_of(logs, "Buffering_Events", exact_avg, fv.DEFAULT_BUFFERING).alias("Device_Avg_Buffering"),
     )
     counted = _with_viewers(measures, logs, ["Device_Type"], "Device_Unique_Users")
     return _with_quality(counted, logs, "Device_Type", "Device_Preferred_Quality")
@@ -143,8 +142,8 @@ def quality_analysis(logs: DataFrame) -> DataFrame:
         _by(logs, "Stream_Quality")
         .agg(
             F.count("Log_ID").alias("Quality_View_Count"),
-            any_of(logs, "Buffering_Events", F.avg, fv.DEFAULT_BUFFERING).alias("Quality_Avg_Buffering"),
-            any_of(logs, "User_Rating", F.avg, fv.DEFAULT_RATING).alias("Quality_Avg_Rating"),
+            any_of(logs, "Buffering_Events", exact_avg, fv.DEFAULT_BUFFERING).alias("Quality_Avg_Buffering"),
+            any_of(logs, "User_Rating", exact_avg, fv.DEFAULT_RATING).alias("Quality_Avg_Rating"),
         )
         .fillna(0)
     )
@@ -192,11 +191,10 @@ def quality_satisfaction() -> Column:
 
 def with_popularity(df: DataFrame, cells: DataFrame) -> DataFrame:
     """Quartile of the views; on repeated edges the lowest tier that fits."""
-    edges = exact_quantiles(cells, "Total_Views", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    edges = quantile_values(cells, "Total_Views", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     views = F.col("Total_Views")
-    steps = [(views <= F.col(edge), label) for edge, label in zip(edges.columns, fv.POPULARITY_LABELS)]
-    tier = F.when(views.isNotNull(), ladder(steps, fv.POPULARITY_LABELS[-1]))
-    return df.crossJoin(F.broadcast(edges)).withColumn("Popularity_Tier", tier).drop(*edges.columns)
+    steps = [(views <= F.lit(edge), label) for edge, label in zip(edges.values(), fv.POPULARITY_LABELS)]
+    return df.withColumn("Popularity_Tier", F.when(views.isNotNull(), ladder(steps, fv.POPULARITY_LABELS[-1])))
 
 
 def customer_penetration() -> Column:

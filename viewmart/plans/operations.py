@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.functions import bands, clip, elapsed_days, elapsed_hours, ladder, score
+from viewmart.functions import bands, clip, elapsed_days, elapsed_hours, exact, exact_avg, ladder, score
 from viewmart.operators import any_of, attach_lookup, has, unique_names, with_globals
 from viewmart.plans.billing import ticket_metrics
 from viewmart.session import settle
@@ -38,7 +38,7 @@ def work_cells(tickets: DataFrame) -> DataFrame:
     parts = [F.count("Ticket_ID").alias("tickets"), F.count("*").alias("rows")]
     for name in [*_NUMBERS, *_FLAGS]:
         if has(tickets, name):
-            value = F.col(name).cast("int") if name in _FLAGS else F.col(name)
+            value = F.col(name).cast("int") if name in _FLAGS else exact(F.col(name))
             parts += [F.sum(value).alias(f"sum_{name}"), F.count(value).alias(f"n_{name}")]
     if has(tickets, "Priority_Level"):
         parts.append(F.count_if(F.col("Priority_Level") == "High").alias("high"))
@@ -46,7 +46,7 @@ def work_cells(tickets: DataFrame) -> DataFrame:
 
 
 def _mean(cells: DataFrame, name: str, instead: object) -> Column:
-    return any_of(cells, f"n_{name}", lambda n: F.try_divide(F.sum(f"sum_{name}"), F.sum(n)), instead)
+    return any_of(cells, f"n_{name}", lambda n: F.try_divide(F.sum(f"sum_{name}").cast("double"), F.sum(n)), instead)
 
 
 def technicians_of(cells: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def department_stats(tickets: DataFrame) -> DataFrame:
         .agg(
             F.count("Ticket_ID").alias("Tickets_Handled"),
             F.avg("Resolution_Time_Hrs").alias("Avg_Resolution"),
-            any_of(tickets, "Customer_Satisfaction_Rating", F.avg, fv.DEFAULT_RATING).alias("Satisfaction_Avg"),
+            any_of(tickets, "Customer_Satisfaction_Rating", exact_avg, fv.DEFAULT_RATING).alias("Satisfaction_Avg"),
         )
         .fillna(0)
     )
