@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fixtures import star_schema
 from viewmart import fixed_values as fv
 from viewmart.functions import title_case
-from viewmart.operators import impute, keep_first
+from viewmart.operators import impute, keep_first, with_class_names
 from viewmart.plans import (
     audits, billing, cards, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
 )
@@ -230,6 +230,28 @@ def _category_variants(t: Tables) -> DataFrame:
     )
 
 
+def _misspelled(t: Tables) -> DataFrame:
+    return star_schema.misspelled_tickets(t.spark, t.folder)
+
+
+def _spelling_clusters(t: Tables) -> DataFrame:
+    return audits.spelling_classes(
+        {
+            "customers": (t.bronze("customers"), ["Subscription_Type", "Service_Tier", "Employment_Status", "State"]),
+            "tickets": (_misspelled(t), ["Status", "Equipment_Model", "Issue_Category", "Department"]),
+            "viewing_logs": (t.bronze("viewing_logs"), ["Stream_Quality", "Video_Resolution", "Content_Type"]),
+        }
+    )
+
+
+def _unified_tickets(t: Tables) -> DataFrame:
+    tickets = _misspelled(t)
+    classes = audits.spelling_classes({"tickets": (tickets, ["Status", "Department"])})
+    for column in ("Status", "Department"):
+        tickets = with_class_names(tickets, column, settle(classes.where(F.col("Column_Name") == column), "spellings"))
+    return tickets.groupBy("Status", "Department").agg(F.count("*").alias("Tickets"))
+
+
 _ID_NAME_BILL = ["Customer_ID", "ingest_seq", "Name", "Monthly_Bill"]
 _CHOSEN_CUSTOMERS = {"regions": ["ASIA", "EUROPE"], "segments": ["VIP_Advocates", "Standard"]}
 
@@ -422,6 +444,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "dq_future_dates": lambda t: audits.future_dates(t.bronze("customers")),
     "dq_outliers": lambda t: audits.outliers(t.bronze("customers"), t.bronze("viewing_logs")),
     "dq_category_variants": _category_variants,
+    "dq_spelling_clusters": _spelling_clusters,
+    "unified_tickets": _unified_tickets,
     "dq_negative_durations": lambda t: audits.negative_durations(t.bronze("tickets"), t.bronze("viewing_logs")),
     "dq_orphans": lambda t: audits.orphans(
         t.bronze("customers"), {"tickets": t.bronze("tickets"), "viewing_logs": t.bronze("viewing_logs")}

@@ -619,6 +619,55 @@ query(
         ]
     ),
 )
+
+
+def spelling(columns: dict[str, list[str]]) -> str:
+    """Spellings and their classes: here every pair of skeletons is compared, and classes are walked."""
+    values = " UNION ALL ".join(
+        f"SELECT '{_label.get(table, 'tickets')}' AS Table_Name, '{name}' AS Column_Name, {name} AS Value, count(*) AS Row_Count"
+        f" FROM {table} WHERE {name} IS NOT NULL GROUP BY 3"
+        for table, names in columns.items()
+        for name in names
+    )
+    return f"""
+    WITH RECURSIVE counted AS ({values}),
+    bare AS (SELECT *, lower(regexp_replace(Value, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS folded FROM counted),
+    boned AS (SELECT *, string_split(folded[1:1] || regexp_replace(folded[2:], '[aeiou]', '', 'g'), '') AS letters FROM bare),
+    skeletons AS (
+      SELECT *, array_to_string(list_filter(letters, lambda x, i: i = 1 OR x <> letters[i - 1] OR NOT regexp_matches(x, '\\p{{L}}')), '') AS bone
+      FROM boned),
+    spelled AS (
+      SELECT *, CASE WHEN folded = '' THEN '=' || Value WHEN len(bone) < 4 THEN '~' || folded ELSE bone END AS skeleton FROM skeletons),
+    longest AS (
+      SELECT Table_Name, Column_Name, skeleton, arg_max(folded, (len(folded), folded)) AS folded
+      FROM spelled WHERE skeleton = bone GROUP BY ALL),
+    links AS (
+      SELECT a.Table_Name, a.Column_Name, a.skeleton AS a, b.skeleton AS b
+      FROM longest a JOIN longest b ON a.Table_Name = b.Table_Name AND a.Column_Name = b.Column_Name AND a.skeleton <> b.skeleton
+      WHERE levenshtein(a.skeleton, b.skeleton) <= 1
+        AND levenshtein(a.folded, b.folded) <= floor(greatest(len(a.folded), len(b.folded)) * 0.25)
+        AND regexp_replace(a.folded, '[^\\p{{N}}]', '', 'g') = regexp_replace(b.folded, '[^\\p{{N}}]', '', 'g')),
+    reach AS (
+      SELECT DISTINCT Table_Name, Column_Name, skeleton, skeleton AS other FROM spelled
+      UNION
+      SELECT r.Table_Name, r.Column_Name, r.skeleton, l.b FROM reach r
+      JOIN links l ON r.Table_Name = l.Table_Name AND r.Column_Name = l.Column_Name AND r.other = l.a),
+    classes AS (SELECT Table_Name, Column_Name, skeleton, min(other) AS class FROM reach GROUP BY ALL)
+    SELECT Table_Name, Column_Name, Value, Row_Count,
+      first_value(Value) OVER (PARTITION BY Table_Name, Column_Name, class ORDER BY Row_Count DESC, Value) AS Class_Name,
+      count(*) OVER (PARTITION BY Table_Name, Column_Name, class) AS Class_Spellings,
+      CAST(sum(Row_Count) OVER (PARTITION BY Table_Name, Column_Name, class) AS BIGINT) AS Class_Rows
+    FROM spelled JOIN classes USING (Table_Name, Column_Name, skeleton)"""
+
+
+query("dq_spelling_clusters", f"SELECT * FROM ({spelling({name.replace('bronze_t', 'misspelled_t'): names for name, names in _variants.items()})})")
+_spelled = spelling({"misspelled_tickets": ["Status", "Department"]})
+query(
+    "unified_tickets",
+    f"SELECT coalesce(s.Class_Name, Status) AS Status, coalesce(d.Class_Name, Department) AS Department, count(*) AS Tickets"
+    f" FROM misspelled_tickets LEFT JOIN (SELECT * FROM ({_spelled}) WHERE Column_Name = 'Status') s ON Status = s.Value"
+    f" LEFT JOIN (SELECT * FROM ({_spelled}) WHERE Column_Name = 'Department') d ON Department = d.Value GROUP BY 1, 2",
+)
 query(
     "dq_negative_durations",
     "SELECT 'tickets' AS Table_Name, count(*) AS Row_Count, count(*) FILTER (WHERE Resolved_Date < Created_Date)"

@@ -131,6 +131,16 @@ FROM (
   FROM events)
 """
 
+CTES["misspelled_tickets"] = """
+SELECT * REPLACE (
+  CASE WHEN Status = 'CLOSED' AND Ticket_ID % 37 = 3 THEN 'Clsd' WHEN Status = 'CLOSED' AND Ticket_ID % 41 = 5 THEN ' closed.'
+    WHEN Status = 'In Progress' AND Ticket_ID % 43 = 7 THEN 'in-Progres' ELSE Status END AS Status,
+  CASE WHEN Department = 'billing' AND Ticket_ID % 31 = 2 THEN 'Biling'
+    WHEN Department = 'Installation' AND Ticket_ID % 29 = 4 THEN 'Instalation'
+    WHEN Department = 'network operations' AND Ticket_ID % 23 = 9 THEN 'Netwark Operations' ELSE Department END AS Department)
+FROM bronze_tickets
+"""
+
 CTES["silver_customers"] = f"""
 SELECT * EXCLUDE (ingest_seq) REPLACE (
   {title('Name')} AS Name, {title('City')} AS City, upper(State) AS State,

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viewmart.fixed_values import AS_OF, MAX_VIEW_MINUTES
-from viewmart.operators import existing
+from viewmart.operators import existing, spelling_clusters
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
@@ -77,6 +77,22 @@ def outliers(
     )
 
 
+def category_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(Table_Name, Column_Name, Value, Row_Count) for the values that are not NULL.
+
+    Each table is read once, and only counted distinct pairs leave the map side.
+    """
+    parts = []
+    for table, (df, names) in tables.items():
+        pairs = F.explode(
+            F.array(*[F.struct(F.lit(name).alias("Column_Name"), F.col(name).alias("Value")) for name in existing(df, names)])
+        )
+        values = df.select(F.lit(table).alias("Table_Name"), pairs.alias("pair")).select("Table_Name", "pair.*")
+        values = values.where(F.col("Value").isNotNull())
+        parts.append(values.groupBy("Table_Name", "Column_Name", "Value").agg(F.count("*").alias("Row_Count")))
+    return _stack(parts)
+
+
 def category_variants(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """Spellings per column, and how many remain once letter case is ignored.
 
@@ -97,6 +113,11 @@ def category_variants(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFra
     return _stack(parts)
 
 
+def spelling_classes(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Each spelling of each column with its number of rows and the class that it belongs to."""
+    return spelling_clusters(category_counts(tables), ["Table_Name", "Column_Name"])
+
+
 def negative_durations(tickets: DataFrame, logs: DataFrame) -> DataFrame:
     def backwards(df: DataFrame, table: str, start: str, end: str) -> DataFrame:
         return df.agg(
