@@ -14,10 +14,12 @@ from viewmart.functions import title_case
 from viewmart.operators import impute, keep_first, with_class_names
 from viewmart.plans import (
     audits, billing, cards, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
+    viewers,
 )
 from viewmart.session import new_folder, settle
 from viewmart.sources import bronze_csv
 from viewmart.sources.layers import read_layer, write_layer
+from viewmart.sources.reload import LayerCache
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -252,11 +254,50 @@ def _unified_tickets(t: Tables) -> DataFrame:
     return tickets.groupBy("Status", "Department").agg(F.count("*").alias("Tickets"))
 
 
+def _layer_reload(t: Tables) -> DataFrame:
+    """What a dashboard's cache shows of a table that is published again behind it."""
+    base, now, seen = new_folder(t.spark, "layer-reload"), [0.0], []
+    customers = t.bronze("customers")
+    cache = LayerCache(t.spark, base, layer="bronze", seconds=300, clock=lambda: now[0])
+
+    def look(step: str) -> None:
+        regions = cache.get("customers").groupBy("Region").agg(F.count("*").alias("Row_Count"))
+        seen.append(settle(regions.select(F.lit(step).alias("Step"), "Region", "Row_Count"), "reload"))
+
+    write_layer(customers.where(F.col("Region") != "ASIA"), base, "bronze", "customers")
+    look("first load")
+    write_layer(customers, base, "bronze", "customers")
+    look("before expiry")
+    now[0] = 301.0
+    look("after expiry")
+    write_layer(customers.where(F.col("Region") == "ASIA"), base, "bronze", "customers")
+    look("before clear")
+    cache.clear()
+    look("after clear")
+    cache.clear()
+    result = seen[0]
+    for part in seen[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _distinct_viewers(t: Tables) -> DataFrame:
+    sketches = settle(viewers.viewer_sketches(t.logs), "viewer-sketches")
+    by_key = [viewers.viewer_check(sketches, t.logs, by) for by in fv.CONTENT_KEYS]
+    filtered = viewers.viewer_check(sketches, t.logs, "Program_Genre", devices=["Smart Tv", "Tablet"])
+    result = filtered.withColumn("Dimension", F.lit("Program_Genre on two devices"))
+    for part in by_key:
+        result = result.unionByName(part)
+    return result
+
+
 _ID_NAME_BILL = ["Customer_ID", "ingest_seq", "Name", "Monthly_Bill"]
 _CHOSEN_CUSTOMERS = {"regions": ["ASIA", "EUROPE"], "segments": ["VIP_Advocates", "Standard"]}
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     # sources, sinks, layer jobs
+    "layer_reload": _layer_reload,
+    "d2_distinct_viewers": _distinct_viewers,
     "scan_customers": _scan("customers"),
     "scan_tickets": _scan("tickets"),
     "scan_logs": _scan("viewing_logs"),

@@ -668,6 +668,33 @@ query(
     f" FROM misspelled_tickets LEFT JOIN (SELECT * FROM ({_spelled}) WHERE Column_Name = 'Status') s ON Status = s.Value"
     f" LEFT JOIN (SELECT * FROM ({_spelled}) WHERE Column_Name = 'Department') d ON Department = d.Value GROUP BY 1, 2",
 )
+_by_region = "Region, count(*) AS Row_Count FROM bronze_customers WHERE {} GROUP BY Region"
+query(
+    "layer_reload",
+    union(
+        [
+            f"SELECT '{step}' AS Step, {_by_region.format(kept)}"
+            for step, kept in {
+                "first load": "Region <> 'ASIA'", "before expiry": "Region <> 'ASIA'", "after expiry": "true",
+                "before clear": "true", "after clear": "Region = 'ASIA'",
+            }.items()
+        ]
+    ),
+)
+_full_cell = " AND ".join(f"{key} IS NOT NULL" for key in KEYS.split(", "))
+query(
+    "d2_distinct_viewers",
+    union(
+        [
+            f"SELECT '{label}' AS Dimension, {key} AS \"Key\", count(Log_ID) AS Total_Views,"
+            f" count(DISTINCT Customer_ID) AS Distinct_Viewers, true AS Within_Bound FROM silver_logs WHERE {_full_cell}{extra} GROUP BY {key}"
+            for label, key, extra in [
+                *[(key, key, "") for key in KEYS.split(", ")],
+                ("Program_Genre on two devices", "Program_Genre", " AND Device_Type IN ('Smart Tv', 'Tablet')"),
+            ]
+        ]
+    ),
+)
 query(
     "dq_negative_durations",
     "SELECT 'tickets' AS Table_Name, count(*) AS Row_Count, count(*) FILTER (WHERE Resolved_Date < Created_Date)"

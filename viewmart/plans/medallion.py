@@ -45,7 +45,7 @@ def run_unreadable(bronze: dict[str, DataFrame], base: str, limit: int | None =
     total = stored.agg(F.coalesce(F.sum("Bad_Values"), F.lit(0))).first()[0]
     if limit is not None and total > limit:
         raise ValueError(f"{total} cells or records could not be read, more than {limit}; see {base}/bronze/unreadable_values")
-    return first.sparkSession.read.parquet(f"{base}/bronze/unreadable_values")
+    return read_layer(first.sparkSession, base, "bronze", "unreadable_values")
 
 
 def run_silver(

@@ -1,30 +1,135 @@
-"""Layer tables: Parquet folders ``<base>/<layer>/<table>``."""
+"""Layer tables: versions of Parquet below ``<base>/<layer>/<table>``, published one at a time.
 
+A version is written to a folder of its own. Then one small entry in the table's ``log`` names it, which is
+put there by a rename that fails if the entry exists. Readers look up the last entry, so they see
+the old table until the new one is whole, and a job that fails or is run twice at once never leaves half a
+table. A table may be rebuilt from itself for the same reason.
+"""
+
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from viewmart.sources.bronze_csv import write_csv
 
+#: Versions that stay readable, the last one included; whoever reads longer may lose the files.
+KEPT_VERSIONS = 2
+
+
+class PublishConflict(RuntimeError):
+    """Another job published the same version first."""
+
 
 def layer_path(base: str, layer: str, table: str) -> str:
     return f"{base.rstrip('/')}/{layer}/{table}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    # PySpark has no public calls that rename or list files of any file system.
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files, files.makeQualified(place)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    files, place = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in files.listStatus(place)) if files.exists(place) else []
+
+
+def _entries(spark: SparkSession, path: str) -> dict[int, str]:
+    return {int(name[:-5]): name for name in _names(spark, f"{path}/log") if name.endswith(".json") and name[:-5].isdigit()}
+
+
+def _read_entry(spark: SparkSession, path: str, name: str) -> dict:
+    files, place = _file_system(spark, f"{path}/log/{name}")
+    stream = files.open(place)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _put_entry(spark: SparkSession, path: str, version: int, entry: dict) -> None:
+    files, draft = _file_system(spark, f"{path}/log/draft-{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    try:
+        stream.write(json.dumps(entry).encode())
+    finally:
+        stream.close()
+    _, final = _file_system(spark, f"{path}/log/{version:020d}.json")
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(draft, final, no_options)
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            raise PublishConflict(f"version {version} of {path} was published by another job") from error
+        raise
+
+
+def _forget(spark: SparkSession, path: str, version: int, keep: int) -> None:
+    """Deletes versions beyond ``keep``, and folders that can no longer be published.
+
+    A folder whose number is not above the last published one, and that no entry names, belongs to a
+    job that failed or lost the race.
+    """
+    entries = _entries(spark, path)
+    named = {}
+    for number in sorted(entries):
+        if number <= version - keep:
+            files, place = _file_system(spark, f"{path}/log/{entries[number]}")
+            files.delete(place, False)
+        else:
+            named[_read_entry(spark, path, entries[number])["folder"]] = number
+    for name in _names(spark, path):
+        if name.startswith("v") and name not in named and int(name[1:21]) <= version:
+            files, place = _file_system(spark, f"{path}/{name}")
+            files.delete(place, True)
+
+
+def publish(df: DataFrame, path: str, keep: int = KEPT_VERSIONS) -> tuple[int, str]:
+    """Write a new version of the table at ``path`` and make it the current one: (version, folder)."""
+    spark = df.sparkSession
+    version = max(_entries(spark, path), default=0) + 1
+    folder = f"v{version:020d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    _put_entry(spark, path, version, {"version": version, "folder": folder})
+    _forget(spark, path, version, keep)
+    return version, f"{path}/{folder}"
+
+
 def write_layer(df: DataFrame, base: str, layer: str, table: str, csv_copy: bool = False) -> DataFrame:
-    """Replace the table and return it as read back from storage."""
+    """Replace the table and return the version written, as read back from storage."""
     path = layer_path(base, layer, table)
-    df.write.mode("overwrite").parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _, folder = publish(df, path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
     if csv_copy:
         write_csv(stored, f"{path}_csv")
     return stored
 
 
-def read_layer(spark: SparkSession, base: str, layer: str, table: str) -> DataFrame:
+def layer_version(spark: SparkSession, base: str, layer: str, table: str) -> int:
+    """The number of the current version; 0 for a plain Parquet folder or none."""
+    return max(_entries(spark, layer_path(base, layer, table)), default=0)
+
+
+def read_layer(spark: SparkSession, base: str, layer: str, table: str, version: int | None = None) -> DataFrame:
+    """The current version, or a numbered one that is still kept; a plain Parquet folder is read as it is."""
     path = layer_path(base, layer, table)
+    entries = _entries(spark, path)
+    if version is not None and version not in entries:
+        raise FileNotFoundError(f"no version {version} of the table at {path}; there are {sorted(entries)}")
+    if entries:
+        folder = _read_entry(spark, path, entries[max(entries) if version is None else version])["folder"]
+        return spark.read.parquet(f"{path}/{folder}")
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError(f"no table at {path}; build the {layer} layer first") from error
         raise
