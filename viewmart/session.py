@@ -94,6 +94,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``new_folder`` before its block ends; nothing may read it later."""
+    _delete([(spark, path)])
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables settled inside the block when it ends; nothing may read them later.
