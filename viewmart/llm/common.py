@@ -24,8 +24,19 @@ SLICE_BYTES = 1 << 20
 _shipped: set[str] = set()
 
 
+#: Bytes of rows that go to or from a Python worker at once, where the session does not name a number.
+ARROW_BATCH_BYTES = 4 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark) -> None:
-    """Gives the package to Python workers, unless their path holds it already."""
+    """Gives the package to Python workers, unless their path holds it already.
+
+    Spark's own bound for a batch is 64 MB, which each task holds several times over, in the JVM's
+    native memory and in Python; a session that has not set another gets a smaller one.
+    """
+    if spark.sparkContext.getConf().get(_ARROW_SETTING) is None:
+        spark.conf.set(_ARROW_SETTING, ARROW_BATCH_BYTES)
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     paths = [Path(path or ".").resolve() for path in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."]]
     if root in paths or root.suffix == ".zip" or context.applicationId in _shipped:
