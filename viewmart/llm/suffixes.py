@@ -247,16 +247,42 @@ def may_repeat(
     return result
 
 
+def equal_contexts(data: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each context one of the same key and bytes, of the smallest owner that has it; itself if there is no other."""
+    size = windows + length - 1
+    side = hash_from(data, start, length) ^ key.astype(np.uint64) * MIX ^ hash_from(data, start + size - length, length) * SPREAD
+    by = np.lexsort((owner, size, side))
+    same = (side[by][1:] == side[by][:-1]) & (size[by][1:] == size[by][:-1])
+    first = np.flatnonzero(np.r_[True, ~same]) if len(by) else by
+    like = np.arange(len(start))
+    like[by] = by[np.repeat(first, np.diff(np.r_[first, len(by)]))]
+    # The hashes see the first and last bytes only, and may agree by accident: all bytes decide.
+    others = np.flatnonzero(like != np.arange(len(start)))
+    for low in range(0, len(others), 10_000):
+        own = others[low : low + 10_000]
+        span = size[own]
+        unlike = cut_out(data, start[own], span) != cut_out(data, start[like[own]], span)
+        wrong = np.add.reduceat(unlike, np.cumsum(span) - span) > 0
+        like[own[wrong | (key[own] != key[like[own]])]] = own[wrong | (key[own] != key[like[own]])]
+    return like
+
+
 def covered_windows(
     data: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, owner: np.ndarray, length: int, seed: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Windows of contexts that also stand in a context of a smaller owner: (context, window in it).
 
-    Contexts go by key in chunks of bounded size, each with its own suffix array; one key with
-    more text than a chunk makes a larger chunk. ``seed`` is where each context's seed stands.
+    Of contexts with the same key and bytes one of the smallest owner stands for all: a line that a
+    whole shard repeats is one context. The others go by key in chunks of bounded size, each with
+    its own suffix array; one key with more distinct text than a chunk makes a larger chunk.
+    ``seed`` is where each context's seed stands.
     """
     found_context, found_window = [], []
     order = np.flatnonzero(may_repeat(data, start, windows, key, owner, length, seed))
+    like = np.arange(len(start))
+    like[order] = order[equal_contexts(data, start[order], windows[order], key[order], owner[order], length)]
+    copies = order[like[order] != order]
+    order = order[like[order] == order]
     order = order[np.argsort(key[order], kind="stable")]
     padded = np.r_[data, np.uint8(0)]
     size = windows[order] + length  # a zero byte parts contexts
@@ -289,4 +315,16 @@ def covered_windows(
         found_window.append(inside[hit])
     if not found_context:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_context), np.concatenate(found_window)
+    context, window = np.concatenate(found_context), np.concatenate(found_window)
+    # A copy of a larger owner is covered whole; a copy of the same owner where the one it is like is covered.
+    later = copies[owner[copies] > owner[like[copies]]]
+    n = windows[later]
+    all_windows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    own = copies[owner[copies] == owner[like[copies]]]
+    by = np.argsort(context, kind="stable")
+    low, high = (np.searchsorted(context[by], like[own], side) for side in ("left", "right"))
+    taken = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    return (
+        np.concatenate([context, np.repeat(later, n), np.repeat(own, high - low)]),
+        np.concatenate([window, all_windows, window[by][taken]]),
+    )
