@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.corpus import rows, table
+from tests.llm.corpus import CLASHING, rows, table
 from tests.llm.test_duplicates import joined, plain_fingerprint, plain_removed
 from viewmart.llm.common import tokenizer_file
 from viewmart.llm.decontaminate import decontaminate_sql
+from viewmart.session import settle
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,14 +47,27 @@ def test_run_against_brute_force(spark):
 
 def test_stages_take_odd_rows(spark):
     docs = table(spark, rows(), extra=False).selectExpr("doc_id", "text", "'en' AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars")
+    others = {name: F.lit("other") for name in [*CLASHING, "has_letter", "doc", "item", "items", "contaminated", "decoded", "carried_1", "low", "node"]}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == corpus_pipeline.COLUMNS, name
+        kept = stage(spark, docs.withColumns(others), SMALL)
+        assert kept.columns == corpus_pipeline.COLUMNS, name
+        assert sorted(map(str, kept.collect())) == sorted(map(str, stage(spark, docs, SMALL).collect())), name
+        docs = settle(kept, "stage")
         left = docs.count()
         assert left > 0
-        none = docs.where("false")
-        assert stage(spark, none, SMALL).count() == 0
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == left
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.withColumns(others), SMALL).count() == left and last(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_languages_are_filled_in_and_corrected(spark):
+    english = "the river runs over the stone and under the light of the house in the water again"
+    german = "der fluss und das wasser sind nicht weit von dem haus und der stein ist noch immer da"
+    data = [(i, english, "en") for i in range(30)] + [(100 + i, german, "de") for i in range(30)]
+    odd = [(200, english, None), (201, german, None), (202, german, "en"), (204, "12 34", "en"), (205, None, None)]
+    docs = spark.createDataFrame(data + odd, "doc_id bigint, text string, lang string").selectExpr("*", "'s' AS source", "1L AS n_chars")
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, SMALL).collect()}
+    assert found == {i: lang for i, _, lang in data} | {200: "en", 201: "de", 202: "de"}
 
 
 def test_no_language_learned_keeps_texts_with_a_letter(spark):

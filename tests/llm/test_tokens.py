@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from tests.llm.corpus import empty, rows, table
 from viewmart.llm.bpe import MergeTable, WordBpe, bpe_decode, bpe_digests, bpe_encode
 from viewmart.llm.common import tokenizer_file
+from viewmart.llm.pieces import PieceMemo, unlike
 from viewmart.llm.token_counts import TokenCounter, token_counts, tokenizer_digest
 
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -119,3 +120,39 @@ def test_empty_tables_and_null_lists(spark):
     assert bpe_decode(bpe_encode(empty(spark), WORD), WORD).count() == 0
     lists = spark.createDataFrame([(1, None), (2, []), (3, [49407])], "n int, ids array<int>")
     assert {r.n: r.decoded for r in bpe_decode(lists, WORD).collect()} == {1: None, 2: "", 3: "<|endoftext|>"}
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("pair", ["ab", "th", "in", "xy"])
+def test_pieces_that_share_a_hash_are_told_apart(byte_library, word_library, pair):
+    """Such words and their complements agree in any polynomial hash modulo a power of two."""
+    sample = []
+    for n in (1024, 2048, 4096):
+        sample += [thue_morse(n, *pair), thue_morse(n, *reversed(pair)), f"x {thue_morse(n, *reversed(pair))} {thue_morse(n, *pair)} y"]
+    assert TokenCounter(BYTE).counts(pa.array(sample)).tolist() == lengths(byte_library, sample)
+    ids, offsets = WordBpe(WORD).encode(pa.array(sample))
+    done = word_library.encode_batch(sample, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [d.ids for d in done]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=100), min_size=1, max_size=12), st.randoms())
+def test_pieces_are_compared_by_all_bytes(pieces, rng):
+    pieces = pieces + [rng.choice(pieces) for _ in range(5)]
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    starts = np.cumsum([0] + [len(p) for p in pieces[:-1]])
+    other = np.array([rng.randrange(len(pieces)) for _ in pieces])
+    assert unlike(data, starts, other).tolist() == [p != pieces[k] for p, k in zip(pieces, other)]
+
+
+def test_a_memo_numbers_pieces_by_their_bytes(monkeypatch):
+    learned = []
+    memo = PieceMemo(learned.extend, learned.clear, 1000)
+    monkeypatch.setattr("viewmart.llm.pieces.hash_runs", lambda data, starts: np.zeros(len(starts), np.uint64))
+    pieces = [b"a", b"b", b"a", b"cc", b"b", b"x" * 90, b"y" * 90, b"x" * 90]
+    for _ in range(2):
+        numbers = memo(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0] + [len(p) for p in pieces[:-1]]))
+        assert [learned[n] for n in numbers] == pieces and len(learned) == len(set(pieces))

@@ -1,10 +1,11 @@
-"""Texts as pieces between spaces, each piece known by a 64-bit hash of its bytes.
+"""Texts as pieces between spaces, each piece known by its bytes.
 
 Tokenizers, and unigram models alike, treat most pieces of a corpus again and again. Pieces are
-found and hashed with numpy over the UTF-8 bytes of many texts; a result is computed once for
-each distinct piece that a worker does not remember.
+found and hashed with numpy over the UTF-8 bytes of many texts, and compared with the piece that their
+hash stands for; a result is computed once for each distinct piece that a worker does not remember.
 """
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -81,6 +82,35 @@ def hash_runs(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total + sizes.astype(np.uint64)
 
 
+#: Pieces up to this long are compared in words of eight bytes and remembered as they are.
+SHORT = 64
+
+
+def unlike(data: np.ndarray, starts: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each piece differs from another one, whose number is given, in any byte."""
+    sizes = np.diff(np.r_[starts, len(data)])
+    result = sizes != sizes[other]
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero((other != np.arange(len(starts))) & ~result)
+    for low in range(0, SHORT, 8):
+        left = left[sizes[left] > low]
+        if not len(left):
+            return result
+        spare = np.maximum(0, 64 - 8 * (sizes[left] - low)).astype(np.uint64)  # bits beyond the piece
+        result[left] = ((words[starts[left] + low] ^ words[starts[other[left]] + low]) << spare) != 0
+        left = left[~result[left]]
+    for i in left[sizes[left] > SHORT].tolist():
+        a, b, n = starts[i], starts[other[i]], sizes[i]
+        result[i] = not np.array_equal(data[a : a + n], data[b : b + n])
+    return result
+
+
+def piece_key(piece: bytes) -> bytes:
+    """The piece, or for a long one its SHA-256 after a byte that no text holds."""
+    return piece if len(piece) <= SHORT else b"\xff" + hashlib.sha256(piece).digest()
+
+
 class PieceMemo:
     """Numbers distinct pieces; ``learn`` is called with the bytes of those that are new.
 
@@ -90,7 +120,7 @@ class PieceMemo:
 
     def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], limit: int):
         self.learn, self.forget, self.limit = learn, forget, limit
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
 
     def clear(self) -> None:
         """Called at the end of a task, as the next one on this worker may be of another job."""
@@ -100,21 +130,25 @@ class PieceMemo:
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each piece."""
         hashes = hash_runs(data, starts)
-        distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.number) + len(distinct) > self.limit:
+        _, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # Pieces that only share a hash stand for themselves.
+        odd = np.flatnonzero(unlike(data, starts, example[inverse]))
+        inverse[odd] = len(example) + np.arange(len(odd))
+        example = np.r_[example, odd]
+        if len(self.number) + len(example) > self.limit:
             self.clear()
-        keys = distinct.tolist()
-        get = self.number.get
-        numbers = np.fromiter((get(key, -1) for key in keys), np.int64, len(keys))
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            ends = np.r_[starts[1:], len(data)]
-            whole = data.tobytes()
-            at = example[new]
-            self.learn([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            first = len(self.number)
-            numbers[new] = np.arange(first, first + len(new))
-            self.number.update(zip(distinct[new].tolist(), range(first, first + len(new)), strict=True))
+        ends, whole = np.r_[starts[1:], len(data)], data.tobytes()
+        pieces = [whole[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+        keys = [piece if len(piece) <= SHORT else piece_key(piece) for piece in pieces]
+        known = self.number
+        first = len(known)
+        numbers = np.fromiter((known.setdefault(key, len(known)) for key in keys), np.int64, len(keys))
+        fresh = numbers >= first
+        if fresh.any():
+            # Two odd pieces may be equal, so a number may come twice.
+            new, at = np.unique(numbers[fresh], return_index=True)
+            chosen = np.flatnonzero(fresh)[at].tolist()
+            self.learn([pieces[k] for k in chosen])
         return numbers[inverse]
 
 
