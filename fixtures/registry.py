@@ -13,7 +13,7 @@ from viewmart import fixed_values as fv
 from viewmart.functions import title_case
 from viewmart.operators import impute, keep_first, with_class_names
 from viewmart.plans import (
-    audits, billing, cards, content, dash_billing, dash_content, dash_operations, executive, medallion, operations, silver,
+    audits, billing, cards, content, dash_billing, dash_content, dash_operations, executive, incremental, medallion, operations, silver,
     viewers,
 )
 from viewmart.session import new_folder, settle
@@ -291,12 +291,27 @@ def _distinct_viewers(t: Tables) -> DataFrame:
     return result
 
 
+#: The rows of a first load; a second copy of a customer comes in the second one.
+_FIRST_LOAD = {"customers": F.col("ingest_seq") % 4 == 0, "tickets": F.col("Ticket_ID") % 3 == 0, "viewing_logs": F.col("Log_ID") % 3 == 0}
+
+
+def _incremental_silver(t: Tables) -> DataFrame:
+    """Two loads a table, which give the silver of one."""
+    base, stored = new_folder(t.spark, "incremental"), {}
+    for table, df in t.all_bronze().items():
+        first = F.coalesce(_FIRST_LOAD[table], F.lit(False))
+        incremental.load_increment(df.where(first), base, table, 1)
+        stored[table] = incremental.load_increment(df.where(~first), base, table, 2)
+    return medallion.contents(stored)
+
+
 _ID_NAME_BILL = ["Customer_ID", "ingest_seq", "Name", "Monthly_Bill"]
 _CHOSEN_CUSTOMERS = {"regions": ["ASIA", "EUROPE"], "segments": ["VIP_Advocates", "Standard"]}
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     # sources, sinks, layer jobs
     "layer_reload": _layer_reload,
+    "incremental_silver": _incremental_silver,
     "d2_distinct_viewers": _distinct_viewers,
     "scan_customers": _scan("customers"),
     "scan_tickets": _scan("tickets"),

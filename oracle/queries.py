@@ -668,6 +668,7 @@ query(
     f" FROM misspelled_tickets LEFT JOIN (SELECT * FROM ({_spelled}) WHERE Column_Name = 'Status') s ON Status = s.Value"
     f" LEFT JOIN (SELECT * FROM ({_spelled}) WHERE Column_Name = 'Department') d ON Department = d.Value GROUP BY 1, 2",
 )
+ORACLES["incremental_silver"] = ORACLES["layer_silver"]
 _by_region = "Region, count(*) AS Row_Count FROM bronze_customers WHERE {} GROUP BY Region"
 query(
     "layer_reload",

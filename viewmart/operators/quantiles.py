@@ -115,14 +115,20 @@ def _held(groups: DataFrame, keys: list[str], code: str) -> DataFrame:
     return groups.withColumns({"upto": F.sum("n").over(part.orderBy(code)), "total": F.sum("n").over(part)})
 
 
-def quantile_values(df: DataFrame, column: str, fractions: dict[str, float]) -> dict[str, float | None]:
+def quantile_values(
+    df: DataFrame, column: str, fractions: dict[str, float], weight: str | None = None
+) -> dict[str, float | None]:
     """An exact, linearly interpolated quantile per entry of ``fractions``.
 
+    ``weight`` names a column that tells how many rows each row stands for.
+
     NULL and NaN are skipped; the quantiles of no values are None. Each pass runs when this is called and
     brings at most two rows a fraction to the driver.
     """
-    values = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counted = [F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
+    number = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    values = df.select(F.col(column).cast("double").alias("value"), number.alias("number"))
+    values = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counted = [F.sum("number").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
     cells = _held(values.groupBy(_cell(F.col("value")).alias("cell")).agg(*counted), [], "cell")
     places = [F.floor(F.lit(float(f)) * (F.col("total") - 1)) for f in fractions.values()]
     places += [F.ceil(F.lit(float(f)) * (F.col("total") - 1)) for f in fractions.values()]
@@ -140,7 +146,7 @@ def quantile_values(df: DataFrame, column: str, fractions: dict[str, float]) ->
             own = F.col("value").between(low, high)
             code = code.when(own, F.floor((F.col("value") - low) / F.lit(high - low) * _SLICES).cast("long"))
             span = span.when(own, i)
-        sliced = values.select("value", span.alias("span"), code.alias("slice")).where(F.col("span").isNotNull())
+        sliced = values.select("value", "number", span.alias("span"), code.alias("slice")).where(F.col("span").isNotNull())
         groups = _held(sliced.groupBy("span", "slice").agg(*counted), ["span"], "slice")
         asked = {want: (spans.index((low, high)), rank) for want, (rank, low, high) in found.items() if low < high}
         wants = F.array(*[F.struct(F.lit(w).alias("want"), F.lit(s).alias("of"), F.lit(r).cast("long").alias("rank")) for w, (s, r) in asked.items()])

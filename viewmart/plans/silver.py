@@ -38,37 +38,49 @@ def cap_view_minutes(df: DataFrame) -> DataFrame:
     return df.withColumn("View_Duration_Mins", F.when(minutes > fv.MAX_VIEW_MINUTES, fv.MAX_VIEW_MINUTES).otherwise(minutes))
 
 
-def silver_customers(bronze: DataFrame, as_of: date = fv.AS_OF, order_by: str = "ingest_seq") -> DataFrame:
-    """Clean customers, one row per id: the first in ``order_by``.
-
-    The median bill is taken over all rows, repeated ids included.
-    """
-    clean = as_type(bronze, "date", ["Join_Date", "Contract_End", "Last_Payment_Date"])
-    clean = impute(clean, medians=("Monthly_Bill",))
-    clean = keep_first(clean, "Customer_ID", order_by).drop(order_by, *_TECHNICAL)
+def customer_rows(customers: DataFrame, as_of: date = fv.AS_OF) -> DataFrame:
+    """The rules that look at one customer row at a time."""
+    clean = as_type(customers, "date", ["Join_Date", "Contract_End", "Last_Payment_Date"])
     clean = standardize(clean, fv.CUSTOMER_TITLE_CASE, fv.CUSTOMER_UPPER_CASE)
     clean = clean.withColumn("Phone", F.coalesce("Phone", F.lit(fv.UNKNOWN_PHONE)))
     return clamp_future(clean, "Join_Date", as_of)
 
 
-def silver_tickets(bronze: DataFrame) -> DataFrame:
-    clean = as_type(bronze.drop(*_TECHNICAL), "timestamp_ntz", ["Created_Date", "Resolved_Date"])
-    clean = impute(
-        clean,
-        means=tuple(existing(clean, ["Signal_Strength_dBm", "Buffering_Events"])),
-        medians=tuple(existing(clean, ["Customer_Satisfaction_Rating"])),
-    )
+def ticket_rows(tickets: DataFrame) -> DataFrame:
+    """The rules that look at one ticket row at a time."""
+    clean = as_type(tickets.drop(*_TECHNICAL), "timestamp_ntz", ["Created_Date", "Resolved_Date"])
     clean = standardize(clean, fv.TICKET_TITLE_CASE, [])
     return clean.withColumn(
         "Technician_Assigned", F.coalesce("Technician_Assigned", F.lit(fv.UNASSIGNED_TECHNICIAN))
     )
 
 
+def log_rows(logs: DataFrame) -> DataFrame:
+    """The rules that look at one log row at a time."""
+    clean = as_type(logs.drop(*_TECHNICAL), "timestamp_ntz", ["Timestamp", "Start_Time", "End_Time"])
+    return cap_view_minutes(standardize(clean, fv.LOG_TITLE_CASE, fv.LOG_UPPER_CASE))
+
+
+def silver_customers(bronze: DataFrame, as_of: date = fv.AS_OF, order_by: str = "ingest_seq") -> DataFrame:
+    """Clean customers, one row per id: the first in ``order_by``.
+
+    The median bill is taken over all rows, repeated ids included.
+    """
+    clean = impute(bronze, medians=("Monthly_Bill",))
+    return customer_rows(keep_first(clean, "Customer_ID", order_by).drop(order_by, *_TECHNICAL), as_of)
+
+
+def silver_tickets(bronze: DataFrame) -> DataFrame:
+    return ticket_rows(
+        impute(
+            bronze,
+            means=tuple(existing(bronze, ["Signal_Strength_dBm", "Buffering_Events"])),
+            medians=tuple(existing(bronze, ["Customer_Satisfaction_Rating"])),
+        )
+    )
+
+
 def silver_logs(bronze: DataFrame) -> DataFrame:
-    clean = as_type(bronze.drop(*_TECHNICAL), "timestamp_ntz", ["Timestamp", "Start_Time", "End_Time"])
-    clean = impute(
-        clean,
-        means=tuple(existing(clean, ["Buffering_Events"])),
-        medians=tuple(existing(clean, ["User_Rating"])),
+    return log_rows(
+        impute(bronze, means=tuple(existing(bronze, ["Buffering_Events"])), medians=tuple(existing(bronze, ["User_Rating"])))
     )
-    return cap_view_minutes(standardize(clean, fv.LOG_TITLE_CASE, fv.LOG_UPPER_CASE))
