@@ -171,9 +171,69 @@ def test_embeddings_against_all_pairs(spark):
     assert len(links) > 20_000
 
 
-def test_passes_follow_the_size():
-    few, many = (emb.passes_needed(n, 0.93, 64, 1e-4) for n in (1_000, 10_000_000))
-    assert 2 <= few < many
+def links_of(units, min_cosine):
+    """Brute force, block by block: the linked pairs (a, b) with a < b."""
+    found = []
+    for start in range(0, len(units), 2000):
+        a, b = np.nonzero(units[start : start + 2000] @ units.T >= min_cosine)
+        found.append(np.stack([a + start, b])[:, a + start < b])
+    return np.concatenate(found, axis=1)
+
+
+def unit_rows(data):
+    x = np.asarray(data, np.float32).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def recall(spark, data, labels, partitions):
+    """(links found / links, whether all counts and components are those of brute force)"""
+    labels = np.asarray(labels)
+    count, parent = np.zeros(len(data), int), np.arange(len(data))
+    for label in np.unique(labels):
+        at = np.flatnonzero(labels == label)
+        a, b = links_of(unit_rows(data[at]), 0.93)
+        np.add.at(count, at[np.r_[a, b]], 1)
+        simhash.unite(parent, at[a], at[b])
+    component = simhash.roots(parent, np.arange(len(data)))
+    rows = [(i, v.tolist(), int(label)) for i, (v, label) in enumerate(zip(data, labels, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(partitions)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in emb.embedding_dedup(df, 0.93).collect()}
+    found = sum(got[i][0] for i in got)
+    return found / count.sum(), got == {i: (int(count[i]), int(component[i])) for i in range(len(data))}
+
+
+def cone(rng, rows, width, cosine, pairs):
+    """Vectors about one direction, typical cosine as given; the last ``pairs`` are moved copies of the first."""
+    axis = rng.standard_normal(width)
+    axis /= np.linalg.norm(axis)
+    noise = rng.standard_normal((rows, width)) / np.sqrt(width)
+    made = np.sqrt(cosine) * axis + np.sqrt(1 - cosine) * noise
+    made[-pairs:] = made[:pairs] + rng.standard_normal((pairs, width)) * 0.03
+    return made.astype(np.float32)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_embeddings_in_a_narrow_cone(spark, partitions):
+    rng = np.random.default_rng(5)
+    narrow = cone(rng, 20_000, 64, 0.85, 1_200)
+    assert recall(spark, narrow, np.zeros(len(narrow)), partitions) == (1.0, True)
+
+
+def test_embeddings_in_clusters_and_spread(spark):
+    rng = np.random.default_rng(8)
+    clusters = np.concatenate([cone(rng, 1_500, 32, 0.8, 60) for _ in range(6)])
+    spread = rng.standard_normal((6_000, 32)).astype(np.float32)
+    spread[-500:] = spread[:500] + rng.standard_normal((500, 32)).astype(np.float32) * 0.25
+    share, _ = recall(spark, np.concatenate([clusters, spread]), np.r_[np.zeros(len(clusters)), np.ones(len(spread))], 5)
+    assert share > 0.999
+
+
+def test_embeddings_with_equal_signs(spark):
+    rng = np.random.default_rng(9)
+    grid = np.ones((3_000, 16), np.float32)
+    grid[:, 0] += np.linspace(0, 40, 3_000, dtype=np.float32)  # a path: each links with those beside it alone
+    share, same = recall(spark, np.concatenate([grid, rng.standard_normal((200, 16)).astype(np.float32)]), np.zeros(3_200), 3)
+    assert (share, same) == (1.0, True)
 
 
 # --- suffix arrays ------------------------------------------------------------------------
