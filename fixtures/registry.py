@@ -18,6 +18,7 @@ from viewmart.plans import (
 )
 from viewmart.session import new_folder, settle
 from viewmart.sources import bronze_csv
+from viewmart.sources.formats import chosen_formats
 from viewmart.sources.layers import read_layer, write_layer
 from viewmart.sources.reload import LayerCache
 
@@ -157,6 +158,34 @@ def _unreadable(t: Tables) -> DataFrame:
     return medallion.unreadable_values({"customers": bronze_csv.read_bronze_csv(t.spark, path, "customers", multi_line=True)})
 
 
+def _foreign_customers(t: Tables) -> str:
+    """An export of customers from a system that writes dates and amounts in its own ways."""
+    customers = bronze_csv.bronze_only(t.bronze("customers"), "customers")
+    path = new_folder(t.spark, "csv-foreign")
+    bronze_csv.write_csv(
+        customers.withColumns(
+            {
+                "Join_Date": F.date_format("Join_Date", "MM/dd/yyyy"),
+                "Contract_End": F.date_format("Contract_End", "d.M.yyyy"),
+                "Monthly_Bill": F.translate(F.col("Monthly_Bill").cast("string"), ".", ","),
+            }
+        ),
+        path,
+    )
+    return path
+
+
+def _scan_formats(t: Tables) -> DataFrame:
+    return bronze_csv.find_formats(t.spark, _foreign_customers(t), "customers")
+
+
+def _scan_foreign(t: Tables) -> DataFrame:
+    """The customers of such an export, read by the formats that were found."""
+    path = _foreign_customers(t)
+    formats = chosen_formats(bronze_csv.find_formats(t.spark, path, "customers"))
+    return bronze_csv.bronze_only(bronze_csv.read_bronze_csv(t.spark, path, "customers", formats=formats), "customers")
+
+
 def _title_case(t: Tables) -> DataFrame:
     bronze = t.bronze("tickets")
     titled = [title_case(F.col(name)).alias(f"{name}_Title") for name in fv.TICKET_TITLE_CASE]
@@ -316,6 +345,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_customers": _scan("customers"),
     "scan_tickets": _scan("tickets"),
     "scan_logs": _scan("viewing_logs"),
+    "scan_formats": _scan_formats,
+    "scan_foreign_customers": _scan_foreign,
     "unreadable_values": _unreadable,
     "write_layer": _write_layer,
     "layer_silver": _layer_silver,
@@ -444,6 +475,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d1_segment_dist": lambda t: dash_billing.segment_dist(t.billing),
     "d1_segment_revenue": lambda t: dash_billing.segment_revenue(t.billing),
     "d1_detail": lambda t: dash_billing.detail(t.billing),
+    "d1_page": lambda t: dash_billing.whole_page(t.billing),
     "d1_kpi_cards": lambda t: cards.billing(t.billing),
     # dashboard 2: content
     "d2_options": lambda t: dash_content.options(t.content),
@@ -461,6 +493,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d2_top_viewed": lambda t: dash_content.top_viewed(t.content),
     "d2_top_rated": lambda t: dash_content.top_rated(t.content),
     "d2_detail": lambda t: dash_content.detail(t.content),
+    "d2_page": lambda t: dash_content.whole_page(t.content),
     "d2_kpi_cards": lambda t: cards.content(t.content),
     # dashboard 3: operations
     "d3_options": lambda t: dash_operations.options(t.operations),
@@ -482,6 +515,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "d3_satisfaction_resolution": lambda t: dash_operations.satisfaction_resolution(t.operations),
     "d3_department_perf": lambda t: dash_operations.department_perf(t.operations),
     "d3_detail": lambda t: dash_operations.detail(t.operations),
+    "d3_page": lambda t: dash_operations.whole_page(t.operations),
     "d3_kpi_cards": lambda t: cards.operations(t.operations),
     # executive summary
     "exec_kpi_cards": lambda t: cards.overview(t.billing, t.operations, t.content),

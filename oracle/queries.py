@@ -55,6 +55,45 @@ query(
     " WHERE Customer_ID % 11 IN (5, 7) HAVING count(*) > 0",
 )
 query("scan_logs", "SELECT * FROM bronze_logs", "Buffering_Events User_Rating")
+query("scan_foreign_customers", "SELECT * EXCLUDE (ingest_seq) FROM bronze_customers", "Monthly_Bill Customer_Lifetime_Value")
+
+DATE_WAYS = {
+    "yyyy-M-d": "%Y-%m-%d", "yyyy/M/d": "%Y/%m/%d", "M/d/yyyy": "%m/%d/%Y", "d/M/yyyy": "%d/%m/%Y", "d.M.yyyy": "%d.%m.%Y",
+    "d-M-yyyy": "%d-%m-%Y", "yyyyMMdd": "%Y%m%d", "d MMM yyyy": "%d %b %Y", "MMM d, yyyy": "%b %d, %Y",
+}
+WRITTEN_DATES = {"Join_Date": "%m/%d/%Y", "Contract_End": "%d.%m.%Y", "Last_Payment_Date": "%Y-%m-%d"}
+
+
+def format_rows() -> str:
+    """A row for each column, way of writing and cell: the value, or NULL where it cannot be read so."""
+    parts = [
+        f"SELECT '{column}' AS Column_Name, '{way}' AS Format, {place} AS place,"
+        f" epoch(try_strptime(strftime({column}, '{written}'), '{pattern}')) AS v FROM bronze_customers WHERE {column} IS NOT NULL"
+        for column, written in WRITTEN_DATES.items()
+        for place, (way, pattern) in enumerate(DATE_WAYS.items())
+    ]
+    for column, decimal in (("Monthly_Bill", ","), ("Customer_Lifetime_Value", ".")):
+        text = f"replace(CAST({column} AS VARCHAR), '.', '{decimal}')"
+        for place, (way, group, point) in enumerate((("1,234.5", ",", "."), ("1.234,5", ".", ","))):
+            shape = rf"[+-]?([0-9]{{1,3}}(\{group}[0-9]{{3}})+|[0-9]+)(\{point}[0-9]*)?"
+            value = f"TRY_CAST(replace(replace({text}, '{group}', ''), '{point}', '.') AS DOUBLE)"
+            parts.append(
+                f"SELECT '{column}', '{way}', {place}, CASE WHEN regexp_full_match({text}, '{shape}') THEN {value} END"
+                f" FROM bronze_customers WHERE {column} IS NOT NULL"
+            )
+    return union(parts)
+
+
+query(
+    "scan_formats",
+    f"""
+SELECT Column_Name, Format, Cells, Unread, place = best.place AS Chosen,
+  bool_or(Unread = best.Unread AND Unread < Cells AND mark <> best.mark) OVER (PARTITION BY Column_Name) AS Ambiguous
+FROM (
+  SELECT *, min({{'Unread': Unread, 'place': place, 'mark': mark}}) OVER (PARTITION BY Column_Name) AS best FROM (
+    SELECT Column_Name, Format, place, count(*) AS Cells, count(*) - count(v) AS Unread, coalesce(sum(v), 0) AS mark
+    FROM ({format_rows()}) GROUP BY 1, 2, 3))""",
+)
 
 
 def contents(pairs: list[tuple[str, str]]) -> str:
@@ -712,3 +751,82 @@ query(
         ]
     ),
 )
+
+
+def panel(name: str, key: str, table: str, **measures: str) -> str:
+    """One panel of a page in long form; ``key`` NULL: of the whole table."""
+    where = "" if key == "NULL" else f"WHERE {key} IS NOT NULL GROUP BY {key}"
+    return union(
+        [
+            f"SELECT '{name}' AS Panel, CAST({key} AS VARCHAR) AS Item, '{measure}' AS Measure, CAST({value} AS DOUBLE) AS \"Value\""
+            f" FROM {table} {where}"
+            for measure, value in measures.items()
+        ]
+    )
+
+
+def binned(column: str, bins: int) -> str:
+    return f"CAST(greatest(0, least({bins - 1}, floor({column} / (100e0 / {bins})))) AS INTEGER)"
+
+
+ROWS, BILLS, VIEWS = {"Count": "count(*)"}, {"Revenue": "sum(Monthly_Bill)"}, {"Total_Views": "sum(Total_Views)"}
+query(
+    "d1_page",
+    union(
+        [
+            panel(
+                "total", "NULL", "gold_billing", Total_Monthly_Revenue="sum(Monthly_Bill)", Annual_Revenue="sum(Monthly_Bill) * 12",
+                Active_Customers="count(*)", Avg_Monthly_Bill="avg(Monthly_Bill)", Avg_Health_Score="avg(Service_Health_Score)",
+                Customers_In_Good_Standing="count(*) FILTER (WHERE Payment_Status = 'Paid')",
+                High_Churn_Risk_Count="count(*) FILTER (WHERE Calculated_Churn_Risk = 'High')", Avg_Customer_LTV="avg(Customer_Lifetime_Value)",
+            ),
+            panel("region", "Region", "gold_billing", Customer_Count="count(Customer_ID)", **BILLS),
+            panel("bill_category", "Bill_Category", "gold_billing", **ROWS, **BILLS),
+            panel("churn", "Calculated_Churn_Risk", "gold_billing", **ROWS),
+            panel("payment", "Payment_Status", "gold_billing", **ROWS),
+            panel("contract", "Contract_Renewal_Risk", "gold_billing", **ROWS),
+            panel("segment", "Customer_Segment", "gold_billing", **ROWS, **BILLS),
+            panel("health_bins", binned("Service_Health_Score", 20), "gold_billing", **ROWS),
+            panel("device_bins", binned("Device_Adoption_Score", 15), "gold_billing", **ROWS),
+        ]
+    ),
+    '"Value"',
+)
+query(
+    "d2_page",
+    union(
+        [
+            panel(
+                "total", "NULL", "gold_content", Total_Engagement_Hours="sum(Total_Engagement_Hours)",
+                Avg_Unique_Viewers="avg(Unique_Customer_Count)", Avg_User_Rating="avg(Avg_User_Rating)", **VIEWS,
+            ),
+            panel("genre", "Program_Genre", "gold_content", Total_View_Duration_Mins="sum(Total_View_Duration_Mins)", **VIEWS),
+            panel("device", "Device_Type", "gold_content", Unique_Customer_Count="sum(Unique_Customer_Count)", **VIEWS),
+            panel("quality", "Quality_Satisfaction", "gold_content", **ROWS),
+            panel("popularity", "Popularity_Tier", "gold_content", **ROWS),
+            panel("health", "Content_Health", "gold_content", **ROWS),
+            panel("engagement_bins", binned("Engagement_Score", 15), "gold_content", **ROWS),
+        ]
+    ),
+    '"Value"',
+)
+query(
+    "d3_page",
+    union(
+        [
+            panel(
+                "total", "NULL", "gold_operations", Total_Service_Tickets="count(*)", Avg_Resolution_Time="avg(Resolution_Time_Hrs)",
+                Expert_Technicians="count(*) FILTER (WHERE Performance_Tier = 'Expert')",
+                Avg_Satisfaction_Rating="avg(Customer_Satisfaction_Rating)",
+            ),
+            panel("efficiency", "Resolution_Efficiency", "gold_operations", **ROWS),
+            panel("tier", "Performance_Tier", "gold_operations", **ROWS),
+            panel("equipment", "Equipment_Model", "gold_operations", Reliability_Index="avg(Reliability_Index)", **ROWS),
+            panel("issue", "Issue_Category", "gold_operations", **ROWS),
+            panel("signal", "Signal_Quality", "gold_operations", **ROWS),
+            panel("score_bins", binned("Overall_Performance_Score", 20), "gold_operations", **ROWS),
+            panel("impact_bins", binned("Issue_Impact_Score", 15), "gold_operations", **ROWS),
+        ]
+    ),
+    '"Value"',
+)

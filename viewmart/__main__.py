@@ -23,6 +23,7 @@ def main() -> None:
     parser.add_argument("--layers", nargs="+", choices=["silver", "gold"], default=["silver", "gold"])
     parser.add_argument("--gold-tables", nargs="+", choices=medallion.GOLD_TABLES, default=None)
     parser.add_argument("--multi-line", action="store_true", help="cells of the CSV files may hold line breaks")
+    parser.add_argument("--find-formats", action="store_true", help="find out how dates and numbers are written")
     parser.add_argument("--max-unreadable", type=int, default=None, help="fail if more cells cannot be read")
     parser.add_argument("--csv-copy", action="store_true", help="also export each table as CSV")
     args = parser.parse_args()
@@ -36,7 +37,7 @@ def main() -> None:
     if "silver" in args.layers:
         if not given:
             parser.error("the silver layer needs at least one CSV source")
-        bronze = medallion.run_bronze(spark, given, args.base, args.multi_line)
+        bronze = medallion.run_bronze(spark, given, args.base, args.multi_line, args.find_formats)
         medallion.run_unreadable(bronze, args.base, args.max_unreadable).show(1000, truncate=False)
         medallion.run_silver(bronze, args.base, args.as_of, args.csv_copy)
     if "gold" in args.layers:

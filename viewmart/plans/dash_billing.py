@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.operators import existing, has, histogram, value_counts, where_in
+from viewmart.operators import bin_of, existing, has, histogram, page, value_counts, where_in
 
 Choice = Sequence[str] | None
 
@@ -118,3 +118,20 @@ def segment_revenue(gold: DataFrame) -> DataFrame:
 def detail(gold: DataFrame) -> DataFrame:
     wanted = fv.BILLING_DETAIL if has(gold, "Service_Health_Score") else fv.BILLING_DETAIL_SHORT
     return gold.select(existing(gold, wanted))
+
+
+def whole_page(gold: DataFrame) -> DataFrame:
+    """Every KPI and distribution of the page in one scan, in long form; see ``page``."""
+    rows, revenue = {"Count": F.count("*")}, {"Revenue": F.sum("Monthly_Bill")}
+    panels = {
+        "region": (F.col("Region"), {"Customer_Count": F.count("Customer_ID")} | revenue),
+        "bill_category": (F.col("Bill_Category"), rows | revenue),
+        "churn": (F.col("Calculated_Churn_Risk"), rows),
+        "payment": (F.col("Payment_Status"), rows),
+        "contract": (F.col("Contract_Renewal_Risk"), rows),
+        "segment": (F.col("Customer_Segment"), rows | revenue),
+        "health_bins": (bin_of("Service_Health_Score", 20, 0, 100), rows),
+        "device_bins": (bin_of("Device_Adoption_Score", 15, 0, 100), rows),
+    }
+    names = all_kpis(gold).columns
+    return page(gold, dict(zip(names, [*_financial(), *_health(gold)], strict=True)), panels)

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.operators import any_of, existing, has, histogram, value_counts, where_in
+from viewmart.operators import any_of, bin_of, existing, has, histogram, page, value_counts, where_in
 from viewmart.plans.dash_billing import filter_options
 
 Choice = Sequence[str] | None
@@ -105,3 +105,22 @@ def detail(gold: DataFrame, seed: int = fv.SHUFFLE_SEED) -> DataFrame:
     """All rows in a repeatable mixed order."""
     mixed = gold.orderBy(F.xxhash64(*existing(gold, fv.CONTENT_KEYS), F.lit(seed)))
     return mixed.select(existing(gold, fv.CONTENT_DETAIL))
+
+
+def whole_page(gold: DataFrame) -> DataFrame:
+    """The KPIs and distributions of the page in one scan, in long form; see ``page``."""
+    rows, views = {"Count": F.count("*")}, {"Total_Views": F.sum("Total_Views")}
+    panels = {
+        "genre": (F.col("Program_Genre"), views | {"Total_View_Duration_Mins": F.sum("Total_View_Duration_Mins")}),
+        "device": (F.col("Device_Type"), views | {"Unique_Customer_Count": F.sum("Unique_Customer_Count")}),
+        "quality": (F.col("Quality_Satisfaction"), rows),
+        "popularity": (F.col("Popularity_Tier"), rows),
+        "health": (F.col("Content_Health"), rows),
+        "engagement_bins": (bin_of("Engagement_Score", 15, 0, 100), rows),
+    }
+    totals = views | {
+        "Total_Engagement_Hours": F.sum("Total_Engagement_Hours"),
+        "Avg_Unique_Viewers": F.avg("Unique_Customer_Count"),
+        "Avg_User_Rating": F.avg("Avg_User_Rating"),
+    }
+    return page(gold, totals, panels)

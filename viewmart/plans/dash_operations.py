@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from viewmart import fixed_values as fv
-from viewmart.operators import any_of, existing, has, histogram, value_counts, where_in
+from viewmart.operators import any_of, bin_of, existing, has, histogram, page, value_counts, where_in
 from viewmart.plans.dash_billing import filter_options
 
 Choice = Sequence[str] | None
@@ -101,3 +101,27 @@ def department_perf(gold: DataFrame) -> DataFrame:
 
 def detail(gold: DataFrame) -> DataFrame:
     return gold.select(existing(gold, fv.OPERATIONS_DETAIL))
+
+
+def whole_page(gold: DataFrame) -> DataFrame:
+    """The KPIs and distributions of the page in one scan, in long form; see ``page``.
+
+    The histogram of hours is not among them: its limits are the column's own, which takes a scan before.
+    """
+    rows = {"Count": F.count("*")}
+    panels = {
+        "efficiency": (F.col("Resolution_Efficiency"), rows),
+        "tier": (F.col("Performance_Tier"), rows),
+        "equipment": (F.col("Equipment_Model"), rows | {"Reliability_Index": F.avg("Reliability_Index")}),
+        "issue": (F.col("Issue_Category"), rows),
+        "signal": (F.col("Signal_Quality"), rows),
+        "score_bins": (bin_of("Overall_Performance_Score", 20, 0, 100), rows),
+        "impact_bins": (bin_of("Issue_Impact_Score", 15, 0, 100), rows),
+    }
+    totals = {
+        "Total_Service_Tickets": F.count("*"),
+        "Avg_Resolution_Time": F.avg("Resolution_Time_Hrs"),
+        "Expert_Technicians": F.count_if(F.col("Performance_Tier") == "Expert"),
+        "Avg_Satisfaction_Rating": F.avg("Customer_Satisfaction_Rating"),
+    }
+    return page(gold, totals, panels)

@@ -12,7 +12,8 @@ from viewmart.plans.content import gold_content
 from viewmart.plans.operations import gold_operations
 from viewmart.plans.silver import silver_customers, silver_logs, silver_tickets
 from viewmart.session import scratch
-from viewmart.sources.bronze_csv import bad_value_counts, read_bronze_csv
+from viewmart.sources.bronze_csv import bad_value_counts, find_formats, read_bronze_csv
+from viewmart.sources.formats import chosen_formats
 from viewmart.sources.layers import read_layer, write_layer
 
 SILVER_TABLES = ["customers", "tickets", "viewing_logs"]
@@ -20,13 +21,17 @@ GOLD_TABLES = ["billing_segmentation", "content_strategy", "network_operations"]
 
 
 def run_bronze(
-    spark: SparkSession, csv_paths: dict[str, str], base: str, multi_line: bool = False
+    spark: SparkSession, csv_paths: dict[str, str], base: str, multi_line: bool = False, find: bool = False
 ) -> dict[str, DataFrame]:
-    """Take CSV files in: parse them once and store them typed."""
-    return {
-        table: write_layer(read_bronze_csv(spark, path, table, multi_line), base, "bronze", table)
-        for table, path in csv_paths.items()
-    }
+    """Take CSV files in: parse them once and store them typed.
+
+    ``find`` looks first how each table's files write dates and numbers, in one more pass.
+    """
+    stored = {}
+    for table, path in csv_paths.items():
+        formats = chosen_formats(find_formats(spark, path, table, multi_line)) if find else None
+        stored[table] = write_layer(read_bronze_csv(spark, path, table, multi_line, formats), base, "bronze", table)
+    return stored
 
 
 def unreadable_values(bronze: dict[str, DataFrame]) -> DataFrame:

@@ -1,11 +1,14 @@
 """Bronze CSV files in, typed tables out."""
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from viewmart.functions import null_tokens_to_null
 from viewmart.operators import existing
 from viewmart.schemas import bronze_names, bronze_schema
+from viewmart.sources.formats import read_as, scan_formats
 
 _BAD = "_bad_columns"
 _BROKEN = "_broken_record"
@@ -13,8 +16,10 @@ _BROKEN = "_broken_record"
 RECORD = "(record)"
 
 
-def _typed(text: Column, kind: DataType) -> Column:
+def _typed(text: Column, kind: DataType, written: str | None = None) -> Column:
     text = null_tokens_to_null(text)
+    if written is not None:
+        return read_as(text, kind, written)
     if isinstance(kind, StringType):
         return text
     if kind.typeName() in ("long", "integer"):
@@ -23,7 +28,22 @@ def _typed(text: Column, kind: DataType) -> Column:
     return text.try_cast(kind)
 
 
-def read_bronze_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
+    shape = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line}
+    names = spark.read.csv(path, inferSchema=False, **shape).columns
+    texts = StructType([StructField(name, StringType()) for name in [*names, _BROKEN]])
+    return spark.read.csv(path, schema=texts, columnNameOfCorruptRecord=_BROKEN, mode="PERMISSIVE", **shape), names
+
+
+def find_formats(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+    """How the files write dates and numbers, see ``scan_formats``; ``chosen_formats`` settles it."""
+    raw, _ = _raw_csv(spark, path, multi_line)
+    return scan_formats(raw, bronze_schema(table))
+
+
+def read_bronze_csv(
+    spark: SparkSession, path: str, table: str, multi_line: bool = False, formats: Mapping[str, str] | None = None
+) -> DataFrame:
     """The bronze table with declared types, plus two technical columns.
 
     Columns go by the names in the header: any order will do, optional ones may be missing,
@@ -33,12 +53,11 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str, multi_line: bool
     those cells are NULL. It also names ``(record)`` for a record with too few or too many cells.
 
     ``multi_line`` allows line breaks in quoted cells; a file is then read by one task. Without
-    it such a record is split, and its parts are counted as broken.
+    it such a record is split, and its parts are counted as broken. ``formats`` names the way in which
+    a column's dates or numbers are written, where it is not that of ISO.
     """
-    shape = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line}
-    names = spark.read.csv(path, inferSchema=False, **shape).columns
-    texts = StructType([StructField(name, StringType()) for name in [*names, _BROKEN]])
-    raw = spark.read.csv(path, schema=texts, columnNameOfCorruptRecord=_BROKEN, mode="PERMISSIVE", **shape)
+    raw, names = _raw_csv(spark, path, multi_line)
+    formats = formats or {}
     declared = {field.name: field.dataType for field in bronze_schema(table)}
     kinds = {name: declared.get(name, StringType()) for name in names}
     place = F.struct(
@@ -48,13 +67,13 @@ def read_bronze_csv(spark: SparkSession, path: str, table: str, multi_line: bool
     )
     raw = raw.select("*", place.alias("ingest_seq"))
     bad = [
-        F.when(null_tokens_to_null(F.col(name)).isNotNull() & _typed(F.col(name), kind).isNull(), name)
+        F.when(null_tokens_to_null(F.col(name)).isNotNull() & _typed(F.col(name), kind, formats.get(name)).isNull(), name)
         for name, kind in kinds.items()
         if not isinstance(kind, StringType)
     ]
     bad.append(F.when(F.col(_BROKEN).isNotNull(), RECORD))
     return raw.select(
-        *[_typed(F.col(name), kind).alias(name) for name, kind in kinds.items()],
+        *[_typed(F.col(name), kind, formats.get(name)).alias(name) for name, kind in kinds.items()],
         "ingest_seq",
         F.array_compact(F.array(*bad)).alias(_BAD),
     )
