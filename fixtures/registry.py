@@ -19,7 +19,7 @@ from viewmart.plans import (
 from viewmart.session import new_folder, settle
 from viewmart.sources import bronze_csv
 from viewmart.sources.formats import chosen_formats
-from viewmart.sources.layers import read_layer, write_layer
+from viewmart.sources.layers import read_chosen, read_layer, write_layer
 from viewmart.sources.reload import LayerCache
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,20 @@ def _layer_gold(t: Tables) -> DataFrame:
     return medallion.contents(medallion.run_gold(t.spark, base))
 
 
+def _gold_chosen(t: Tables) -> DataFrame:
+    """Gold stored in the order of its filters, and what the dashboards' choices read of it."""
+    base = new_folder(t.spark, "gold-chosen")
+    for table, df in (("customers", t.customers), ("tickets", t.tickets), ("viewing_logs", t.logs)):
+        write_layer(df, base, "silver", table)
+    medallion.run_gold(t.spark, base, clustered=True, files=16)
+    choices = {
+        "billing_segmentation": {"Region": _CHOSEN_CUSTOMERS["regions"], "Customer_Segment": _CHOSEN_CUSTOMERS["segments"]},
+        "content_strategy": {"Program_Genre": ["Click", "Error"], "Device_Type": ["Tablet"]},
+        "network_operations": {"Department": [None, "Billing"]},
+    }
+    return medallion.contents({table: read_chosen(t.spark, base, "gold", table, **chosen) for table, chosen in choices.items()})
+
+
 def _layer_all(t: Tables) -> DataFrame:
     return medallion.contents(medallion.run_all(t.spark, t.all_bronze(), new_folder(t.spark, "layer-all")))
 
@@ -352,6 +366,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "layer_silver": _layer_silver,
     "layer_gold": _layer_gold,
     "layer_all": _layer_all,
+    "gold_chosen": _gold_chosen,
     # cleaning rules
     "title_case": _title_case,
     "clamp_future_join": lambda t: silver.clamp_future(t.bronze("customers"), "Join_Date", fv.AS_OF).select(

@@ -830,3 +830,6 @@ query(
     ),
     '"Value"',
 )
+
+D3_NULL = "(SELECT * FROM gold_operations WHERE Department = 'Billing' OR Department IS NULL)"
+query("gold_chosen", contents([("billing_segmentation", D1), ("content_strategy", D2), ("network_operations", D3_NULL)]))

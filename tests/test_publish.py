@@ -5,8 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from viewmart.operators import where_in
 from viewmart.sources import layers
-from viewmart.sources.layers import PublishConflict, layer_path, layer_version, publish, read_layer, write_layer
+from viewmart.sources.layers import PublishConflict, layer_path, layer_version, publish, read_chosen, read_layer, write_layer
 from viewmart.sources.reload import LayerCache
 
 
@@ -85,3 +86,46 @@ def test_cache_sees_a_new_version_after_expiry_or_clear(spark, tmp_path):
     assert cache.get("t") is second
     cache.clear()
     assert numbers(cache.get("t")) == [0, 1, 2] and not second.storageLevel.useMemory
+
+
+def regions(spark):
+    """A third of the rows in one region, and NULL among them."""
+    region = F.when(F.col("id") % 3 == 0, "EAST").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("r"), F.col("id") % 20))
+    return spark.range(3000).withColumn("Region", region).withColumn("Segment", F.concat(F.lit("s"), F.col("id") % 4)).repartition(7)
+
+
+def test_clustered_tables_skip_files(spark, tmp_path):
+    base, rows = str(tmp_path), regions(spark)
+    stored = write_layer(rows, base, "gold", "t", cluster_by=["Region", "Segment", "id"], files=12)
+    assert sorted(stored.columns) == ["Region", "Segment", "id"] and numbers(stored) == list(range(3000))
+    every = len(read_layer(spark, base, "gold", "t").inputFiles())
+    cases = [{"Region": ["r5"]}, {"Region": ["EAST"], "Segment": ["s1"]}, {"Region": [None]}, {"Region": [None, "r7"], "id": [7, 8]}]
+    for choices in cases:
+        got = read_chosen(spark, base, "gold", "t", **choices)
+        assert numbers(got) == numbers(where_in(rows, **choices)) != []
+        assert len(got.inputFiles()) < every / 2 and got.columns == stored.columns
+    assert read_chosen(spark, base, "gold", "t", Region=["nowhere"]).collect() == []
+    # The frequent region is split among files, in the order of the last column.
+    assert 3 <= len(read_chosen(spark, base, "gold", "t", Region=["EAST"]).inputFiles())
+    assert numbers(read_chosen(spark, base, "gold", "t", Region=None)) == list(range(3000))
+
+
+def test_clustered_rows_stand_in_order(spark, tmp_path):
+    write_layer(regions(spark), str(tmp_path), "gold", "t", cluster_by=["Region", "id"], files=6)
+    stored = read_layer(spark, str(tmp_path), "gold", "t").select("_metadata.file_name", "Region", "id").collect()
+    files = {}
+    for row in stored:  # one task reads a small file as it stands
+        files.setdefault(row.file_name, []).append((row.Region is not None, row.Region or "", row.id))
+    in_files = [key for name in sorted(files) for key in files[name]]
+    assert in_files == sorted(in_files) and len(files) == 6
+
+
+def test_choices_of_tables_that_are_not_clustered(spark, tmp_path):
+    base = str(tmp_path)
+    regions(spark).write.parquet(f"{base}/gold/plain")
+    write_layer(regions(spark), base, "gold", "loose")
+    write_layer(regions(spark).where("false"), base, "gold", "empty", cluster_by=["Region"])
+    for table, count in (("plain", 1000), ("loose", 1000), ("empty", 0)):
+        assert read_chosen(spark, base, "gold", table, Region=["EAST"]).count() == count
+    with pytest.raises(FileNotFoundError):
+        read_chosen(spark, base, "gold", "none", Region=["EAST"])

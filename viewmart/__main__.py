@@ -24,6 +24,7 @@ def main() -> None:
     parser.add_argument("--gold-tables", nargs="+", choices=medallion.GOLD_TABLES, default=None)
     parser.add_argument("--multi-line", action="store_true", help="cells of the CSV files may hold line breaks")
     parser.add_argument("--find-formats", action="store_true", help="find out how dates and numbers are written")
+    parser.add_argument("--clustered", action="store_true", help="store gold in the order of its filters")
     parser.add_argument("--max-unreadable", type=int, default=None, help="fail if more cells cannot be read")
     parser.add_argument("--csv-copy", action="store_true", help="also export each table as CSV")
     args = parser.parse_args()
@@ -41,7 +42,7 @@ def main() -> None:
         medallion.run_unreadable(bronze, args.base, args.max_unreadable).show(1000, truncate=False)
         medallion.run_silver(bronze, args.base, args.as_of, args.csv_copy)
     if "gold" in args.layers:
-        medallion.run_gold(spark, args.base, args.as_of, args.csv_copy, args.gold_tables)
+        medallion.run_gold(spark, args.base, args.as_of, args.csv_copy, args.gold_tables, args.clustered)
     spark.stop()
 
 

@@ -4,21 +4,31 @@ A version is written to a folder of its own. Then one small entry in the table's
 put there by a rename that fails if the entry exists. Readers look up the last entry, so they see
 the old table until the new one is whole, and a job that fails or is run twice at once never leaves half a
 table. A table may be rebuilt from itself for the same reason.
+
+A version may be clustered: its rows then stand in the order of some columns from file to file, and the
+least and greatest value of each file are stored beside it, so ``read_chosen`` opens only files that
+can hold the values asked for.
 """
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from viewmart.operators import where_in
 from viewmart.sources.bronze_csv import write_csv
 
 #: Versions that stay readable, the last one included; whoever reads longer may lose the files.
 KEPT_VERSIONS = 2
 
 
+#: Where a clustered version keeps the value ranges of its files; Spark does not read such names as data.
+RANGES = "_ranges"
+
+
 class PublishConflict(RuntimeError):
     """Another job published the same version first."""
 
@@ -92,21 +102,51 @@ def _forget(spark: SparkSession, path: str, version: int, keep: int) -> None:
             files.delete(place, True)
 
 
-def publish(df: DataFrame, path: str, keep: int = KEPT_VERSIONS) -> tuple[int, str]:
-    """Write a new version of the table at ``path`` and make it the current one: (version, folder)."""
+def _clustered(df: DataFrame, columns: Sequence[str], files: int | None) -> DataFrame:
+    """Rows in the order of ``columns``, NULL first; the last ones also split a frequent value among files.
+
+    Without a number of files, Spark's shuffle partitions hold, joined up to its advised size. The input is
+    computed twice, since bounds are sampled from it first.
+    """
+    dealt = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
+    return dealt.sortWithinPartitions(*columns)
+
+
+def _write_ranges(spark: SparkSession, folder: str, columns: Sequence[str]) -> None:
+    """Per file: its name, and for each column the least and greatest value and the number of NULLs."""
+    stored = spark.read.parquet(folder).select("_metadata.file_name", *columns)
+    ranges = []
+    for i, name in enumerate(columns):
+        ranges += [F.min(name).alias(f"low{i}"), F.max(name).alias(f"high{i}"), F.count_if(F.col(name).isNull()).alias(f"nulls{i}")]
+    stored.groupBy("file_name").agg(*ranges).coalesce(1).write.parquet(f"{folder}/{RANGES}")
+
+
+def publish(
+    df: DataFrame, path: str, keep: int = KEPT_VERSIONS, cluster_by: Sequence[str] = (), files: int | None = None
+) -> tuple[int, str]:
+    """Write a new version of the table at ``path`` and make it the current one: (version, folder).
+
+    With ``cluster_by``, rows are stored in the order of these columns, in ``files`` files if given.
+    """
     spark = df.sparkSession
     version = max(_entries(spark, path), default=0) + 1
     folder = f"v{version:020d}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{folder}")
-    _put_entry(spark, path, version, {"version": version, "folder": folder})
+    if cluster_by:
+        _clustered(df, cluster_by, files).write.parquet(f"{path}/{folder}")
+        _write_ranges(spark, f"{path}/{folder}", cluster_by)
+    else:
+        df.write.parquet(f"{path}/{folder}")
+    _put_entry(spark, path, version, {"version": version, "folder": folder, "clustered": list(cluster_by)})
     _forget(spark, path, version, keep)
     return version, f"{path}/{folder}"
 
 
-def write_layer(df: DataFrame, base: str, layer: str, table: str, csv_copy: bool = False) -> DataFrame:
+def write_layer(
+    df: DataFrame, base: str, layer: str, table: str, csv_copy: bool = False, cluster_by: Sequence[str] = (), files: int | None = None
+) -> DataFrame:
     """Replace the table and return the version written, as read back from storage."""
     path = layer_path(base, layer, table)
-    _, folder = publish(df, path)
+    _, folder = publish(df, path, cluster_by=cluster_by, files=files)
     stored = df.sparkSession.read.schema(df.schema).parquet(folder)
     if csv_copy:
         write_csv(stored, f"{path}_csv")
@@ -133,3 +173,36 @@ def read_layer(spark: SparkSession, base: str, layer: str, table: str, version:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError(f"no table at {path}; build the {layer} layer first") from error
         raise
+
+
+def _may_hold(place: int, values: Sequence) -> Column:
+    """Whether a file's range of a column admits one of the values; None stands for NULL."""
+    within = [(F.col(f"low{place}") <= F.lit(v)) & (F.col(f"high{place}") >= F.lit(v)) for v in values if v is not None]
+    within += [F.col(f"nulls{place}") > 0] if None in values else []
+    met = F.lit(False)
+    for one in within:
+        met = met | F.coalesce(one, F.lit(False))
+    return met
+
+
+def read_chosen(spark: SparkSession, base: str, layer: str, table: str, **choices: Sequence | None) -> DataFrame:
+    """The rows whose columns are among the chosen values, as ``where_in`` has them.
+
+    Of a clustered table only the files are opened whose ranges admit the choice; other tables are filtered alone.
+    """
+    path = layer_path(base, layer, table)
+    entries = _entries(spark, path)
+    entry = _read_entry(spark, path, entries[max(entries)]) if entries else {}
+    columns = entry.get("clustered") or []
+    known = {name: values for name, values in choices.items() if values and name in columns}
+    if not known:
+        return where_in(read_layer(spark, base, layer, table, max(entries, default=None)), **choices)
+    folder = f"{path}/{entry['folder']}"
+    whole = spark.read.parquet(folder)
+    ranges = spark.read.parquet(f"{folder}/{RANGES}")
+    for name, values in known.items():
+        ranges = ranges.where(_may_hold(columns.index(name), values))
+    # A name for each file to open, which Spark's own listing of files would hold as well.
+    names = [row.file_name for row in ranges.select("file_name").collect()]
+    opened = spark.read.schema(whole.schema).parquet(*[f"{folder}/{name}" for name in names]) if names else whole.where("false")
+    return where_in(opened, **choices)
