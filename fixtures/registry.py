@@ -161,15 +161,25 @@ def _layer_all(t: Tables) -> DataFrame:
 _ODD_BILLS = {3: "inf", 5: "12,5", 7: "unknown value"}
 
 
-def _unreadable(t: Tables) -> DataFrame:
-    """Count what cannot be read in an export of customers in which some bills are not numbers."""
+def _odd_customers(t: Tables) -> str:
+    """An export of customers in which some bills are not numbers."""
     customers = bronze_csv.bronze_only(t.bronze("customers"), "customers")
     bill = F.col("Monthly_Bill").cast("string")
     for rest, cell in _ODD_BILLS.items():
         bill = F.when(F.col("Customer_ID") % 11 == rest, cell).otherwise(bill)
     path = new_folder(t.spark, "csv-odd")
     bronze_csv.write_csv(customers.withColumn("Monthly_Bill", bill), path)
-    return medallion.unreadable_values({"customers": bronze_csv.read_bronze_csv(t.spark, path, "customers", multi_line=True)})
+    return path
+
+
+def _unreadable(t: Tables) -> DataFrame:
+    """Count what cannot be read in such an export."""
+    return medallion.unreadable_values({"customers": bronze_csv.read_bronze_csv(t.spark, _odd_customers(t), "customers", multi_line=True)})
+
+
+def _observed(t: Tables) -> DataFrame:
+    """The same counts, taken while the table is stored."""
+    return medallion.take_in(t.spark, {"customers": _odd_customers(t)}, new_folder(t.spark, "take-in"))[1]
 
 
 def _foreign_customers(t: Tables) -> str:
@@ -362,6 +372,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_formats": _scan_formats,
     "scan_foreign_customers": _scan_foreign,
     "unreadable_values": _unreadable,
+    "observed_unreadable": _observed,
     "write_layer": _write_layer,
     "layer_silver": _layer_silver,
     "layer_gold": _layer_gold,

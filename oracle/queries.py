@@ -54,6 +54,7 @@ query(
     "SELECT 'customers' AS Table_Name, 'Monthly_Bill' AS Column_Name, count(*) AS Bad_Values FROM bronze_customers"
     " WHERE Customer_ID % 11 IN (5, 7) HAVING count(*) > 0",
 )
+ORACLES["observed_unreadable"] = ORACLES["unreadable_values"]
 query("scan_logs", "SELECT * FROM bronze_logs", "Buffering_Events User_Rating")
 query("scan_foreign_customers", "SELECT * EXCLUDE (ingest_seq) FROM bronze_customers", "Monthly_Bill Customer_Lifetime_Value")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StructType, TimestampNTZType
 
 from viewmart.operators import bin_of, page
+from viewmart.plans import medallion
 from viewmart.sources.bronze_csv import bad_value_counts, read_bronze_csv
 from viewmart.sources.formats import DATE_FORMATS, chosen_formats, read_as, scan_formats
 
@@ -81,3 +82,20 @@ def test_page_in_one_scan(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") <= 2  # the adaptive plan shows its scan once, the initial plan once more
     assert page(df.where("false"), {"Rows": F.count("*")}, {"kind": (F.col("kind"), {"Rows": F.count("*")})}).collect() == []
+
+
+def test_unreadable_cells_are_counted_by_the_write(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Customer_ID,Join_Date,Monthly_Bill\n" + "".join(f"{i},{'soon' if i % 4 == 0 else '2024-01-05'},{i}\n" for i in range(40)) + "x,2024-01-05\n")
+    bronze = read_bronze_csv(spark, str(tmp_path / "c.csv"), "customers")
+    stored, counted = medallion.take_in(spark, {"customers": str(tmp_path / "c.csv")}, str(tmp_path / "lake"))
+    want = {("customers", *row) for row in bad_value_counts(bronze).collect()}
+    assert {(r.Table_Name, r.Column_Name, r.Bad_Values) for r in counted.collect()} == want == {
+        ("customers", "Customer_ID", 1), ("customers", "Join_Date", 10), ("customers", "(record)", 1)
+    }
+    assert stored["customers"].count() == 41
+    assert medallion.run_unreadable(stored, str(tmp_path / "lake"), 12, counted).count() == 3
+    with pytest.raises(ValueError, match="12 cells"):
+        medallion.run_unreadable(stored, str(tmp_path / "lake"), 11, counted)
+    clean = tmp_path / "d.csv"
+    clean.write_text("Customer_ID\n1\n")
+    assert medallion.take_in(spark, {"customers": str(clean)}, str(tmp_path / "lake"))[1].collect() == []

@@ -38,8 +38,8 @@ def main() -> None:
     if "silver" in args.layers:
         if not given:
             parser.error("the silver layer needs at least one CSV source")
-        bronze = medallion.run_bronze(spark, given, args.base, args.multi_line, args.find_formats)
-        medallion.run_unreadable(bronze, args.base, args.max_unreadable).show(1000, truncate=False)
+        bronze, unread = medallion.take_in(spark, given, args.base, args.multi_line, args.find_formats)
+        medallion.run_unreadable(bronze, args.base, args.max_unreadable, unread).show(1000, truncate=False)
         medallion.run_silver(bronze, args.base, args.as_of, args.csv_copy)
     if "gold" in args.layers:
         medallion.run_gold(spark, args.base, args.as_of, args.csv_copy, args.gold_tables, args.clustered)

@@ -12,7 +12,7 @@ from viewmart.plans.content import gold_content
 from viewmart.plans.operations import gold_operations
 from viewmart.plans.silver import silver_customers, silver_logs, silver_tickets
 from viewmart.session import scratch, settle
-from viewmart.sources.bronze_csv import bad_value_counts, find_formats, read_bronze_csv
+from viewmart.sources.bronze_csv import bad_value_counts, find_formats, observe_bad_values, read_bronze_csv
 from viewmart.sources.formats import chosen_formats
 from viewmart.sources.layers import read_layer, write_layer
 
@@ -26,18 +26,28 @@ GOLD_ORDER = {
 }
 
 
-def run_bronze(
+def take_in(
     spark: SparkSession, csv_paths: dict[str, str], base: str, multi_line: bool = False, find: bool = False
-) -> dict[str, DataFrame]:
-    """Take CSV files in: parse them once and store them typed.
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Parse CSV files once and store them typed: (stored tables, cells per table and column that did not fit).
 
-    ``find`` looks first how each table's files write dates and numbers, in one more pass.
+    Unreadable cells are counted while a table is written. ``find`` looks first how each
+    table's files write dates and numbers, in one more pass.
     """
-    stored = {}
+    stored, counted = {}, spark.createDataFrame([], "Table_Name string, Column_Name string, Bad_Values long")
     for table, path in csv_paths.items():
         formats = chosen_formats(find_formats(spark, path, table, multi_line)) if find else None
-        stored[table] = write_layer(read_bronze_csv(spark, path, table, multi_line, formats), base, "bronze", table)
-    return stored
+        bronze, observed = observe_bad_values(read_bronze_csv(spark, path, table, multi_line, formats))
+        stored[table] = write_layer(bronze, base, "bronze", table)
+        counted = counted.unionByName(observed().withColumn("Table_Name", F.lit(table)))
+    return stored, counted
+
+
+def run_bronze(
+    spark: SparkSession, csv_paths: dict[str, str], base: str, multi_line: bool = False, find: bool = False
+) -> dict[str, DataFrame]:
+    """The stored tables of ``take_in``."""
+    return take_in(spark, csv_paths, base, multi_line, find)[0]
 
 
 def unreadable_values(bronze: dict[str, DataFrame]) -> DataFrame:
@@ -49,10 +59,15 @@ def unreadable_values(bronze: dict[str, DataFrame]) -> DataFrame:
     return total
 
 
-def run_unreadable(bronze: dict[str, DataFrame], base: str, limit: int | None = None) -> DataFrame:
-    """Write the counts of unreadable cells beside bronze; more than ``limit`` in all are an error."""
+def run_unreadable(
+    bronze: dict[str, DataFrame], base: str, limit: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """Write the counts of unreadable cells beside bronze; more than ``limit`` in all are an error.
+
+    Without ``counted``, what ``take_in`` found, bronze is read for them.
+    """
     first = next(iter(bronze.values()))
-    stored = write_layer(unreadable_values(bronze), base, "bronze", "unreadable_values")
+    stored = write_layer(unreadable_values(bronze) if counted is None else counted, base, "bronze", "unreadable_values")
     total = stored.agg(F.coalesce(F.sum("Bad_Values"), F.lit(0))).first()[0]
     if limit is not None and total > limit:
         raise ValueError(f"{total} cells or records could not be read, more than {limit}; see {base}/bronze/unreadable_values")

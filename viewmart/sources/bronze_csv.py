@@ -1,8 +1,8 @@
 """Bronze CSV files in, typed tables out."""
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from viewmart.functions import null_tokens_to_null
@@ -89,6 +89,24 @@ def bad_value_counts(bronze: DataFrame) -> DataFrame:
     )
 
 
+def observe_bad_values(bronze: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The same rows, and a function that gives ``bad_value_counts`` of them without another pass.
+
+    The counts are taken by the first action that reads all rows, such as the write of the table; calling
+    the function before waits for it. Columns without unreadable cells are left out.
+    """
+    spark, seen = bronze.sparkSession, Observation()
+    names = [name for name in bronze.columns if name not in ("ingest_seq", _BAD)] + [RECORD]
+    counts = [F.count_if(F.array_contains(_BAD, name)).alias(f"bad{i}") for i, name in enumerate(names)]
+
+    def observed() -> DataFrame:
+        got = seen.get
+        rows = [(name, got[f"bad{i}"]) for i, name in enumerate(names) if got[f"bad{i}"]]
+        return spark.createDataFrame(rows, "Column_Name string, Bad_Values long")
+
+    return bronze.observe(seen, *counts), observed
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Export with a header; texts with commas or quotes are quoted."""
     writer = df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
