@@ -4,7 +4,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -275,7 +275,7 @@ def test_unigram_base_and_held_out_gain(spark, monkeypatch):
         return " ".join(out)
 
     data = [(1000 + i, walk(rng.randint(5, 60))) for i in range(200)] + rows()
-    found = lm.lm_scores(table(spark, data), fold(F.col("doc_id"), 5) != 1, min_share=1e-3).collect()
+    found = lm.lm_scores(table(spark, data), fold(F.col("doc_id"), 5) != 1).collect()
     train = [t for i, t in data if i is not None and not held(i, 5, 1)]
     count = Counter(w for t in train for w in [*tokens(t), None])
     n, v = sum(count.values()), len(count)
@@ -290,22 +290,68 @@ def test_unigram_base_and_held_out_gain(spark, monkeypatch):
     assert all(r.score < 0 for r in found)
 
 
-def test_tree_is_a_distribution_and_keeps_suffixes(spark):
+def plain_tree(train, depth, support):
+    """Log10 scorer of token lists by a suffix tree in dictionaries."""
+    follow = defaultdict(Counter)
+    for words in train:
+        run = [None, *words, None]
+        for i in range(1, len(run)):
+            for k in range(min(depth, i) + 1):
+                follow[tuple(run[i - k : i])][run[i]] += 1
+    root = follow[()]
+    n, v = sum(root.values()), len(root)
+    kept = set()
+    for context, counts in follow.items():
+        whole, up = sum(counts.values()), follow[context[1:]]
+        gain = sum(c * math.log(c / whole / (up[y] / sum(up.values()))) for y, c in counts.items())
+        if context and whole >= support and gain > len(counts):
+            kept.add(context)
+
+    def share(context, y):
+        if not context:
+            return (root[y] + 0.5) / (n + 0.5 * (v + 1))
+        below = share(context[1:], y)
+        if context not in kept:
+            return below
+        whole, types = sum(follow[context].values()), len(follow[context])
+        return (follow[context][y] + types * below) / (whole + types)
+
+    def score(words):
+        run = [None, *words, None]
+        return sum(math.log10(share(tuple(run[max(0, i - depth) : i]), run[i])) for i in range(1, len(run)))
+
+    return score, kept, share
+
+
+@pytest.mark.parametrize("depth,support", [(2, 2), (3, 2), (2, 5)])
+def test_tree_is_a_plain_suffix_tree(spark, monkeypatch, depth, support):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 6_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 9_000)
     rng = random.Random(5)
-    data = [(i, " ".join(rng.choice([("a b c"), ("b a d"), ("a b d"), "c c"]) for _ in range(30))) for i in range(20)]
-    df = spark.createDataFrame(data, "doc_id bigint, text string")
-    docs, words = lm.corpus_size(df)
-    alphabet = lm.fit_alphabet(df, words, 1e-3, 3)
-    assert (docs, len(alphabet.words)) == (20, 4)
-    runs = lm.symbol_runs(df, spark.sparkContext.broadcast(alphabet))
-    tree = lm.fit_tree(runs, alphabet, 3, 1e-3)
-    lengths = tree.states >> 56
-    assert lengths.max() >= 2
-    for state in range(-1, len(tree.states)):
-        total = tree.probability(np.full(alphabet.size, state), np.arange(alphabet.size)).sum()
-        assert total == pytest.approx(1)
-    contexts = {(int(l), int(s & ((1 << 56) - 1))) for l, s in zip(lengths, tree.states)}
-    assert all((l - 1, c & ((1 << (lm.BITS * (l - 1))) - 1)) in contexts for l, c in contexts if l)
+    data = [(i, " ".join(rng.choice(["a b c", "b a d", "a b D", "c c", rng.choice(WORDS)]) for _ in range(rng.randint(0, 40)))) for i in range(150)]
+    data += [(1000 + i, "one hot pair " * 500) for i in range(8)] + [(2000, " ".join(WORDS)), (2001, " ".join(WORDS))] + rows()
+    found = lm.lm_scores(table(spark, data), fold(F.col("doc_id"), 5) != 1, depth, support).collect()
+    score, kept, share = plain_tree([tokens(t) for i, t in data if i is not None and not held(i, 5, 1)], depth, support)
+    assert {len(c) for c in kept} == set(range(1, depth + 1))
+    expected = Counter((str(i), round(score(tokens(t)), 5)) for i, t in data)
+    assert Counter((str(r.doc_id), round(r.score, 5)) for r in found) == expected
+    seen = {w for i, t in data if i is not None and not held(i, 5, 1) for w in [*tokens(t), None]}
+    for context in list(kept)[:20]:
+        assert sum(share(context, y) for y in [*seen, "never"]) == pytest.approx(1)
+
+
+def test_scores_do_not_depend_on_the_dealing_of_rows(spark):
+    docs = table(spark, rows())
+    found = [lm.lm_scores(docs.repartition(k), fold(F.col("doc_id"), 5) != 1).select("doc_id", "score").collect() for k in (1, 5)]
+    assert Counter(found[0]) == Counter(found[1])
+
+
+def test_a_text_that_occurs_twice_is_known(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(100)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(500 + i, t) for i, t in enumerate(texts[:5])]
+    found = {r.doc_id: r.score for r in lm.lm_scores(table(spark, data), F.lit(True)).collect()}
+    assert max(found[i] for i in range(5, 100)) < min(found[i] for i in range(5))
 
 
 def test_language_model_of_nothing(spark):

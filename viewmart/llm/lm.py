@@ -1,34 +1,40 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The alphabet is bounded: each frequent word is a symbol, other words go by their ending, and each text
-ends with an end symbol. A context is a run of up to ``depth`` symbols; it is looked at if it is frequent,
-and kept if its next-symbol distribution diverges from that of its longest proper suffix.
-Suffixes of kept contexts are kept too. Each symbol is scored in the longest kept context that
-ends before it, and a word of a class by its share of the class, in which all unseen words
-together have the share that new words had in training.
-
-Word counts go through shards: each sends its distinct words once and gets their counts back, so
-no token is shuffled on its own.
+Every word is a symbol, and each text ends with an end symbol, which also stands before its first word. A
+context is a run of up to ``depth`` symbols. Those that occur ``support`` times or more in training are
+tested, and kept if their next-symbol distribution diverges from that of the context without its
+first symbol. A kept context smooths its counts towards its longest kept proper suffix, the root being
+the unigram base. Each symbol is scored in the longest kept context that ends before it.
+
+The model is a set of rows that Spark shuffles, so it grows with the corpus; no part of it comes to the
+driver or goes to every task. Texts are dealt to shards. A shard sends its distinct events (a
+context and the symbol after it) with their counts to buckets and gets their totals over the corpus
+back, so no token is shuffled on its own and a frequent event is one entry a shard. The total of
+an event is the number of times that its symbols occur as the next longer context.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from viewmart.llm.common import settle, slices, text_bytes, texts_of
+from viewmart.llm.common import text_bytes, texts_of
 from viewmart.llm.pieces import hash_runs
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Symbols: the end of a text (and, as a context, its start), and words of rare endings.
-END, OTHER, FIRST_OWN = 0, 1, 2
-BITS = 16
+#: The end symbol's hash.
+END = np.uint64(0x9E3779B97F4A7C15)
 SHARD_BYTES = 8 << 20
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 16 << 20
+#: Kinds of messages: totals of words and of pairs, sums for the test of contexts of one word; longer contexts
+#: go by their length.
+WORDS, PAIRS, SINGLE = 0, 1, -1
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,353 +50,340 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return LOWER[data[~space]], place[at], np.searchsorted(offsets, at, "right") - 1
 
 
-class Distinct:
-    """The distinct words of many texts by a 64-bit hash, and the last two bytes of each."""
+def mixed(value: np.ndarray) -> np.ndarray:
+    """The numbers with their bits stirred."""
+    value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return value ^ (value >> np.uint64(31))
 
-    def __init__(self, texts: pa.Array):
-        data, starts, self.text = words_of(texts)
-        self.hashes, example, self.inverse = np.unique(hash_runs(data, starts), return_index=True, return_inverse=True)
-        ends = np.r_[starts[1:], len(data)][example] if len(starts) else starts
-        before = np.where(ends - starts[example] > 1, data[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
-        self.ending = (before.astype(np.uint16) << 8) | (data[ends - 1] if len(starts) else before.astype(np.uint16))
 
+def followed(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with one more symbol."""
+    return mixed(context * np.uint64(0xD6E8FEB86659FD93) + symbol)
 
-def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(0, np.int64)
+
+def packed(hashes: np.ndarray) -> bytes:
+    """The upper six bytes of each hash; a bucket's number stands for the lower ones."""
+    return (hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and the numbers of its hashes, in a fixed order."""
+    bucket = bucket_of(hashes, buckets)
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True]) if len(ordered) else np.zeros(0, np.int64)
     for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(bucket[low]), low, high
-
-
-def _tabled(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.Table:
-    return pa.table({name: pa.array(values, kinds[name]) for name, values in columns.items()})
-
-
-class Alphabet:
-    """Symbols of frequent words and of endings, with the tokens and types of each class."""
-
-    def __init__(self, words: np.ndarray, endings: dict[int, tuple[int, int]], least: float):
-        self.words = np.sort(words.astype(np.uint64))
-        own = sorted(e for e, (n, _) in endings.items() if n >= least)
-        self.size = FIRST_OWN + len(self.words) + len(own)
-        self.of_ending = np.full(1 << 16, OTHER, np.int64)
-        self.of_ending[own] = FIRST_OWN + len(self.words) + np.arange(len(own))
-        self.tokens, self.types = np.zeros(self.size), np.zeros(self.size)
-        for ending, (n, types) in endings.items():
-            self.tokens[self.of_ending[ending]] += n
-            self.types[self.of_ending[ending]] += types
-
-    def symbols(self, words: Distinct) -> np.ndarray:
-        """The symbol of each distinct word."""
-        result = self.of_ending[words.ending]
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words.hashes), len(self.words) - 1)
-            result = np.where(self.words[at] == words.hashes, FIRST_OWN + at, result)
-        return result
-
-    def word_logs(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 of a word's share of its symbol: 1 for a frequent word; unseen words share one part."""
-        whole = self.tokens[symbol] + self.types[symbol]
-        part = np.where(count > 0, count, self.types[symbol])
-        alone = ((symbol >= FIRST_OWN) & (symbol < FIRST_OWN + len(self.words))) | (whole == 0)
-        return np.where(alone, 0.0, np.log10(np.maximum(part, 0.5) / np.maximum(whole, 1)))
-
-
-def corpus_size(docs: DataFrame) -> tuple[int, int]:
-    """Documents and words of (text)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = sum(len(words_of(part.column("text"))[1]) for part in slices(batch))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([words])], ["docs", "words"])
-
-    row = docs.select("text").mapInArrow(count, "docs long, words long").agg(F.sum("docs"), F.sum("words")).first()
-    return row[0] or 0, row[1] or 0
-
-
-def fit_alphabet(docs: DataFrame, words: int, min_share: float, buckets: int) -> Alphabet:
-    """Words and endings from ``min_share`` of all words on are symbols, so there are at most 2 / min_share."""
-    least = max(2.0, min_share * words)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def merged() -> tuple:
-            hashes, n, ending = (np.concatenate(x) for x in zip(*held, strict=True))
-            own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            return own, np.bincount(back, n).astype(np.int64), ending[first]
-
-        for batch in batches:
-            for part in slices(batch):
-                found = Distinct(part.column("text"))
-                held.append((found.hashes, np.bincount(found.inverse, minlength=len(found.hashes)), found.ending))
-                if len(held) > 6:
-                    held = [merged()]
-        if not held:
-            return
-        hashes, n, ending = merged()
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for number, low, high in _cuts(bucket[order]):
-            own = order[low:high]
-            blobs = [hashes[own].tobytes(), n[own].astype(np.uint32).tobytes(), ending[own].tobytes()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["bucket", "hashes", "counts", "endings"]
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        _, word, total = _summed(table)
-        ending = np.zeros(len(total), np.int64)
-        ending[word] = np.frombuffer(b"".join(table["endings"].to_pylist()), np.uint16)
-        hashes = np.zeros(len(total), np.uint64)
-        hashes[word] = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
-        often = total >= least
-        rest = np.bincount(ending[~often], total[~often], 1 << 16).astype(np.int64)
-        types = np.bincount(ending[~often], minlength=1 << 16)
-        seen = np.flatnonzero(types)
-        return pa.table({
-            "word": pa.array(np.r_[np.ones(often.sum(), bool), np.zeros(len(seen), bool)]),
-            "key": pa.array(np.r_[hashes[often].view(np.int64), seen]),
-            "n": pa.array(np.r_[total[often], rest[seen]]),
-            "types": pa.array(np.r_[np.ones(often.sum(), np.int64), types[seen]]),
-        })
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, hashes binary, counts binary, endings binary")
-    rows = sent.groupBy("bucket").applyInArrow(add, "word boolean, key long, n long, types long")
-    rows = rows.groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
-    own = np.array([r["key"] for r in rows if r["word"]], np.int64).view(np.uint64)
-    return Alphabet(own, {r["key"]: (r["n"], r["types"]) for r in rows if not r["word"]}, least)
-
-
-def symbol_runs(docs: DataFrame, alphabet) -> DataFrame:
-    """(symbols) of each row of (text): two bytes for each symbol, an end before and after."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                flat, ends = sequences(Distinct(part.column("text")), alphabet.value, part.num_rows)
-                whole, at = flat.astype(np.uint16).tobytes(), (2 * np.r_[0, ends]).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([whole[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["symbols"])
-
-    return docs.select("text").mapInArrow(run, "symbols binary")
-
-
-def sequences(words: Distinct, alphabet: Alphabet, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols, each text between two ends, and the place after each text."""
-    own = np.bincount(words.text, minlength=n)
-    ends = np.cumsum(own + 2)
-    flat = np.zeros(int(ends[-1]) if n else 0, np.int64)
-    flat[np.arange(len(words.text)) + 2 * words.text + 1] = alphabet.symbols(words)[words.inverse]
-    return flat, ends
-
-
-def contexts_at(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places with ``length`` symbols before them in their text, and these symbols as one key."""
-    starts = np.r_[0, ends[:-1]] if len(ends) else ends
-    reach = np.arange(len(flat)) - np.repeat(starts, ends - starts)
-    place = np.flatnonzero(reach >= max(length, 1))
-    key = np.zeros(len(place), np.int64)
-    for back in range(1, length + 1):
-        key |= flat[place - back] << (BITS * (back - 1))
-    return place, key
-
-
-def context_counts(runs: DataFrame, length: int, wanted: np.ndarray) -> pa.Table:
-    """(context, symbol, n) of the contexts of one length that are among ``wanted`` (sorted)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column("symbols").to_pylist()
-            flat = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
-            place, key = contexts_at(flat, np.cumsum([len(b) // 2 for b in blobs]), length)
-            if not len(place):
-                continue
-            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            hit = wanted[at] == key
-            pairs, n = np.unique(at[hit] << BITS | flat[place[hit]], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(wanted[pairs >> BITS]), pa.array((pairs & 0xFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["context", "symbol", "n"]
-            )
-
-    counts = runs.mapInArrow(count, "context long, symbol int, n long")
-    return counts.groupBy("context", "symbol").agg(F.sum("n").alias("n")).toArrow()
-
-
-class SuffixTree:
-    """States sorted by (length, context); Witten-Bell smoothing towards the parent state."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], alphabet_size: int):
-        """``levels[l]`` has context, symbol and n of the contexts of length l, and is closed under suffixes."""
-        length = np.concatenate([np.full(len(level[0]), k, np.int64) for k, level in enumerate(levels)])
-        context, symbol, n = (np.concatenate(column) for column in zip(*levels, strict=True))
-        state = length << 56 | context
-        order = np.lexsort((symbol, state))
-        state, symbol, n = state[order], symbol[order], n[order].astype(np.float64)
-        edge = np.flatnonzero(np.r_[True, state[1:] != state[:-1]]) if len(state) else np.zeros(0, np.int64)
-        self.states, self.depth, self.alphabet_size = state[edge], len(levels) - 1, alphabet_size
-        sizes = np.diff(np.r_[edge, len(state)])
-        total = np.add.reduceat(n, edge) if len(edge) else np.zeros(0)
-        number = np.repeat(np.arange(len(edge)), sizes)
-        self.pairs = number << BITS | symbol
-        self.miss = sizes / (total + sizes)
-        lengths, contexts = self.states >> 56, self.states & ((np.int64(1) << 56) - 1)
-        up = np.maximum(lengths - 1, 0)
-        self.parent = np.searchsorted(self.states, up << 56 | (contexts & ((np.int64(1) << (BITS * up)) - 1)))
-        self.parent[lengths == 0] = -1
-        self.seen = np.zeros(len(n))
-        for level in range(len(levels)):  # parents first
-            own = np.flatnonzero(lengths[number] == level)
-            above = self.probability(self.parent[number[own]], symbol[own])
-            self.seen[own] = (n[own] + sizes[number[own]] * above) / (total[number[own]] + sizes[number[own]])
-
-    def probability(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The smoothed probability of a symbol in a state; state -1 is uniform."""
-        result, scale, active = np.zeros(len(state)), np.ones(len(state)), np.arange(len(state))
-        state = state.copy()
-        while len(active):
-            outside = state[active] < 0
-            result[active[outside]] = scale[active[outside]] / self.alphabet_size
-            active = active[~outside]
-            pair = state[active] << BITS | symbol[active]
-            at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
-            hit = self.pairs[at] == pair if len(self.pairs) else np.zeros(len(active), bool)
-            result[active[hit]] = scale[active[hit]] * self.seen[at[hit]]
-            active = active[~hit]
-            scale[active] *= self.miss[state[active]]
-            state[active] = self.parent[state[active]]
-        return result
-
-    def text_logs(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text's symbols, each in its longest state."""
-        state = np.full(len(flat), -1, np.int64)
-        for length in range(self.depth + 1):
-            place, key = contexts_at(flat, ends, length)
-            wanted = np.int64(length) << 56 | key
-            at = np.minimum(np.searchsorted(self.states, wanted), max(len(self.states) - 1, 0))
-            hit = self.states[at] == wanted if len(self.states) else np.zeros(len(wanted), bool)
-            state[place[hit]] = at[hit]
-        logs = np.zeros(len(flat))
-        place, _ = contexts_at(flat, ends, 0)
-        logs[place] = np.log10(self.probability(state[place], flat[place]))
-        return np.add.reduceat(logs, np.r_[0, ends[:-1]]) if len(ends) else logs
-
-
-def _total(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    own, back = np.unique(context, return_inverse=True)
-    return own, back, np.bincount(back, n)
-
-
-def diverging(level: tuple, parent: tuple, length: int) -> np.ndarray:
-    """Contexts whose log-likelihood gain over their parents' distributions exceeds their next symbols' number."""
-    context, symbol, n = level
-    own, back, total = _total(context, n)
-    up_own, up_back, up_total = _total(parent[0], parent[2])
-    up_pair = up_back << BITS | parent[1]
-    order = np.argsort(up_pair)
-    above = np.searchsorted(up_own, context & ((np.int64(1) << (BITS * (length - 1))) - 1))
-    share = parent[2][order][np.searchsorted(up_pair[order], above << BITS | symbol)] / up_total[above]
-    gain = np.bincount(back, n * np.log(n / total[back] / share))
-    return own[gain > np.bincount(back)]
-
-
-def fit_tree(runs: DataFrame, alphabet: Alphabet, depth: int, min_share: float) -> SuffixTree:
-    """Level by level; a context is looked at from ``min_share`` of all symbols on.
-
-    So a length has at most 1 / min_share contexts, which bounds what comes to the driver.
-    """
-    levels, wanted, total = [], np.zeros(1, np.int64), 0
-    for length in range(depth + 1):
-        table = context_counts(runs, length, wanted)
-        level = tuple(table[name].to_numpy().astype(np.int64) for name in ("context", "symbol", "n"))
-        if not len(level[0]):
-            break
-        levels.append(level)
-        total = total or level[2].sum()
-        # A longer context is a counted one and the symbol after it; none goes on after an end.
-        often = (level[2] >= max(2.0, min_share * total)) & (level[1] != END)
-        wanted = (level[0][often] << BITS) | level[1][often]
-        if length == 0:
-            wanted = np.r_[END, wanted]
-        wanted = np.unique(wanted)
-        if not len(wanted):
-            break
-    kept: list[np.ndarray] = [np.zeros(1, np.int64)] + [diverging(levels[k], levels[k - 1], k) for k in range(1, len(levels))]
-    for length in range(len(levels) - 1, 1, -1):
-        kept[length - 1] = np.union1d(kept[length - 1], kept[length] & ((np.int64(1) << (BITS * (length - 1))) - 1))
-    chosen = [tuple(c[np.isin(level[0], own)] for c in level) for level, own in zip(levels, kept, strict=False)]
-    return SuffixTree(chosen or [(np.zeros(0, np.int64),) * 3], alphabet.size)
-
-
-class ShardWords(Distinct):
-    """Distinct words in the order of their buckets."""
-
-    def __init__(self, texts: pa.Array, buckets: int):
-        super().__init__(texts)
-        bucket = (self.hashes % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket = bucket[self.order]
-
-
-def send_words(buckets: int):
+        yield int(ordered[low]), order[low:high]
+
+
+@dataclass
+class Level:
+    """Distinct events of contexts of one length in a shard, in the order of their contexts."""
+
+    at: np.ndarray  # the event of each place, -1 for none
+    hashes: np.ndarray
+    context: np.ndarray  # an event of the level above: the same symbols but the last
+    symbol: np.ndarray
+    parent: np.ndarray  # an event of the level above: the same symbols but the first
+    own: np.ndarray  # times in the shard's training texts
+    total: np.ndarray | None = None  # times in all training texts
+
+
+class Shard:
+    """The events of a shard's texts; the same texts in any order give the same events in the same order."""
+
+    def __init__(self, table: pa.Table):
+        n = table.num_rows
+        data, starts, text = words_of(table["text"].combine_chunks())
+        hashes, inverse = np.unique(hash_runs(data, starts), return_inverse=True)
+        sizes = np.bincount(text, minlength=n) + 2
+        self.text = np.repeat(np.arange(n), sizes)
+        first = np.cumsum(sizes) - sizes
+        self.flat = np.full(len(self.text), len(hashes), np.int64)
+        self.flat[np.arange(len(text)) + 2 * text + 1] = inverse
+        self.inner = np.ones(len(self.flat), bool)
+        self.inner[first] = False
+        self.learned = table["learn"].to_numpy(zero_copy_only=False)[self.text] & self.inner
+        words, none = np.r_[hashes, END], np.zeros(len(hashes) + 1, np.int64)
+        own = np.bincount(self.flat, self.learned, len(words)).astype(np.int64)
+        self.levels = [Level(self.flat, words, none, np.arange(len(words)), none, own)]
+
+    def deepen(self, support: int = 0) -> Level:
+        """One more symbol before each place, where these symbols occur ``support`` times in training."""
+        before, width = self.levels[-1], len(self.levels[0].hashes)
+        context = np.r_[-1, before.at[:-1]]
+        place = np.flatnonzero(self.inner & (context >= 0))
+        if support:
+            place = place[before.total[context[place]] >= support]
+        pairs, first, back = np.unique(context[place] * width + self.flat[place], return_index=True, return_inverse=True)
+        at = np.full(len(self.flat), -1, np.int64)
+        at[place] = back
+        above, symbol = pairs // width, pairs % width
+        own = np.bincount(back, self.learned[place], len(pairs)).astype(np.int64)
+        hashes = followed(before.hashes[above], self.levels[0].hashes[symbol])
+        self.levels.append(Level(at, hashes, above, symbol, before.at[place[first]], own))
+        return self.levels[-1]
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The deepest level's contexts, its events that are asked for, and the first and the number of each context's.
+
+        An event that its parent never saw cannot have been seen, and is not asked for.
+        """
+        above, level = self.levels[-2:]
+        wanted = above.total[level.parent] > 0
+        contexts, own = np.unique(level.context, return_inverse=True)
+        sizes = np.bincount(own, wanted, len(contexts)).astype(np.int64)
+        return contexts, np.flatnonzero(wanted), np.c_[np.cumsum(sizes) - sizes, sizes]
+
+
+def _ranges(parts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each (first, size)."""
+    sizes = parts[:, 1]
+    return np.repeat(parts[:, 0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+MESSAGE = "bucket int, shard int, kind int, keys binary, sizes binary, nexts binary, counts binary, shares binary"
+ANSWER = "shard int, kind int, bucket int, counts binary, types binary"
+
+
+def _message(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+    names = [part.split()[0] for part in MESSAGE.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+    return pa.table({name: pa.array(column, kind) for name, column, kind in zip(names, columns, kinds, strict=True)})
+
+
+def _answer(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2
+    names = [part.split()[0] for part in ANSWER.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.table({name: pa.array(column, kind) for name, column, kind in zip(names, columns, kinds, strict=True)})
+
+
+def send_counts(buckets: int):
+    """Distinct words and pairs of a shard, with their counts in its training texts."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        words = ShardWords(table["text"].combine_chunks(), buckets)
-        learned = table["learn"].to_numpy(zero_copy_only=False)[words.text]
-        n = np.bincount(words.inverse, learned, len(words.hashes)).astype(np.int64)
-        out: dict[str, list] = {"bucket": [], "shard": [], "hashes": [], "counts": []}
-        for bucket, low, high in _cuts(words.bucket):
-            chosen = words.order[low:high]
-            out["bucket"].append(bucket)
-            out["shard"].append(key[0].as_py())
-            out["hashes"].append(words.hashes[chosen].tobytes())
-            out["counts"].append(n[chosen].astype(np.uint32).tobytes())
-        kinds = {"bucket": pa.int32(), "shard": pa.int32(), "hashes": pa.binary(), "counts": pa.binary()}
-        return pa.table({name: pa.array(values, kinds[name]) for name, values in out.items()})
+        shard, number = Shard(table), key[0].as_py()
+        shard.deepen()
+        rows = []
+        for kind, level in enumerate(shard.levels):
+            for bucket, own in by_bucket(level.hashes, buckets):
+                keys = level.hashes[own].tobytes() if kind == WORDS else packed(level.hashes[own])
+                rows.append((bucket, number, kind, keys, None, None, level.own[own].astype(np.uint32).tobytes(), None))
+        return _message(rows)
 
     return run
 
 
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All hashes of a bucket, the number of each one's word, and the words' counts."""
-    hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32)
-    _, word = np.unique(hashes, return_inverse=True)
-    return hashes, word, np.bincount(word, counts).astype(np.int64) if len(hashes) else np.zeros(0, np.int64)
+def _joined(rows: list[dict], name: str) -> bytes:
+    return b"".join(row[name] for row in rows)
+
+
+def _totals(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key of all messages, and the sum of each number."""
+    blob = _joined(rows, "keys")
+    _, number = np.unique(np.frombuffer(blob, np.uint64) if kind == WORDS else unpacked(blob), return_inverse=True)
+    return number, np.bincount(number, np.frombuffer(_joined(rows, "counts"), np.uint32)).astype(np.int64)
+
+
+def answer_counts(table: pa.Table) -> pa.Table:
+    """The totals of all keys, to each shard that sent them."""
+    result = []
+    for kind in (WORDS, PAIRS):
+        rows = table.filter(pa.compute.equal(table["kind"], kind)).select(["shard", "bucket", "keys", "counts"]).to_pylist()
+        number, total = _totals(rows, kind)
+        low = 0
+        for row in rows:
+            high = low + len(row["counts"]) // 4
+            result.append((row["shard"], kind, row["bucket"], total[number[low:high]].tobytes(), None))
+            low = high
+    return _answer(result)
+
+
+def count_words(table: pa.Table) -> pa.Table:
+    """Distinct words of a bucket that training has, and their tokens; ends count as a word."""
+    rows = table.filter(pa.compute.equal(table["kind"], WORDS)).select(["keys", "counts"]).to_pylist()
+    _, total = _totals(rows, WORDS)
+    return pa.table({"types": pa.array([int((total > 0).sum())]), "tokens": pa.array([int(total.sum())])})
+
+
+class Told:
+    """What buckets answered to one shard."""
+
+    def __init__(self, answers: pa.Table):
+        rows = answers.to_pylist()
+        self.blobs = {(row["kind"], row["bucket"]): (row["counts"], row["types"]) for row in rows}
+        self.types, self.tokens = (rows[0]["n_types"], rows[0]["n_tokens"]) if rows else (0, 0)
+
+    def fill(self, shard: Shard, level: int, buckets: int) -> None:
+        """Totals of words and pairs."""
+        here = shard.levels[level]
+        here.total = np.zeros(len(here.hashes), np.int64)
+        for bucket, own in by_bucket(here.hashes, buckets):
+            here.total[own] = np.frombuffer(self.blobs[level, bucket][0], np.int64)
+
+    def deepen(self, shard: Shard, length: int, support: int, buckets: int) -> np.ndarray:
+        """A longer level with its totals; the number of next symbols of each of its contexts, 0 for one not kept."""
+        above, here = shard.levels[-1], shard.deepen(support)
+        here.total = np.zeros(len(here.hashes), np.int64)
+        types = np.zeros(len(above.hashes), np.int64)
+        contexts, asked, parts = shard.groups()
+        for bucket, own in by_bucket(above.hashes[contexts], buckets):
+            counts, kept = self.blobs[length, bucket]
+            here.total[asked[_ranges(parts[own])]] = np.frombuffer(counts, np.int64)
+            types[contexts[own]] = np.frombuffer(kept, np.int64)
+        return types
+
+    def single(self, shard: Shard, support: int, buckets: int) -> np.ndarray:
+        """The number of next symbols of each word as a context, 0 for one not kept."""
+        words = shard.levels[0]
+        types = np.zeros(len(words.hashes), np.int64)
+        for bucket, own in by_bucket(words.hashes, buckets):
+            types[own] = np.frombuffer(self.blobs[SINGLE, bucket][1], np.int64)
+        return np.where(words.total >= support, types, 0)
+
+
+def told_shard(table: pa.Table, answers: pa.Table, length: int, support: int, buckets: int) -> tuple[Shard, Told, list]:
+    """A shard with totals of contexts below ``length``, and the next symbols of those of two symbols on."""
+    shard, told = Shard(table), Told(answers)
+    told.fill(shard, WORDS, buckets)
+    shard.deepen()
+    told.fill(shard, PAIRS, buckets)
+    return shard, told, [told.deepen(shard, k, support, buckets) for k in range(2, length)]
+
+
+def _log(values: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(values, 1))
+
+
+def send_level(length: int, support: int, buckets: int):
+    """Events of contexts of ``length`` symbols with their parents' log shares, grouped by context.
+
+    The first time, with each word's part in the test of contexts of one word: a training place adds the
+    log ratio of the pair's share to the symbol's, and its part of a distinct next symbol.
+    """
 
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _message([])
+        number, rows = key[0].as_py(), []
+        shard, told, _ = told_shard(table, answers, length, support, buckets)
+        if length == 2:
+            words, pairs = shard.levels[:2]
+            seen = np.flatnonzero(pairs.own)
+            own, total, context = pairs.own[seen], pairs.total[seen], pairs.context[seen]
+            ratio = _log(total) - _log(words.total[context]) - _log(words.total[pairs.symbol[seen]]) + np.log(max(told.tokens, 1))
+            gain = np.bincount(context, own * ratio, len(words.hashes))
+            types = np.bincount(context, own / np.maximum(total, 1), len(words.hashes))
+            for bucket, own in by_bucket(words.hashes, buckets):
+                rows.append((bucket, number, SINGLE, words.hashes[own].tobytes(), None, None, types[own].tobytes(), gain[own].tobytes()))
+        above, here = shard.levels[-1], shard.deepen(support)
+        contexts, asked, parts = shard.groups()
+        up = shard.levels[-3].total[above.context[here.parent]]
+        share = _log(above.total[here.parent]) - _log(up)
+        next_hash = mixed(shard.levels[0].hashes)
+        for bucket, own in by_bucket(above.hashes[contexts], buckets):
+            events = asked[_ranges(parts[own])]
+            rows.append((
+                bucket, number, length, above.hashes[contexts[own]].tobytes(), parts[own, 1].astype(np.uint32).tobytes(),
+                packed(next_hash[here.symbol[events]]), here.own[events].astype(np.uint32).tobytes(), share[events].astype(np.float32).tobytes(),
+            ))
+        return _message(rows)
 
-def answer_words(table: pa.Table) -> pa.Table:
-    _, word, total = _summed(table)
-    sizes = [len(blob) // 8 for blob in table["hashes"].to_pylist()]
-    ends = np.cumsum(sizes)
-    answers = [total[word[e - n : e]].tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
-    return pa.table({"shard": table["shard"], "bucket": table["bucket"], "counts": pa.array(answers, pa.binary())})
+    return run
+
+
+def answer_level(table: pa.Table) -> pa.Table:
+    """Totals of events and, of contexts that diverge from their parents, the number of next symbols.
+
+    A context is kept if its log-likelihood gain over its parent's distribution exceeds that number.
+    """
+    result = []
+    table = table.sort_by("shard")  # sums of fractions in one order
+    rows = table.filter(pa.compute.equal(table["kind"], SINGLE)).select(["shard", "bucket", "keys", "counts", "shares"]).to_pylist()
+    _, number = np.unique(np.frombuffer(_joined(rows, "keys"), np.uint64), return_inverse=True)
+    types, gain = (np.bincount(number, np.frombuffer(_joined(rows, name), np.float64)) for name in ("counts", "shares"))
+    kept, low = np.where(gain > types, np.rint(types), 0).astype(np.int64), 0
+    for row in rows:
+        high = low + len(row["keys"]) // 8
+        result.append((row["shard"], SINGLE, row["bucket"], None, kept[number[low:high]].tobytes()))
+        low = high
+    rows = table.filter(pa.compute.greater(table["kind"], PAIRS)).to_pylist()
+    keys = np.frombuffer(_joined(rows, "keys"), np.uint64)
+    _, context = np.unique(keys, return_inverse=True)
+    sizes = np.frombuffer(_joined(rows, "sizes"), np.uint32).astype(np.int64)
+    pair = followed(np.repeat(keys, sizes), unpacked(_joined(rows, "nexts")))
+    _, first, number = np.unique(pair, return_index=True, return_inverse=True)
+    total = np.bincount(number, np.frombuffer(_joined(rows, "counts"), np.uint32)).astype(np.int64)
+    share = np.frombuffer(_joined(rows, "shares"), np.float32)[first].astype(np.float64)
+    own = np.repeat(context, sizes)[first]
+    whole = np.bincount(own, total)
+    gain = np.bincount(own, total * (_log(total) - _log(whole)[own] - share))
+    types = np.bincount(own, total > 0)
+    kept = np.where(gain > types, types, 0).astype(np.int64)
+    low = at = 0
+    for row in rows:
+        high, end = low + len(row["counts"]) // 4, at + len(row["keys"]) // 8
+        result.append((row["shard"], row["kind"], row["bucket"], total[number[low:high]].tobytes(), kept[context[at:end]].tobytes()))
+        low, at = high, end
+    return _answer(result)
+
+
+def probabilities(shard: Shard, types: list[np.ndarray], root: np.ndarray) -> np.ndarray:
+    """The probability of each place's symbol in the longest kept context before it; 1 at a text's start.
+
+    ``types[k - 1]`` has the next symbols of contexts of length k, 0 for one not kept. A kept context with n
+    occurrences and t next symbols gives its parent's distribution the weight t / (n + t).
+    """
+    result, below = root[shard.flat], root
+    for above, level, own in zip(shard.levels, shard.levels[1:], types, strict=False):
+        weight = own[level.context]
+        smoothed = (level.total + weight * below[level.parent]) / np.maximum(above.total[level.context] + weight, 1)
+        below = np.where(weight > 0, smoothed, below[level.parent])
+        hit = level.at >= 0
+        result[hit] = below[level.at[hit]]
+    return np.where(shard.inner, result, 1.0)
 
 
-def score_shard(buckets: int, model):
-    """Per document: words, known words, the sum of log10(c + 0.5), and the tree's log10 probability."""
+def score_shard(depth: int, support: int, buckets: int):
+    """Per document: tokens, known ones, the unigram base and the tree's log10 probability."""
 
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        tree, alphabet = model.value
-        words = ShardWords(table["text"].combine_chunks(), buckets)
-        told = dict(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True)) if answers.num_rows else {}
-        count = np.zeros(len(words.hashes), np.int64)
-        for bucket, low, high in _cuts(words.bucket):
-            count[words.order[low:high]] = np.frombuffer(told[bucket], np.int64)
-        n, own = table.num_rows, words.text
-        shares = alphabet.word_logs(alphabet.symbols(words), count)
-        base, share = (np.bincount(own, values[words.inverse], n) for values in (np.log10(count + 0.5), shares))
-        return pa.table({
-            "doc_id": table["doc_id"],
-            "learn": table["learn"],
-            "words": pa.array(np.bincount(own, minlength=n).astype(np.int64)),
-            "known": pa.array(np.bincount(own, count[words.inverse] > 0, n).astype(np.int64)),
-            "count_logs": pa.array(base),
-            "tree_logs": pa.array(tree.text_logs(*sequences(words, alphabet, n)) + share),
-        })
+        n = table.num_rows
+        names = ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        if not n:
+            empty = [table["doc_id"], table["learn"], *[pa.array([], pa.int64())] * 3, *[pa.array([], pa.float64())] * 2]
+            return pa.table(dict(zip(names, empty, strict=True)))
+        shard, told, longer = told_shard(table, answers, depth + 1, support, buckets)
+        types = [told.single(shard, support, buckets), *longer] if depth > 1 else []
+        total = shard.levels[0].total
+        root = (total + 0.5) / (told.tokens + 0.5 * (told.types + 1))
+        base = np.where(shard.inner, np.log10(root)[shard.flat], 0.0)
+        tree = np.log10(probabilities(shard, types, root))
+        tokens, known = (np.bincount(shard.text, values, n) for values in (shard.inner, shard.inner & (total[shard.flat] > 0)))
+        columns = [
+            table["doc_id"], table["learn"], pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)),
+            pa.array(np.full(n, told.tokens, np.int64)), pa.array(np.bincount(shard.text, base, n)), pa.array(np.bincount(shard.text, tree, n)),
+        ]
+        return pa.table(dict(zip(names, columns, strict=True)))
 
     return run
 
 
 def lm_scores(
-    docs: DataFrame, learn_from: Column, depth: int = 3, min_share: float = 2e-4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, learn_from: Column, depth: int = 2, support: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -398,42 +391,35 @@ def lm_scores(
     runs of bytes between spaces and tabs to carriage returns, A-Z in lower case; each text has
     one end token after them. ``base_score`` is the sum over tokens of
     log10((c + 0.5) / (N + 0.5 (V + 1))). ``score`` is log10 of the tree's probability of the
-    text; like the base, it has one outcome for all unseen words (of an ending). ``min_share``
-    is the least share of the corpus for a symbol or context; ``depth`` is at most 3.
+    text; like the base, it has one outcome for all unseen words. ``support`` is the number of
+    occurrences from which a context is tested, whatever the corpus; ``depth`` (2 or more) is the longest
+    context and costs a further pass over the texts for each symbol beyond two.
 
+    Words go by a hash of 64 bits, events by a hash of 48 bits within their bucket or context.
     NULL and empty texts are a single end token. A row with a NULL id is scored and teaches
     nothing; repeated ids keep their rows. Without training rows the tree is uniform and N = 0.
     Whole texts of any length are scored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    if depth < 2:
+        raise ValueError("depth is 2 or more")
     texts = texts_of(docs, id_col, text_col).withColumn("learn", F.coalesce(learn_from, F.lit(False)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, buckets = int(size // SHARD_BYTES + 1), int(size // (5 * BUCKET_BYTES) + 1)
-    learned = texts.where("learn")
-    train_docs, train_words = corpus_size(learned)
-    alphabet = fit_alphabet(learned, train_words, min_share, buckets)
-    shared_alphabet = spark.sparkContext.broadcast(alphabet)
-    tree = fit_tree(settle(symbol_runs(learned, shared_alphabet), "symbol-runs"), alphabet, depth, min_share)
-    shared = spark.sparkContext.broadcast((tree, alphabet))
-
+    shards, buckets = int(size // SHARD_BYTES + 1), int(size // BUCKET_BYTES + 1)
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
     dealt = texts.select(shard.alias("shard"), "doc_id", "learn", "text").repartition(shards, "shard")
     by_shard = dealt.groupBy("shard")
-    sent = by_shard.applyInArrow(send_words(buckets), "bucket int, shard int, hashes binary, counts binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer_words, "shard int, bucket int, counts binary")
+
+    sent = by_shard.applyInArrow(send_counts(buckets), MESSAGE).groupBy("bucket")
+    words = sent.applyInArrow(count_words, "types long, tokens long")
+    words = words.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("n_types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"))
+    answers = sent.applyInArrow(answer_counts, ANSWER).repartition(shards, "shard")
+
+    def told(rows: DataFrame):
+        return by_shard.cogroup(rows.crossJoin(F.broadcast(words)).groupBy("shard"))  # one row beside each
+
+    for length in range(2, depth + 1):
+        sent = told(answers).applyInArrow(send_level(length, support, buckets), MESSAGE)
+        answers = answers.union(sent.groupBy("bucket").applyInArrow(answer_level, ANSWER)).repartition(shards, "shard")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, learn boolean, words long, known long, count_logs double, tree_logs double"
-    scored = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(score_shard(buckets, shared), schema)
-
-    types = int(len(alphabet.words) + alphabet.types.sum()) + (1 if train_docs else 0)
-    tokens, n_tokens = train_docs + train_words, F.col("words") + 1
-    norm = float(np.log10(tokens + 0.5 * (types + 1)))
-    return scored.select(
-        "doc_id",
-        F.col("learn").alias("learned"),
-        n_tokens.alias("n_tokens"),
-        (F.col("known") + (1 if train_docs else 0)).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("count_logs") + float(np.log10(train_docs + 0.5)) - n_tokens * norm).alias("base_score"),
-        F.col("tree_logs").alias("score"),
-    )
+    schema = f"doc_id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return told(answers).applyInArrow(score_shard(depth, support, buckets), schema)
