@@ -62,15 +62,21 @@ def followed(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(0xD6E8FEB86659FD93) + symbol)
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The upper six bytes of each hash; a bucket's number stands for the lower ones."""
-    return (hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def squeezed(values: np.ndarray, width: int = 0) -> bytes:
+    """Numbers as compressed planes of bytes; with a width only the upper bytes of each."""
+    size = values.dtype.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), size)[:, size - (width or size) :].T
+    return np.int64(planes.size).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
+def full(blob: bytes, kind: type, width: int = 0) -> np.ndarray:
+    """The numbers of a squeezed blob; left out bytes are zero."""
+    size = np.dtype(kind).itemsize
+    width, length = width or size, int(np.frombuffer(blob, np.int64, 1)[0])
+    planes = np.frombuffer(pa.decompress(blob[8:], length, codec="zstd"), np.uint8) if length else np.zeros(0, np.uint8)
+    wide = np.zeros((length // width, size), np.uint8)
+    wide[:, size - width :] = planes.reshape(width, -1).T
+    return wide.view(kind).ravel()
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -78,10 +84,11 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the numbers of its hashes, in a fixed order."""
-    bucket = bucket_of(hashes, buckets)
-    order = np.argsort(bucket, kind="stable")
-    ordered = bucket[order]
+    """Each bucket and the numbers of its hashes, which ascend, so that their upper bytes squeeze well."""
+    order = np.argsort(hashes, kind="stable")
+    bucket = bucket_of(hashes[order], buckets)
+    back = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    order, ordered = order[back], bucket[back]
     edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True]) if len(ordered) else np.zeros(0, np.int64)
     for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         yield int(ordered[low]), order[low:high]
@@ -153,22 +160,16 @@ def _ranges(parts: np.ndarray) -> np.ndarray:
     return np.repeat(parts[:, 0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-MESSAGE = "bucket int, shard int, kind int, keys binary, sizes binary, nexts binary, counts binary, shares binary"
+MESSAGE = "bucket int, shard int, kind int, keys binary, sizes binary, nexts binary, counts binary, parents binary, wholes binary"
 ANSWER = "shard int, kind int, bucket int, counts binary, types binary"
+#: Bytes of a pair's hash within its bucket, of a context's and of a next symbol's within its context.
+PAIR_BYTES, CONTEXT_BYTES, NEXT_BYTES = 6, 7, 5
 
 
-def _message(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
-    names = [part.split()[0] for part in MESSAGE.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-    return pa.table({name: pa.array(column, kind) for name, column, kind in zip(names, columns, kinds, strict=True)})
-
-
-def _answer(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 2
-    names = [part.split()[0] for part in ANSWER.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.table({name: pa.array(column, kind) for name, column, kind in zip(names, columns, kinds, strict=True)})
+def _rows(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.table({name: pa.array([row.get(name) for row in rows], kinds[kind]) for name, kind in fields})
 
 
 def send_counts(buckets: int):
@@ -180,42 +181,50 @@ def send_counts(buckets: int):
         rows = []
         for kind, level in enumerate(shard.levels):
             for bucket, own in by_bucket(level.hashes, buckets):
-                keys = level.hashes[own].tobytes() if kind == WORDS else packed(level.hashes[own])
-                rows.append((bucket, number, kind, keys, None, None, level.own[own].astype(np.uint32).tobytes(), None))
-        return _message(rows)
+                keys = squeezed(level.hashes[own], 8 if kind == WORDS else PAIR_BYTES)
+                rows.append({"bucket": bucket, "shard": number, "kind": kind, "keys": keys, "counts": squeezed(level.own[own])})
+        return _rows(MESSAGE, rows)
 
     return run
 
 
-def _joined(rows: list[dict], name: str) -> bytes:
-    return b"".join(row[name] for row in rows)
+def _joined(rows: list[dict], name: str, kind: type, width: int = 0) -> np.ndarray:
+    return np.concatenate([full(row[name], kind, width) for row in rows] or [np.zeros(0, kind)])
+
+
+def _of_kind(table: pa.Table, *kinds: int) -> list[dict]:
+    return table.filter(pa.compute.is_in(table["kind"], pa.array(kinds, pa.int32()))).to_pylist()
 
 
 def _totals(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of each key of all messages, and the sum of each number."""
-    blob = _joined(rows, "keys")
-    _, number = np.unique(np.frombuffer(blob, np.uint64) if kind == WORDS else unpacked(blob), return_inverse=True)
-    return number, np.bincount(number, np.frombuffer(_joined(rows, "counts"), np.uint32)).astype(np.int64)
+    _, number = np.unique(_joined(rows, "keys", np.uint64, 8 if kind == WORDS else PAIR_BYTES), return_inverse=True)
+    return number, np.bincount(number, _joined(rows, "counts", np.int64)).astype(np.int64)
+
+
+def _dealt(rows: list[dict], name: str, kind: type, width: int = 0) -> Iterator[slice]:
+    """Where each message's numbers lie among those of all."""
+    low = 0
+    for row in rows:
+        high = low + int(np.frombuffer(row[name], np.int64, 1)[0]) // (width or np.dtype(kind).itemsize)
+        yield slice(low, high)
+        low = high
 
 
 def answer_counts(table: pa.Table) -> pa.Table:
     """The totals of all keys, to each shard that sent them."""
     result = []
     for kind in (WORDS, PAIRS):
-        rows = table.filter(pa.compute.equal(table["kind"], kind)).select(["shard", "bucket", "keys", "counts"]).to_pylist()
+        rows = _of_kind(table, kind)
         number, total = _totals(rows, kind)
-        low = 0
-        for row in rows:
-            high = low + len(row["counts"]) // 4
-            result.append((row["shard"], kind, row["bucket"], total[number[low:high]].tobytes(), None))
-            low = high
-    return _answer(result)
+        for row, own in zip(rows, _dealt(rows, "counts", np.int64), strict=True):
+            result.append({"shard": row["shard"], "kind": kind, "bucket": row["bucket"], "counts": squeezed(total[number[own]])})
+    return _rows(ANSWER, result)
 
 
 def count_words(table: pa.Table) -> pa.Table:
     """Distinct words of a bucket that training has, and their tokens; ends count as a word."""
-    rows = table.filter(pa.compute.equal(table["kind"], WORDS)).select(["keys", "counts"]).to_pylist()
-    _, total = _totals(rows, WORDS)
+    _, total = _totals(_of_kind(table, WORDS), WORDS)
     return pa.table({"types": pa.array([int((total > 0).sum())]), "tokens": pa.array([int(total.sum())])})
 
 
@@ -232,7 +241,7 @@ class Told:
         here = shard.levels[level]
         here.total = np.zeros(len(here.hashes), np.int64)
         for bucket, own in by_bucket(here.hashes, buckets):
-            here.total[own] = np.frombuffer(self.blobs[level, bucket][0], np.int64)
+            here.total[own] = full(self.blobs[level, bucket][0], np.int64)
 
     def deepen(self, shard: Shard, length: int, support: int, buckets: int) -> np.ndarray:
         """A longer level with its totals; the number of next symbols of each of its contexts, 0 for one not kept."""
@@ -242,17 +251,17 @@ class Told:
         contexts, asked, parts = shard.groups()
         for bucket, own in by_bucket(above.hashes[contexts], buckets):
             counts, kept = self.blobs[length, bucket]
-            here.total[asked[_ranges(parts[own])]] = np.frombuffer(counts, np.int64)
-            types[contexts[own]] = np.frombuffer(kept, np.int64)
+            here.total[asked[_ranges(parts[own])]] = full(counts, np.int64)
+            types[contexts[own]] = full(kept, np.int64)
         return types
 
     def single(self, shard: Shard, support: int, buckets: int) -> np.ndarray:
         """The number of next symbols of each word as a context, 0 for one not kept."""
         words = shard.levels[0]
-        types = np.zeros(len(words.hashes), np.int64)
-        for bucket, own in by_bucket(words.hashes, buckets):
-            types[own] = np.frombuffer(self.blobs[SINGLE, bucket][1], np.int64)
-        return np.where(words.total >= support, types, 0)
+        types, asked = np.zeros(len(words.hashes), np.int64), np.flatnonzero(words.total >= support)
+        for bucket, own in by_bucket(words.hashes[asked], buckets):
+            types[asked[own]] = full(self.blobs[SINGLE, bucket][1], np.int64)
+        return types
 
 
 def told_shard(table: pa.Table, answers: pa.Table, length: int, support: int, buckets: int) -> tuple[Shard, Told, list]:
@@ -277,7 +286,7 @@ def send_level(length: int, support: int, buckets: int):
 
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _message([])
+            return _rows(MESSAGE, [])
         number, rows = key[0].as_py(), []
         shard, told, _ = told_shard(table, answers, length, support, buckets)
         if length == 2:
@@ -285,22 +294,27 @@ def send_level(length: int, support: int, buckets: int):
             seen = np.flatnonzero(pairs.own)
             own, total, context = pairs.own[seen], pairs.total[seen], pairs.context[seen]
             ratio = _log(total) - _log(words.total[context]) - _log(words.total[pairs.symbol[seen]]) + np.log(max(told.tokens, 1))
-            gain = np.bincount(context, own * ratio, len(words.hashes))
-            types = np.bincount(context, own / np.maximum(total, 1), len(words.hashes))
-            for bucket, own in by_bucket(words.hashes, buckets):
-                rows.append((bucket, number, SINGLE, words.hashes[own].tobytes(), None, None, types[own].tobytes(), gain[own].tobytes()))
+            gain = np.bincount(context, own * ratio, len(words.hashes)).astype(np.float32)
+            types = np.bincount(context, own / np.maximum(total, 1), len(words.hashes)).astype(np.float32)
+            asked = np.flatnonzero(words.total >= support)
+            for bucket, own in by_bucket(words.hashes[asked], buckets):
+                own = asked[own]
+                rows.append({
+                    "bucket": bucket, "shard": number, "kind": SINGLE, "keys": squeezed(words.hashes[own]),
+                    "counts": squeezed(types[own]), "parents": squeezed(gain[own]),
+                })
         above, here = shard.levels[-1], shard.deepen(support)
         contexts, asked, parts = shard.groups()
-        up = shard.levels[-3].total[above.context[here.parent]]
-        share = _log(above.total[here.parent]) - _log(up)
         next_hash = mixed(shard.levels[0].hashes)
         for bucket, own in by_bucket(above.hashes[contexts], buckets):
-            events = asked[_ranges(parts[own])]
-            rows.append((
-                bucket, number, length, above.hashes[contexts[own]].tobytes(), parts[own, 1].astype(np.uint32).tobytes(),
-                packed(next_hash[here.symbol[events]]), here.own[events].astype(np.uint32).tobytes(), share[events].astype(np.float32).tobytes(),
-            ))
-        return _message(rows)
+            events, chosen = asked[_ranges(parts[own])], contexts[own]
+            rows.append({
+                "bucket": bucket, "shard": number, "kind": length, "keys": squeezed(above.hashes[chosen], CONTEXT_BYTES),
+                "sizes": squeezed(parts[own, 1]), "nexts": squeezed(next_hash[here.symbol[events]], NEXT_BYTES),
+                "counts": squeezed(here.own[events]), "parents": squeezed(above.total[here.parent[events]]),
+                "wholes": squeezed(shard.levels[-3].total[above.parent[chosen]]),
+            })
+        return _rows(MESSAGE, rows)
 
     return run
 
@@ -312,33 +326,29 @@ def answer_level(table: pa.Table) -> pa.Table:
     """
     result = []
     table = table.sort_by("shard")  # sums of fractions in one order
-    rows = table.filter(pa.compute.equal(table["kind"], SINGLE)).select(["shard", "bucket", "keys", "counts", "shares"]).to_pylist()
-    _, number = np.unique(np.frombuffer(_joined(rows, "keys"), np.uint64), return_inverse=True)
-    types, gain = (np.bincount(number, np.frombuffer(_joined(rows, name), np.float64)) for name in ("counts", "shares"))
-    kept, low = np.where(gain > types, np.rint(types), 0).astype(np.int64), 0
-    for row in rows:
-        high = low + len(row["keys"]) // 8
-        result.append((row["shard"], SINGLE, row["bucket"], None, kept[number[low:high]].tobytes()))
-        low = high
+    rows = _of_kind(table, SINGLE)
+    _, number = np.unique(_joined(rows, "keys", np.uint64), return_inverse=True)
+    types, gain = (np.bincount(number, _joined(rows, name, np.float32)) for name in ("counts", "parents"))
+    kept = np.where(gain > types, np.rint(types), 0).astype(np.int64)
+    for row, own in zip(rows, _dealt(rows, "keys", np.uint64), strict=True):
+        result.append({"shard": row["shard"], "kind": SINGLE, "bucket": row["bucket"], "types": squeezed(kept[number[own]])})
     rows = table.filter(pa.compute.greater(table["kind"], PAIRS)).to_pylist()
-    keys = np.frombuffer(_joined(rows, "keys"), np.uint64)
-    _, context = np.unique(keys, return_inverse=True)
-    sizes = np.frombuffer(_joined(rows, "sizes"), np.uint32).astype(np.int64)
-    pair = followed(np.repeat(keys, sizes), unpacked(_joined(rows, "nexts")))
+    keys, sizes = _joined(rows, "keys", np.uint64, CONTEXT_BYTES), _joined(rows, "sizes", np.int64)
+    _, example, context = np.unique(keys, return_index=True, return_inverse=True)
+    pair = followed(np.repeat(keys, sizes), _joined(rows, "nexts", np.uint64, NEXT_BYTES))
     _, first, number = np.unique(pair, return_index=True, return_inverse=True)
-    total = np.bincount(number, np.frombuffer(_joined(rows, "counts"), np.uint32)).astype(np.int64)
-    share = np.frombuffer(_joined(rows, "shares"), np.float32)[first].astype(np.float64)
+    total = np.bincount(number, _joined(rows, "counts", np.int64)).astype(np.int64)
     own = np.repeat(context, sizes)[first]
-    whole = np.bincount(own, total)
-    gain = np.bincount(own, total * (_log(total) - _log(whole)[own] - share))
-    types = np.bincount(own, total > 0)
+    whole = np.bincount(own, total, len(example))
+    share = _log(_joined(rows, "parents", np.int64)[first]) - _log(_joined(rows, "wholes", np.int64)[example])[own]
+    gain = np.bincount(own, total * (_log(total) - _log(whole)[own] - share), len(example))
+    types = np.bincount(own, total > 0, len(example))
     kept = np.where(gain > types, types, 0).astype(np.int64)
-    low = at = 0
-    for row in rows:
-        high, end = low + len(row["counts"]) // 4, at + len(row["keys"]) // 8
-        result.append((row["shard"], row["kind"], row["bucket"], total[number[low:high]].tobytes(), kept[context[at:end]].tobytes()))
-        low, at = high, end
-    return _answer(result)
+    places = zip(rows, _dealt(rows, "counts", np.int64), _dealt(rows, "keys", np.uint64, CONTEXT_BYTES), strict=True)
+    for row, events, contexts in places:
+        answer = {"counts": squeezed(total[number[events]]), "types": squeezed(kept[context[contexts]])}
+        result.append({"shard": row["shard"], "kind": row["kind"], "bucket": row["bucket"]} | answer)
+    return _rows(ANSWER, result)
 
 
 def probabilities(shard: Shard, types: list[np.ndarray], root: np.ndarray) -> np.ndarray:
@@ -395,7 +405,8 @@ def lm_scores(
     occurrences from which a context is tested, whatever the corpus; ``depth`` (2 or more) is the longest
     context and costs a further pass over the texts for each symbol beyond two.
 
-    Words go by a hash of 64 bits, events by a hash of 48 bits within their bucket or context.
+    Words go by a hash of 64 bits, pairs and contexts by 48 bits or more within their bucket, next symbols by 40
+    within their context.
     NULL and empty texts are a single end token. A row with a NULL id is scored and teaches
     nothing; repeated ids keep their rows. Without training rows the tree is uniform and N = 0.
     Whole texts of any length are scored; an empty table gives an empty result.
