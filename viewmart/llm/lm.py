@@ -62,19 +62,27 @@ def followed(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(0xD6E8FEB86659FD93) + symbol)
 
 
+def _deflated(blob: bytes) -> bytes:
+    return np.int64(len(blob)).tobytes() + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _inflated(blob: bytes) -> bytes:
+    length = int(np.frombuffer(blob, np.int64, 1)[0])
+    return pa.decompress(blob[8:], length, codec="zstd", asbytes=True) if length else b""
+
+
 def squeezed(values: np.ndarray, width: int = 0) -> bytes:
     """Numbers as compressed planes of bytes; with a width only the upper bytes of each."""
     size = values.dtype.itemsize
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), size)[:, size - (width or size) :].T
-    return np.int64(planes.size).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return _deflated(planes.tobytes())
 
 
 def full(blob: bytes, kind: type, width: int = 0) -> np.ndarray:
     """The numbers of a squeezed blob; left out bytes are zero."""
     size = np.dtype(kind).itemsize
-    width, length = width or size, int(np.frombuffer(blob, np.int64, 1)[0])
-    planes = np.frombuffer(pa.decompress(blob[8:], length, codec="zstd"), np.uint8) if length else np.zeros(0, np.uint8)
-    wide = np.zeros((length // width, size), np.uint8)
+    width, planes = width or size, np.frombuffer(_inflated(blob), np.uint8)
+    wide = np.zeros((len(planes) // width, size), np.uint8)
     wide[:, size - width :] = planes.reshape(width, -1).T
     return wide.view(kind).ravel()
 
@@ -94,6 +102,14 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
         yield int(ordered[low]), order[low:high]
 
 
+def deflate_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with each text squeezed by itself, for the shuffle."""
+    for batch in batches:
+        place = batch.schema.get_field_index("text")
+        texts = pa.array([_deflated(blob) for blob in batch.column(place).cast(pa.binary()).to_pylist()], pa.binary())
+        yield batch.set_column(place, "text", texts)
+
+
 @dataclass
 class Level:
     """Distinct events of contexts of one length in a shard, in the order of their contexts."""
@@ -112,7 +128,7 @@ class Shard:
 
     def __init__(self, table: pa.Table):
         n = table.num_rows
-        data, starts, text = words_of(table["text"].combine_chunks())
+        data, starts, text = words_of(pa.array([_inflated(blob) for blob in table["text"].to_pylist()], pa.large_binary()))
         hashes, inverse = np.unique(hash_runs(data, starts), return_inverse=True)
         sizes = np.bincount(text, minlength=n) + 2
         self.text = np.repeat(np.arange(n), sizes)
@@ -163,7 +179,7 @@ def _ranges(parts: np.ndarray) -> np.ndarray:
 MESSAGE = "bucket int, shard int, kind int, keys binary, sizes binary, nexts binary, counts binary, parents binary, wholes binary"
 ANSWER = "shard int, kind int, bucket int, counts binary, types binary"
 #: Bytes of a pair's hash within its bucket, of a context's and of a next symbol's within its context.
-PAIR_BYTES, CONTEXT_BYTES, NEXT_BYTES = 6, 7, 5
+PAIR_BYTES, CONTEXT_BYTES, NEXT_BYTES = 5, 6, 5
 
 
 def _rows(schema: str, rows: list[dict]) -> pa.Table:
@@ -405,8 +421,8 @@ def lm_scores(
     occurrences from which a context is tested, whatever the corpus; ``depth`` (2 or more) is the longest
     context and costs a further pass over the texts for each symbol beyond two.
 
-    Words go by a hash of 64 bits, pairs and contexts by 48 bits or more within their bucket, next symbols by 40
-    within their context.
+    Words go by a hash of 64 bits, pairs by 40 and contexts by 48 bits within their
+    bucket, whose size does not grow, and next symbols by 40 within their context.
     NULL and empty texts are a single end token. A row with a NULL id is scored and teaches
     nothing; repeated ids keep their rows. Without training rows the tree is uniform and N = 0.
     Whole texts of any length are scored; an empty table gives an empty result.
@@ -417,7 +433,9 @@ def lm_scores(
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = int(size // SHARD_BYTES + 1), int(size // BUCKET_BYTES + 1)
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
-    dealt = texts.select(shard.alias("shard"), "doc_id", "learn", "text").repartition(shards, "shard")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    dealt = texts.select(shard.alias("shard"), "doc_id", "learn", "text")
+    dealt = dealt.mapInArrow(deflate_texts, f"shard int, doc_id {kind}, learn boolean, text binary").repartition(shards, "shard")
     by_shard = dealt.groupBy("shard")
 
     sent = by_shard.applyInArrow(send_counts(buckets), MESSAGE).groupBy("bucket")
@@ -431,6 +449,5 @@ def lm_scores(
     for length in range(2, depth + 1):
         sent = told(answers).applyInArrow(send_level(length, support, buckets), MESSAGE)
         answers = answers.union(sent.groupBy("bucket").applyInArrow(answer_level, ANSWER)).repartition(shards, "shard")
-    kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return told(answers).applyInArrow(score_shard(depth, support, buckets), schema)
