@@ -78,6 +78,20 @@ def test_decontamination_is_its_sql(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
 
 
+def test_items_shorter_than_a_window_are_found(spark):
+    """An item of fewer words than a window is one window of all its words."""
+    items = [(1, "Zebras bark twice"), (2, "Add 3 and 4"), (3, "Xylophone"), (4, " .. "), (5, ""), (6, None), (7, "Add 3 and 3"), (8, ITEMS[1][1])]
+    docs = [
+        (1, "At night zebras bark; twice!"), (2, "zebras bark twice"), (3, "zebras bark once or twice"), (4, "now add 17 and 250 to it"),
+        (5, "now add 5 and 5"), (6, "a xylophone"), (7, "zebras bark"), (8, ""), (9, None), (10, "..."), (None, "zebras bark twice"),
+        (11, "A xylophone. " + ITEMS[1][1] + " Zebras bark twice."), *rows()[12:30],
+    ]
+    found = dec.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(found) == len(docs)
+    hits = {r.doc_id: (r["items"], r.coverage) for r in found if r.contaminated}
+    assert hits == {1: ([1], 1), 2: ([1], 1), 4: ([2], 1), 5: ([2, 7], 1), 6: ([3], 1), 11: ([1, 3, 8], 1)}
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dec.decontaminate(empty(spark), none).count() == 0
