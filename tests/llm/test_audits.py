@@ -170,6 +170,43 @@ def test_rules_and_matches_against_all_combinations(spark):
         assert found.get(tokens) == (max(fits)[3] if fits else None)
 
 
+def mined_sets(frame, max_items):
+    mined = mine_rules(frame, 0.02, 5, 0.75, max_items).collect()
+    found = {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), r.support, r.rarest) for r in mined}
+    assert len(found) == len(mined)
+    return found
+
+
+@pytest.mark.parametrize("max_items", [1, 3])
+def test_urls_with_more_tokens_than_the_miner_takes(spark, max_items):
+    """Rules are those of all combinations, also where a url has more telling tokens than FP-growth takes."""
+    rng = random.Random(9)
+    labelled = []
+    for _ in range(300):
+        tokens = {rng.choice("abcdefghi") for _ in range(rng.randint(1, 9))}
+        tokens |= {"twin of a"} if "a" in tokens else set()
+        bad = ("b" in tokens and "c" in tokens and "d" in tokens or "e" in tokens and "f" not in tokens) != (rng.random() < 0.1)
+        labelled.append((sorted(tokens | ({"sure"} if bad and rng.random() < 0.3 else set())), "block" if bad else "allow"))
+    rules, n = plain_rules(labelled, 6, 0.75)
+    frame = spark.createDataFrame(labelled, "tokens array<string>, verdict string").repartition(4)
+    expected = {key: (*rule, min(key[0], key=lambda t: (n[t], t))) for key, rule in rules.items()}
+    assert mined_sets(frame, max_items) == expected and max(len(tokens) for tokens, _ in expected) > 2
+
+
+def test_nested_tokens_do_not_multiply(spark):
+    """Thirty tokens each of which holds the next: 2 ** 30 combinations, thirty sets of urls."""
+    labelled = [([f"t{k:02d}" for k in range(i % 30 + 1)], "block" if i % 30 > 14 and i % 7 else "allow") for i in range(1500)]
+    frame = spark.createDataFrame(labelled, "tokens array<string>, verdict string").repartition(4)
+    held = {k: [v for tokens, v in labelled if len(tokens) > k] for k in range(30)}
+    share = lambda k, v: held[k].count(v) / len(held[k])
+    expected = {
+        ((f"t{k:02d}",), v): (round(share(k, v), 9), held[k].count(v), f"t{k:02d}")
+        for k in range(1, 30) for v in ("allow", "block")
+        if held[k].count(v) >= 30 and share(k, v) >= 0.75 and share(k, v) > share(0, v)
+    }
+    assert mined_sets(frame, 10) == expected and len(expected) > 10
+
+
 def test_url_query(spark):
     folder = "/root/testdata/sf0.01"
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}

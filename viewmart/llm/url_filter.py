@@ -1,12 +1,14 @@
 """Allow and block verdicts for urls: stated rules first, then association rules mined from labelled urls.
 
 1. A url is cut into host and path; of the stated rules that fit it the longest gives its verdict.
-2. These verdicts are the labels. FP-growth mines combinations of url tokens together with a label.
+2. These verdicts are the labels. FP-growth mines combinations of url tokens together with a label; those with
+   a token that is not among the most telling ones of each of its urls are grown by joins, without a bound.
 3. Combinations are pruned by support and confidence, and where leaving a token out is no worse.
 4. A rule is filed under its rarest token. A url without a verdict meets only rules filed under one of its
    tokens, and the most confident rule whose tokens it holds decides.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -78,12 +80,11 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.sort_array(F.array_distinct(tokens)), F.array().cast("array<string>"))
 
 
-def telling_tokens(labelled: DataFrame, min_rows: float, max_items: int) -> DataFrame:
-    """(tokens, verdict) with only frequent tokens that tell verdicts apart, ``max_items`` a url at most.
+def telling_tokens(labelled: DataFrame, min_rows: float) -> DataFrame:
+    """(id, verdict, token, place) for the frequent tokens of each url that can tell verdicts apart.
 
-    A token is kept if ``min_rows`` urls hold it. Of the tokens of a url those go first whose share
-    of blocked urls differs most from the share among all, weighted by their number. This bounds what
-    FP-growth can make of one url: 2 ** max_items combinations.
+    A token is kept if ``min_rows`` urls hold it, but not all. ``place`` counts a url's tokens from 0 on: those go
+    first whose share of blocked urls differs most from the share among all, weighted by their number.
     """
     total = labelled.agg(F.count("*").alias("all"), F.avg(F.when(F.col("verdict") == BLOCK, 1.0).otherwise(0.0)).alias("share"))
     held = labelled.select("id", "verdict", F.explode("tokens").alias("token"))
@@ -95,9 +96,58 @@ def telling_tokens(labelled: DataFrame, min_rows: float, max_items: int) -> Data
     weight = F.abs(F.col("blocked") - F.col("n") * F.col("share")) / F.sqrt(F.col("n"))
     weighed = settle(counted.select("token", F.round(weight, 9).alias("weight")), "url-tokens")
     ranked = held.join(weighed, "token").groupBy("id", "verdict").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "token"))), 1, max_items).alias("ranked")
+        F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "token"))).alias("ranked")
     )
-    return ranked.select("verdict", F.col("ranked.token").alias("tokens"))
+    return ranked.select("id", "verdict", F.posexplode("ranked.token").alias("place", "token"))
+
+
+def _fewer(tokens: str) -> Column:
+    """The sets with one token less."""
+    return F.transform(tokens, lambda out: F.filter(tokens, lambda token: token != out))
+
+
+def sets_beyond_core(marked: DataFrame, core_sets: DataFrame, least: int) -> DataFrame:
+    """(tokens, verdict, n, held) of the sets with a token outside the core, of all that can be rules.
+
+    ``marked`` is (id, verdict, token, core), ``core_sets`` (tokens, held, top) the sets of core tokens alone, with
+    the number of urls that hold them and of those that bear their most frequent verdict. Sets grow by one token at a
+    time, by a join of the sets of each url. A set is not grown if it has ``least`` urls of no verdict; if all its
+    urls bear one verdict, as no larger one is surer; or if leaving out a token gives a set of the same urls, as then
+    that holds of all larger ones. None of these loses a rule, and tokens that stand together do not multiply.
+    """
+    spark = marked.sparkSession
+    # Tokens outside the core go first, so the first token of a set tells whether it has one.
+    marks = lambda core, token: F.concat(F.when(core, "1").otherwise("0"), token)
+    beyond = F.col("tokens")[0].startswith("0")
+    of_core = core_sets.select(F.transform("tokens", lambda token: marks(F.lit(True), token)).alias("tokens"), "held", "top")
+    of_core = of_core.where("top < held").select("tokens", "held")
+    sets = marked.select("id", "verdict", F.array(marks(F.col("core"), F.col("token"))).alias("tokens"))
+    found, base, size = spark.createDataFrame([], "tokens array<string>, verdict string, n bigint, held bigint"), None, 1
+    while True:
+        counted = settle(sets.groupBy("tokens", "verdict").agg(F.count("*").alias("n")), "url-counts")
+        known = counted.groupBy("tokens").agg(F.sum("n").alias("held"), F.max("n").alias("top")).where(F.col("top") >= least)
+        if base is not None:
+            parts = known.select("tokens", "held", F.explode(_fewer("tokens")).alias("fewer"))
+            wider = parts.join(base.select(F.col("tokens").alias("fewer"), F.col("held").alias("more")), "fewer").where("more > held")
+            free = wider.groupBy("tokens").agg(F.count("*").alias("wider")).where(F.col("wider") == size).select("tokens")
+            known = known.join(free, "tokens")
+        known = settle(known, "url-known")
+        found = found.unionByName(
+            counted.where((F.col("n") >= least) & beyond).join(known, "tokens").select("tokens", "verdict", "n", "held")
+        )
+        grown = known.where("top < held").select("tokens", "held")
+        if grown.where(beyond).isEmpty():
+            break
+        base = grown.unionByName(of_core.where(F.size("tokens") == size)) if size > 1 else grown
+        kept = sets.join(grown.select("tokens"), "tokens").select(
+            "id", "verdict", "tokens", F.slice("tokens", 1, size - 1).alias("first"), F.col("tokens")[size - 1].alias("last")
+        )
+        other = kept.select("id", "first", F.col("last").alias("next"))
+        pairs = kept.where(beyond).join(other, ["id", "first"]).where(F.col("last") < F.col("next"))
+        sets = settle(pairs.select("id", "verdict", F.concat("tokens", F.array("next")).alias("tokens")), "url-longer")
+        size += 1
+    plain = F.sort_array(F.transform("tokens", lambda token: F.substring(token, 2, 1 << 30)))
+    return found.withColumn("tokens", plain)
 
 
 def mine_rules(
@@ -113,6 +163,9 @@ def mine_rules(
     bear its verdict, if ``min_confidence`` of the urls that hold its tokens bear it, and if no rule with
     one token less is as confident; rules of one token must beat the verdict's share among all.
     Without labelled urls there are no rules.
+
+    FP-growth takes the tokens that are among the ``max_items`` most telling ones of every url that holds them, so it
+    makes 2 ** max_items combinations of a url at most. Combinations with another token come from ``sets_beyond_core``.
     """
     spark = labelled.sparkSession
     labelled = settle(labelled.select(F.monotonically_increasing_id().alias("id"), "tokens", "verdict"), "labelled-urls")
@@ -123,9 +176,13 @@ def mine_rules(
     support = max(min_support, min_rows / total)
     if support > 1:
         return spark.createDataFrame([], none)
-    telling = telling_tokens(labelled, support * total, max_items)
-    items = telling.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    items = settle(items, "url-items")
+    telling = settle(telling_tokens(labelled, support * total), "telling-tokens")
+    core = telling.groupBy("token").agg((F.max("place") < max_items).alias("core"), F.count("*").alias("held"))
+    core = settle(core, "core-tokens")
+    marked = telling.join(core.select("token", "core"), "token").select("id", "verdict", "token", "core")
+    chosen = F.collect_list(F.when(F.col("core"), F.col("token")))
+    items = marked.groupBy("id", "verdict").agg(F.concat(chosen, F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    items = settle(items.select("items"), "url-items")
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(items).freqItemsets
     # Each set is known by its sorted items; with the label taken out it is a rule's left side.
     sets = settle(found.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("n")), "url-sets")
@@ -137,21 +194,21 @@ def mine_rules(
     alone = sets.where(label.isNull()).select(F.col("items").alias("tokens"), F.col("n").alias("held"))
     everything = spark.createDataFrame([([], total)], "tokens array<string>, held bigint")
     held = alone.unionByName(everything)
-    rules = sides.join(held, "tokens").select("tokens", "verdict", "n", (F.col("n") / F.col("held")).alias("confidence"))
-    rules = settle(rules, "url-rules")
-
-    shorter = rules.where(F.size("tokens") > 0).select(
-        "tokens", "verdict", "confidence",
-        F.explode(F.transform("tokens", lambda out: F.filter("tokens", lambda token: token != out))).alias("fewer"),
-    )
+    counts = sides.join(held, "tokens").select("tokens", "verdict", "n", "held")
+    if not core.where("not core").isEmpty():
+        by_core = settle(counts.where(F.size("tokens") > 0).groupBy("tokens").agg(F.max("held").alias("held"), F.max("n").alias("top")), "core-sets")
+        least = math.ceil(support * items.count())  # as FP-growth has it
+        counts = counts.unionByName(sets_beyond_core(settle(marked, "marked-tokens"), by_core, least))
+    rules = settle(counts.select("tokens", "verdict", "n", (F.col("n") / F.col("held")).alias("confidence")), "url-rules")
+
+    shorter = rules.where(F.size("tokens") > 0).select("tokens", "verdict", "confidence", F.explode(_fewer("tokens")).alias("fewer"))
     base = rules.select(F.col("tokens").alias("fewer"), F.col("verdict").alias("v"), F.col("confidence").alias("base"))
     worse = shorter.join(base, (shorter["fewer"] == base["fewer"]) & (shorter["verdict"] == base["v"]))
     worse = worse.where("base >= confidence").select("tokens", "verdict").distinct()
     sure = rules.where((F.size("tokens") > 0) & (F.col("confidence") >= min_confidence)).join(worse, ["tokens", "verdict"], "left_anti")
 
-    single = alone.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "held")
     rarest = (
-        sure.select("tokens", "verdict", F.explode("tokens").alias("token")).join(single, "token")
+        sure.select("tokens", "verdict", F.explode("tokens").alias("token")).join(core.select("token", "held"), "token")
         .groupBy("tokens", "verdict").agg(F.min(F.struct("held", "token"))["token"].alias("rarest"))
     )
     out = sure.join(rarest, ["tokens", "verdict"]).select("tokens", "verdict", "confidence", F.col("n").alias("support"), "rarest")
