@@ -122,6 +122,20 @@ def test_empty_tables_and_null_lists(spark):
     assert {r.n: r.decoded for r in bpe_decode(lists, WORD).collect()} == {1: None, 2: "", 3: "<|endoftext|>"}
 
 
+def test_lists_are_decoded_as_arrow_arrays(word_library):
+    """All lists of a batch at once, without a Python object for each id; unknown ids are errors."""
+    lists = [[320, 1125, 49407], None, [], [49406], [5, 5, 5]]
+    kind = pa.list_(pa.int32())
+    expected = [ids and word_library.decode(ids, skip_special_tokens=False) for ids in lists]
+    expected[2] = ""
+    assert BPE.decode(pa.array(lists, kind)).to_pylist() == expected
+    assert BPE.decode(pa.array(lists, kind).slice(1, 3)).to_pylist() == expected[1:4]
+    assert BPE.decode(pa.array([], kind)).type == pa.string()
+    for unknown in (10**6, -1, None):
+        with pytest.raises((KeyError, pa.ArrowIndexError)):
+            BPE.decode(pa.array([[320], [320, unknown]], kind))
+
+
 def thue_morse(n: int, a: str, b: str) -> str:
     return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
 

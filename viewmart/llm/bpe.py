@@ -11,6 +11,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -177,9 +178,21 @@ class WordBpe:
         flat = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
         return self.ids[0][flat], np.r_[0, ends][np.searchsorted(starts, offsets)]
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, special ones kept."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+    @cached_property
+    def spelled(self) -> pa.Array:
+        """The token of each id, NULL for one that no token has."""
+        return pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Per list of ids their tokens joined by spaces, special ones kept; NULL for a NULL list."""
+        flat = ids.flatten()
+        tokens = self.spelled.take(flat)  # an error for an id beyond the vocabulary
+        if tokens.null_count:
+            raise KeyError(flat.filter(tokens.is_null())[0].as_py())
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), tokens)
+        texts = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+        return pc.if_else(ids.is_null(), None, texts) if ids.null_count else texts
 
 
 @lru_cache(maxsize=2)
@@ -223,9 +236,8 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                column = part.column(ids_name)
-                texts = [None if ids is None else bpe.decode(ids) for ids in column.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                texts = bpe.decode(part.column(ids_name))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     return kept.mapInArrow(decode, schema)
 
