@@ -206,6 +206,23 @@ def test_contents_see_a_changed_value(spark):
     assert {r for r in base if r[1] != "x"} == {r for r in other if r[1] != "x"} and base != other
 
 
+def test_contents_are_sums_of_digests(spark):
+    """Values that are looked up count like those that are digested."""
+    import hashlib
+
+    whole = [None, -1, 0, 1, 7, 255, 256, 257, 12_345]
+    fractions = [None, -0.5, 0.0, -0.0, 0.5, 1.0, 2.25, 4.5, 256.0, 256.5, 1e9, 3.99996, float("nan")]
+    data = [(w, w, f, f is None or f > 1, str(w)) for w in whole for f in fractions if f == f] + [(1, 2, 3.0, None, None)]
+    df = spark.createDataFrame(data, "i int, l bigint, d double, b boolean, s string").repartition(3)
+    bits = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    texts = {"i": str, "l": str, "d": lambda v: str(int((abs(v) * 10_000) + 0.5) * (-1 if v < 0 else 1)), "b": lambda v: str(v).lower(), "s": str}
+    expected = []
+    for k, (name, text) in enumerate(texts.items()):
+        held = [row[k] for row in data if row[k] is not None]
+        expected.append(("t", name, len(data), len(held), sum(bits(text(v)) for v in held)))
+    assert sorted(map(tuple, medallion.contents({"t": df}).collect())) == sorted(expected)
+
+
 def test_folders_outside_scratch_go_with_the_program(spark):
     from viewmart import session
 

@@ -1,5 +1,6 @@
 """Whole-layer jobs: bronze in, silver and gold tables out."""
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import date
@@ -154,6 +155,31 @@ def _as_text(name: str, kind: str) -> Column:
     return F.col(name).cast("string")
 
 
+def _looked_up(texts: list[str], place: Column) -> Column:
+    """The first 32 bits of the MD5 of the text at ``place``, from a constant table."""
+    bits = [str(int(hashlib.md5(text.encode()).hexdigest()[:8], 16)) for text in texts]
+    return F.get(F.split(F.lit(",".join(bits)), ",").cast("array<bigint>"), place.cast("int"))
+
+
+#: Whole numbers, and fractions in halves, below this are looked up: scores, counts, hours and ratings mostly are such.
+_SMALL = 256
+
+
+def _bits(name: str, kind: str) -> Column:
+    """The first 32 bits of the MD5 of a value's text."""
+    value = F.col(name)
+    bits = F.conv(F.substring(F.md5(_as_text(name, kind).cast("binary")), 1, 8), 16, 10).cast("long")
+    small = value.between(0, _SMALL)
+    if kind == "boolean":
+        return F.when(value.isNotNull(), _looked_up(["false", "true"], value))
+    if kind in ("int", "bigint"):
+        return F.when(small, _looked_up([str(i) for i in range(_SMALL + 1)], value)).otherwise(bits)
+    if kind == "double":  # as whole ten-thousandths
+        halves = _looked_up([str(i * 5_000) for i in range(2 * _SMALL + 1)], value * 2)
+        return F.when(small & (value * 2 == F.floor(value * 2)), halves).otherwise(bits)
+    return bits
+
+
 def contents(tables: dict[str, DataFrame]) -> DataFrame:
     """Per table and column: rows, values that are not NULL, and a checksum that knows no order.
 
@@ -164,8 +190,8 @@ def contents(tables: dict[str, DataFrame]) -> DataFrame:
         columns = [(name, kind) for name, kind in df.dtypes if not name.startswith("_") and name != "ingest_seq"]
         measures = [F.count("*").alias("rows")]
         for i, (name, kind) in enumerate(columns):
-            first = F.conv(F.substring(F.md5(_as_text(name, kind).cast("binary")), 1, 8), 16, 10).cast("long")
-            measures += [F.count(name).alias(f"n{i}"), F.coalesce(F.sum(first), F.lit(0).cast("long")).alias(f"c{i}")]
+            bits = F.coalesce(F.sum(_bits(name, kind)), F.lit(0).cast("long"))
+            measures += [F.count(name).alias(f"n{i}"), bits.alias(f"c{i}")]
         each = [
             F.struct(F.lit(name).alias("Column_Name"), F.col("rows").alias("Row_Count"), F.col(f"n{i}").alias("Non_Null"), F.col(f"c{i}").alias("Checksum"))
             for i, (name, _) in enumerate(columns)
