@@ -31,6 +31,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._stored: dict[str, DataFrame] = {}
+        self._base: str | None = None
 
     def _store(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
         if label not in self._stored:
@@ -44,17 +45,28 @@ class Tables:
     def all_bronze(self) -> dict[str, DataFrame]:
         return {table: self.bronze(table) for table in medallion.SILVER_TABLES}
 
+    def _silver(self, table: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if table not in self._stored:
+            self._base = self._base or new_folder(self.spark, "silver")
+            self._stored[table] = write_layer(build(), self._base, "silver", table)
+        return self._stored[table]
+
     @property
     def customers(self) -> DataFrame:
-        return self._store("silver-customers", lambda: silver.silver_customers(self.bronze("customers")))
+        return self._silver("customers", lambda: silver.silver_customers(self.bronze("customers")))
 
     @property
     def tickets(self) -> DataFrame:
-        return self._store("silver-tickets", lambda: silver.silver_tickets(self.bronze("tickets")))
+        return self._silver("tickets", lambda: silver.silver_tickets(self.bronze("tickets")))
 
     @property
     def logs(self) -> DataFrame:
-        return self._store("silver-logs", lambda: silver.silver_logs(self.bronze("viewing_logs")))
+        return self._silver("viewing_logs", lambda: silver.silver_logs(self.bronze("viewing_logs")))
+
+    def silver_base(self) -> str:
+        """Where all three silver tables are stored as a layer."""
+        _ = self.customers, self.tickets, self.logs
+        return self._base
 
     @property
     def billing(self) -> DataFrame:
@@ -130,18 +142,13 @@ def _layer_silver(t: Tables) -> DataFrame:
 
 
 def _layer_gold(t: Tables) -> DataFrame:
-    base = new_folder(t.spark, "layer-gold")
-    for table, df in (("customers", t.customers), ("tickets", t.tickets), ("viewing_logs", t.logs)):
-        write_layer(df, base, "silver", table)
-    return medallion.contents(medallion.run_gold(t.spark, base))
+    return medallion.contents(medallion.run_gold(t.spark, new_folder(t.spark, "layer-gold"), silver_base=t.silver_base()))
 
 
 def _gold_chosen(t: Tables) -> DataFrame:
     """Gold stored in the order of its filters, and what the dashboards' choices read of it."""
     base = new_folder(t.spark, "gold-chosen")
-    for table, df in (("customers", t.customers), ("tickets", t.tickets), ("viewing_logs", t.logs)):
-        write_layer(df, base, "silver", table)
-    medallion.run_gold(t.spark, base, clustered=True, files=16)
+    medallion.run_gold(t.spark, base, clustered=True, files=16, silver_base=t.silver_base())
     choices = {
         "billing_segmentation": {"Region": _CHOSEN_CUSTOMERS["regions"], "Customer_Segment": _CHOSEN_CUSTOMERS["segments"]},
         "content_strategy": {"Program_Genre": ["Click", "Error"], "Device_Type": ["Tablet"]},

@@ -223,6 +223,19 @@ def test_contents_are_sums_of_digests(spark):
     assert sorted(map(tuple, medallion.contents({"t": df}).collect())) == sorted(expected)
 
 
+def test_layer_queries_read_silver_where_it_is_stored(spark, tmp_path, monkeypatch):
+    """Gold queries neither copy the silver tables nor settle whole gold tables before they are ordered."""
+    from fixtures import registry
+
+    t = registry.Tables(spark, SMALL)
+    base = t.silver_base()
+    written = []
+    monkeypatch.setattr(registry, "write_layer", lambda *a, **k: written.append(a))
+    monkeypatch.setattr(medallion, "settle", lambda *a: written.append(a), raising=False)
+    found = {name: query(t).collect() for name, query in (("layer_gold", registry._layer_gold), ("gold_chosen", registry._gold_chosen))}
+    assert not written and t.silver_base() == base and all(len(rows) == 81 for rows in found.values())
+
+
 def test_folders_outside_scratch_go_with_the_program(spark):
     from viewmart import session
 

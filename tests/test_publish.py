@@ -110,6 +110,26 @@ def test_clustered_tables_skip_files(spark, tmp_path):
     assert numbers(read_chosen(spark, base, "gold", "t", Region=None)) == list(range(3000))
 
 
+def test_ranges_sort_groups_of_texts_only(spark):
+    data = [("f" if i % 3 else "g", None if i % 7 == 0 else f"r{i % 4}", i if i % 5 else None, f"s{i % 2}") for i in range(200)]
+    data += [("empty", None, None, None)]
+    df = spark.createDataFrame(data, "file_name string, region string, id bigint, segment string").repartition(3)
+    columns = ["region", "segment", "id"]
+    found = layers._ranges(df, columns)
+    expected = []
+    for name in ("f", "g", "empty"):
+        row = [name]
+        for k in (1, 3, 2):
+            values = [r[k] for r in data if r[0] == name]
+            held = [v for v in values if v is not None]
+            row += [min(held, default=None), max(held, default=None), len(values) - len(held)]
+        expected.append(tuple(row))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert found.columns == ["file_name", *[f"{side}{i}" for i in range(3) for side in ("low", "high", "nulls")]]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("HashAggregate(")  # rows go through a hash, only groups are sorted
+
+
 def test_clustered_rows_stand_in_order(spark, tmp_path):
     write_layer(regions(spark), str(tmp_path), "gold", "t", cluster_by=["Region", "id"], files=6)
     stored = read_layer(spark, str(tmp_path), "gold", "t").select("_metadata.file_name", "Region", "id").collect()

@@ -12,7 +12,7 @@ from viewmart.plans.billing import gold_billing
 from viewmart.plans.content import gold_content
 from viewmart.plans.operations import gold_operations
 from viewmart.plans.silver import silver_customers, silver_logs, silver_tickets
-from viewmart.session import scratch, settle
+from viewmart.session import scratch
 from viewmart.sources.bronze_csv import bad_value_counts, find_formats, observe_bad_values, read_bronze_csv
 from viewmart.sources.formats import chosen_formats
 from viewmart.sources.layers import read_layer, write_layer
@@ -99,15 +99,17 @@ def run_gold(
     tables: list[str] | None = None,
     clustered: bool = False,
     files: int | None = None,
+    silver_base: str | None = None,
 ) -> dict[str, DataFrame]:
     """Build gold tables from stored silver ones; billing needs both customers and tickets.
 
-    ``clustered`` stores rows in ``GOLD_ORDER``, so that ``read_chosen`` skips files. A table is then
-    settled first, since its order is found by a pass of its own.
+    ``clustered`` stores rows in ``GOLD_ORDER``, so that ``read_chosen`` skips files. The last step of a table,
+    lookups and row rules, then runs twice, since its order is found by a pass of its own. ``silver_base``
+    names where silver is stored, if not below ``base``.
     """
 
     def silver(table: str) -> DataFrame:
-        return read_layer(spark, base, "silver", table)
+        return read_layer(spark, silver_base or base, "silver", table)
 
     build = {
         "billing_segmentation": lambda: gold_billing(silver("customers"), silver("tickets"), as_of),
@@ -119,7 +121,7 @@ def run_gold(
         with scratch(spark):
             gold = build[table]()
             if clustered:
-                stored[table] = write_layer(settle(gold, table), base, "gold", table, csv_copy, GOLD_ORDER[table], files)
+                stored[table] = write_layer(gold, base, "gold", table, csv_copy, GOLD_ORDER[table], files)
             else:
                 stored[table] = write_layer(gold, base, "gold", table, csv_copy)
     return stored

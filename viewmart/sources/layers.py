@@ -112,13 +112,33 @@ def _clustered(df: DataFrame, columns: Sequence[str], files: int | None) -> Data
     return dealt.sortWithinPartitions(*columns)
 
 
+def _ranges(stored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per ``file_name``: for each column the least and greatest value and the number of NULLs.
+
+    Least and greatest texts need sorted rows in Spark, so rows are first grouped by their texts, which a
+    clustered table's first columns mostly are, and only these groups are sorted.
+    """
+    kinds = dict(stored.dtypes)
+    texts = [i for i, name in enumerate(columns) if kinds[name] == "string"]
+    others = [i for i in range(len(columns)) if i not in texts]
+    keyed = stored.select("file_name", *[F.col(name).alias(f"c{i}") for i, name in enumerate(columns)])
+    narrowed = [F.count("*").alias("rows")]
+    for i in others:
+        narrowed += [F.min(f"c{i}").alias(f"low{i}"), F.max(f"c{i}").alias(f"high{i}"), F.count_if(F.col(f"c{i}").isNull()).alias(f"nulls{i}")]
+    groups = keyed.groupBy("file_name", *[f"c{i}" for i in texts]).agg(*narrowed)
+    ranges = []
+    for i in range(len(columns)):
+        if i in texts:
+            low, high, nulls = f"c{i}", f"c{i}", F.when(F.col(f"c{i}").isNull(), F.col("rows")).otherwise(0)
+        else:
+            low, high, nulls = f"low{i}", f"high{i}", F.col(f"nulls{i}")
+        ranges += [F.min(low).alias(f"low{i}"), F.max(high).alias(f"high{i}"), F.sum(nulls).alias(f"nulls{i}")]
+    return groups.groupBy("file_name").agg(*ranges)
+
+
 def _write_ranges(spark: SparkSession, folder: str, columns: Sequence[str]) -> None:
-    """Per file: its name, and for each column the least and greatest value and the number of NULLs."""
     stored = spark.read.parquet(folder).select("_metadata.file_name", *columns)
-    ranges = []
-    for i, name in enumerate(columns):
-        ranges += [F.min(name).alias(f"low{i}"), F.max(name).alias(f"high{i}"), F.count_if(F.col(name).isNull()).alias(f"nulls{i}")]
-    stored.groupBy("file_name").agg(*ranges).coalesce(1).write.parquet(f"{folder}/{RANGES}")
+    _ranges(stored, columns).coalesce(1).write.parquet(f"{folder}/{RANGES}")
 
 
 def publish(
