@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +369,37 @@ def test_a_text_that_occurs_twice_is_known(spark):
     assert max(found[i] for i in range(5, 100)) < min(found[i] for i in range(5))
 
 
+def test_messages_of_contexts_are_short(spark):
+    """Contexts and next words go by small numbers: by hashes of 6 and 5 bytes they took 5.3 bytes an event here."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(60)) for _ in range(2000)]
+    shard = pa.table({
+        "learn": [True] * len(texts), "text": pa.array([lm._deflated(t.encode()) for t in texts], pa.binary())
+    })
+    answers = lm.answer_counts(2)(lm.send_counts(1)((pa.scalar(0),), shard))
+    answers = answers.append_column("n_types", pa.array([1] * len(answers))).append_column("n_tokens", pa.array([1] * len(answers)))
+    rows = [r for r in lm.send_level(2, 2, 1)((pa.scalar(0),), shard, answers).to_pylist() if r["kind"] == 2]
+    events = sum(len(lm.full(r["nexts"], np.int64)) for r in rows)
+    assert events > 10_000
+    assert sum(len(r["keys"]) + len(r["nexts"]) for r in rows) < 2 * events
+
+
+def test_answers_are_not_sent_twice(spark):
+    plan = lm.lm_scores(table(spark, rows()), F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    assert "Union" in lines
+    assert all(not a.startswith("Exchange") for a, b in zip(lines, lines[1:], strict=False) if b == "Union")
+
+
+def test_words_end_where_texts_end():
+    texts = ["", "One two", "three", " four ", "", "\t", "fIVE  six\n", "x"]
+    data, starts, text = lm.words_of(pa.array(texts))
+    ends = [*starts[1:].tolist(), len(data)]
+    assert [(t, bytes(data[a:b])) for t, a, b in zip(text.tolist(), starts.tolist(), ends, strict=True)] == [
+        (i, w) for i, t in enumerate(texts) for w in tokens(t)
+    ]
+
+
 def test_language_model_of_nothing(spark):
     assert lm.lm_scores(empty(spark), F.lit(True)).count() == 0
     found = lm.lm_scores(table(spark, rows()[:6] + [(300, None)]), F.lit(False)).collect()

@@ -41,13 +41,16 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all words, where each starts in them, and the text of each word."""
     data, offsets = text_bytes(texts)
     space = SPACE[data]
-    start = ~space
+    inside = ~space
+    start, end = inside.copy(), inside.copy()
     start[1:] &= space[:-1]
+    end[:-1] &= space[1:]
     first = offsets[:-1][np.diff(offsets) > 0]
-    start[first] = ~space[first]
+    start[first] = inside[first]
+    end[first[1:] - 1] = inside[first[1:] - 1]
     at = np.flatnonzero(start)
-    place = np.cumsum(~space) - 1
-    return LOWER[data[~space]], place[at], np.searchsorted(offsets, at, "right") - 1
+    sizes = np.flatnonzero(end) + 1 - at
+    return LOWER[data[inside]], np.cumsum(sizes) - sizes, np.searchsorted(offsets, at, "right") - 1
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
@@ -71,20 +74,24 @@ def _inflated(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], length, codec="zstd", asbytes=True) if length else b""
 
 
-def squeezed(values: np.ndarray, width: int = 0) -> bytes:
-    """Numbers as compressed planes of bytes; with a width only the upper bytes of each."""
-    size = values.dtype.itemsize
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), size)[:, size - (width or size) :].T
-    return _deflated(planes.tobytes())
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return _deflated(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
 
 
-def full(blob: bytes, kind: type, width: int = 0) -> np.ndarray:
-    """The numbers of a squeezed blob; left out bytes are zero."""
-    size = np.dtype(kind).itemsize
-    width, planes = width or size, np.frombuffer(_inflated(blob), np.uint8)
-    wide = np.zeros((len(planes) // width, size), np.uint8)
-    wide[:, size - width :] = planes.reshape(width, -1).T
-    return wide.view(kind).ravel()
+def full(blob: bytes, kind: type) -> np.ndarray:
+    """The numbers of a squeezed blob."""
+    planes = np.frombuffer(_inflated(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def rising(values: np.ndarray) -> bytes:
+    """Numbers that ascend, as squeezed steps."""
+    return squeezed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def risen(blob: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(full(blob, kind), dtype=kind)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -92,8 +99,8 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the numbers of its hashes, which ascend, so that their upper bytes squeeze well."""
-    order = np.argsort(hashes, kind="stable")
+    """Each bucket and the numbers of its hashes, which ascend, so that their steps squeeze well."""
+    order = np.argsort(hashes)  # they are distinct
     bucket = bucket_of(hashes[order], buckets)
     back = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
     order, ordered = order[back], bucket[back]
@@ -121,6 +128,7 @@ class Level:
     parent: np.ndarray  # an event of the level above: the same symbols but the first
     own: np.ndarray  # times in the shard's training texts
     total: np.ndarray | None = None  # times in all training texts
+    number: np.ndarray | None = None  # of a word, and of a pair within its bucket, the same in all shards
 
 
 class Shard:
@@ -149,13 +157,15 @@ class Shard:
         place = np.flatnonzero(self.inner & (context >= 0))
         if support:
             place = place[before.total[context[place]] >= support]
-        pairs, first, back = np.unique(context[place] * width + self.flat[place], return_index=True, return_inverse=True)
+        pairs, back = np.unique(context[place] * width + self.flat[place], return_inverse=True)
         at = np.full(len(self.flat), -1, np.int64)
         at[place] = back
         above, symbol = pairs // width, pairs % width
         own = np.bincount(back, self.learned[place], len(pairs)).astype(np.int64)
         hashes = followed(before.hashes[above], self.levels[0].hashes[symbol])
-        self.levels.append(Level(at, hashes, above, symbol, before.at[place[first]], own))
+        parent = np.zeros(len(pairs), np.int64)
+        parent[back] = before.at[place]
+        self.levels.append(Level(at, hashes, above, symbol, parent, own))
         return self.levels[-1]
 
     def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,9 +187,9 @@ def _ranges(parts: np.ndarray) -> np.ndarray:
 
 
 MESSAGE = "bucket int, shard int, kind int, keys binary, sizes binary, nexts binary, counts binary, parents binary, wholes binary"
-ANSWER = "shard int, kind int, bucket int, counts binary, types binary"
-#: Bytes of a pair's hash within its bucket, of a context's and of a next symbol's within its context.
-PAIR_BYTES, CONTEXT_BYTES, NEXT_BYTES = 5, 6, 5
+ANSWER = "shard int, kind int, bucket int, counts binary, types binary, numbers binary"
+#: Lower bits left out of a pair's hash within its bucket, and of that of a context of three words or more.
+PAIR_CUT, CONTEXT_CUT = np.uint64(20), np.uint64(16)
 
 
 def _rows(schema: str, rows: list[dict]) -> pa.Table:
@@ -197,50 +207,67 @@ def send_counts(buckets: int):
         rows = []
         for kind, level in enumerate(shard.levels):
             for bucket, own in by_bucket(level.hashes, buckets):
-                keys = squeezed(level.hashes[own], 8 if kind == WORDS else PAIR_BYTES)
-                rows.append({"bucket": bucket, "shard": number, "kind": kind, "keys": keys, "counts": squeezed(level.own[own])})
+                keys = level.hashes[own] if kind == WORDS else level.hashes[own] >> PAIR_CUT
+                rows.append({"bucket": bucket, "shard": number, "kind": kind, "keys": rising(keys), "counts": squeezed(level.own[own])})
         return _rows(MESSAGE, rows)
 
     return run
 
 
-def _joined(rows: list[dict], name: str, kind: type, width: int = 0) -> np.ndarray:
-    return np.concatenate([full(row[name], kind, width) for row in rows] or [np.zeros(0, kind)])
+def _joined(rows: list[dict], name: str, kind: type, read=full) -> np.ndarray:
+    return np.concatenate([read(row[name], kind) for row in rows] or [np.zeros(0, kind)])
 
 
 def _of_kind(table: pa.Table, *kinds: int) -> list[dict]:
     return table.filter(pa.compute.is_in(table["kind"], pa.array(kinds, pa.int32()))).to_pylist()
 
 
-def _totals(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _totals(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """The number of each key of all messages, and the sum of each number."""
-    _, number = np.unique(_joined(rows, "keys", np.uint64, 8 if kind == WORDS else PAIR_BYTES), return_inverse=True)
+    _, number = np.unique(_joined(rows, "keys", np.uint64, risen), return_inverse=True)
     return number, np.bincount(number, _joined(rows, "counts", np.int64)).astype(np.int64)
 
 
-def _dealt(rows: list[dict], name: str, kind: type, width: int = 0) -> Iterator[slice]:
+def _dealt(rows: list[dict], name: str, kind: type) -> Iterator[slice]:
     """Where each message's numbers lie among those of all."""
     low = 0
     for row in rows:
-        high = low + int(np.frombuffer(row[name], np.int64, 1)[0]) // (width or np.dtype(kind).itemsize)
+        high = low + int(np.frombuffer(row[name], np.int64, 1)[0]) // np.dtype(kind).itemsize
         yield slice(low, high)
         low = high
 
 
-def answer_counts(table: pa.Table) -> pa.Table:
-    """The totals of all keys, to each shard that sent them."""
-    result = []
-    for kind in (WORDS, PAIRS):
-        rows = _of_kind(table, kind)
-        number, total = _totals(rows, kind)
-        for row, own in zip(rows, _dealt(rows, "counts", np.int64), strict=True):
-            result.append({"shard": row["shard"], "kind": kind, "bucket": row["bucket"], "counts": squeezed(total[number[own]])})
-    return _rows(ANSWER, result)
+def answer_counts(support: int):
+    """The totals of all keys, to each shard that sent them, with the numbers they go by from then on.
+
+    Words are numbered from the most frequent on, so that most numbers are small; of pairs only those that
+    are tested as contexts, in the order of their keys.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        result = []
+        for kind in (WORDS, PAIRS):
+            rows = _of_kind(table, kind)
+            number, total = _totals(rows)
+            named = total >= (0 if kind == WORDS else support)
+            names = np.cumsum(named) - 1
+            if kind == WORDS:
+                names[np.argsort(-total, kind="stable")] = np.arange(len(total))
+            for row, own in zip(rows, _dealt(rows, "counts", np.int64), strict=True):
+                mine = number[own]
+                given = names[mine[named[mine]]]
+                result.append({
+                    "shard": row["shard"], "kind": kind, "bucket": row["bucket"], "counts": squeezed(total[mine]),
+                    "numbers": squeezed(given) if kind == WORDS else rising(given),
+                })
+        return _rows(ANSWER, result)
+
+    return run
 
 
 def count_words(table: pa.Table) -> pa.Table:
     """Distinct words of a bucket that training has, and their tokens; ends count as a word."""
-    _, total = _totals(_of_kind(table, WORDS), WORDS)
+    _, total = _totals(_of_kind(table, WORDS))
     return pa.table({"types": pa.array([int((total > 0).sum())]), "tokens": pa.array([int(total.sum())])})
 
 
@@ -249,15 +276,20 @@ class Told:
 
     def __init__(self, answers: pa.Table):
         rows = answers.to_pylist()
-        self.blobs = {(row["kind"], row["bucket"]): (row["counts"], row["types"]) for row in rows}
+        self.blobs = {(row["kind"], row["bucket"]): (row["counts"], row["types"], row["numbers"]) for row in rows}
         self.types, self.tokens = (rows[0]["n_types"], rows[0]["n_tokens"]) if rows else (0, 0)
 
-    def fill(self, shard: Shard, level: int, buckets: int) -> None:
-        """Totals of words and pairs."""
+    def fill(self, shard: Shard, level: int, support: int, buckets: int) -> None:
+        """Totals and numbers of words, and of pairs; a pair below ``support`` has no number."""
         here = shard.levels[level]
-        here.total = np.zeros(len(here.hashes), np.int64)
+        here.total, here.number = np.zeros(len(here.hashes), np.int64), np.full(len(here.hashes), -1)
         for bucket, own in by_bucket(here.hashes, buckets):
-            here.total[own] = full(self.blobs[level, bucket][0], np.int64)
+            counts, _, numbers = self.blobs[level, bucket]
+            here.total[own] = full(counts, np.int64)
+            if level == WORDS:
+                here.number[own] = full(numbers, np.int64) * buckets + bucket
+            else:
+                here.number[own[here.total[own] >= support]] = risen(numbers, np.int64)
 
     def deepen(self, shard: Shard, length: int, support: int, buckets: int) -> np.ndarray:
         """A longer level with its totals; the number of next symbols of each of its contexts, 0 for one not kept."""
@@ -266,7 +298,7 @@ class Told:
         types = np.zeros(len(above.hashes), np.int64)
         contexts, asked, parts = shard.groups()
         for bucket, own in by_bucket(above.hashes[contexts], buckets):
-            counts, kept = self.blobs[length, bucket]
+            counts, kept, _ = self.blobs[length, bucket]
             here.total[asked[_ranges(parts[own])]] = full(counts, np.int64)
             types[contexts[own]] = full(kept, np.int64)
         return types
@@ -283,9 +315,9 @@ class Told:
 def told_shard(table: pa.Table, answers: pa.Table, length: int, support: int, buckets: int) -> tuple[Shard, Told, list]:
     """A shard with totals of contexts below ``length``, and the next symbols of those of two symbols on."""
     shard, told = Shard(table), Told(answers)
-    told.fill(shard, WORDS, buckets)
+    told.fill(shard, WORDS, support, buckets)
     shard.deepen()
-    told.fill(shard, PAIRS, buckets)
+    told.fill(shard, PAIRS, support, buckets)
     return shard, told, [told.deepen(shard, k, support, buckets) for k in range(2, length)]
 
 
@@ -321,12 +353,12 @@ def send_level(length: int, support: int, buckets: int):
                 })
         above, here = shard.levels[-1], shard.deepen(support)
         contexts, asked, parts = shard.groups()
-        next_hash = mixed(shard.levels[0].hashes)
+        names = above.number if length == 2 else (above.hashes >> CONTEXT_CUT).astype(np.int64)
         for bucket, own in by_bucket(above.hashes[contexts], buckets):
             events, chosen = asked[_ranges(parts[own])], contexts[own]
             rows.append({
-                "bucket": bucket, "shard": number, "kind": length, "keys": squeezed(above.hashes[chosen], CONTEXT_BYTES),
-                "sizes": squeezed(parts[own, 1]), "nexts": squeezed(next_hash[here.symbol[events]], NEXT_BYTES),
+                "bucket": bucket, "shard": number, "kind": length, "keys": rising(names[chosen]),
+                "sizes": squeezed(parts[own, 1]), "nexts": squeezed(shard.levels[0].number[here.symbol[events]]),
                 "counts": squeezed(here.own[events]), "parents": squeezed(above.total[here.parent[events]]),
                 "wholes": squeezed(shard.levels[-3].total[above.parent[chosen]]),
             })
@@ -335,6 +367,14 @@ def send_level(length: int, support: int, buckets: int):
     return run
 
 
+def _examples(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, and the number of each place's value."""
+    distinct, number = np.unique(values, return_inverse=True)
+    place = np.zeros(len(distinct), np.int64)
+    place[number] = np.arange(len(values))
+    return place, number
+
+
 def answer_level(table: pa.Table) -> pa.Table:
     """Totals of events and, of contexts that diverge from their parents, the number of next symbols.
 
@@ -349,10 +389,11 @@ def answer_level(table: pa.Table) -> pa.Table:
     for row, own in zip(rows, _dealt(rows, "keys", np.uint64), strict=True):
         result.append({"shard": row["shard"], "kind": SINGLE, "bucket": row["bucket"], "types": squeezed(kept[number[own]])})
     rows = table.filter(pa.compute.greater(table["kind"], PAIRS)).to_pylist()
-    keys, sizes = _joined(rows, "keys", np.uint64, CONTEXT_BYTES), _joined(rows, "sizes", np.int64)
-    _, example, context = np.unique(keys, return_index=True, return_inverse=True)
-    pair = followed(np.repeat(keys, sizes), _joined(rows, "nexts", np.uint64, NEXT_BYTES))
-    _, first, number = np.unique(pair, return_index=True, return_inverse=True)
+    keys, sizes = _joined(rows, "keys", np.int64, risen), _joined(rows, "sizes", np.int64)
+    example, context = _examples(keys)
+    nexts = _joined(rows, "nexts", np.int64)
+    event = np.repeat(context, sizes) * (nexts.max(initial=0) + 1) + nexts
+    first, number = _examples(event)
     total = np.bincount(number, _joined(rows, "counts", np.int64)).astype(np.int64)
     own = np.repeat(context, sizes)[first]
     whole = np.bincount(own, total, len(example))
@@ -360,7 +401,7 @@ def answer_level(table: pa.Table) -> pa.Table:
     gain = np.bincount(own, total * (_log(total) - _log(whole)[own] - share), len(example))
     types = np.bincount(own, total > 0, len(example))
     kept = np.where(gain > types, types, 0).astype(np.int64)
-    places = zip(rows, _dealt(rows, "counts", np.int64), _dealt(rows, "keys", np.uint64, CONTEXT_BYTES), strict=True)
+    places = zip(rows, _dealt(rows, "counts", np.int64), _dealt(rows, "keys", np.int64), strict=True)
     for row, events, contexts in places:
         answer = {"counts": squeezed(total[number[events]]), "types": squeezed(kept[context[contexts]])}
         result.append({"shard": row["shard"], "kind": row["kind"], "bucket": row["bucket"]} | answer)
@@ -421,8 +462,8 @@ def lm_scores(
     occurrences from which a context is tested, whatever the corpus; ``depth`` (2 or more) is the longest
     context and costs a further pass over the texts for each symbol beyond two.
 
-    Words go by a hash of 64 bits, pairs by 40 and contexts by 48 bits within their
-    bucket, whose size does not grow, and next symbols by 40 within their context.
+    Words go by a hash of 64 bits and pairs by 44 bits within their bucket, whose size does not grow; then
+    both go by numbers that the buckets give them. Contexts of three words and more go by 48 bits.
     NULL and empty texts are a single end token. A row with a NULL id is scored and teaches
     nothing; repeated ids keep their rows. Without training rows the tree is uniform and N = 0.
     Whole texts of any length are scored; an empty table gives an empty result.
@@ -441,13 +482,14 @@ def lm_scores(
     sent = by_shard.applyInArrow(send_counts(buckets), MESSAGE).groupBy("bucket")
     words = sent.applyInArrow(count_words, "types long, tokens long")
     words = words.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("n_types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"))
-    answers = sent.applyInArrow(answer_counts, ANSWER).repartition(shards, "shard")
+    answers = sent.applyInArrow(answer_counts(support), ANSWER).repartition(shards, "shard")
 
     def told(rows: DataFrame):
         return by_shard.cogroup(rows.crossJoin(F.broadcast(words)).groupBy("shard"))  # one row beside each
 
     for length in range(2, depth + 1):
         sent = told(answers).applyInArrow(send_level(length, support, buckets), MESSAGE)
-        answers = answers.union(sent.groupBy("bucket").applyInArrow(answer_level, ANSWER)).repartition(shards, "shard")
+        # A union of tables that are dealt out alike is so too: the answers so far are not sent anew.
+        answers = answers.union(sent.groupBy("bucket").applyInArrow(answer_level, ANSWER).repartition(shards, "shard"))
     schema = f"doc_id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return told(answers).applyInArrow(score_shard(depth, support, buckets), schema)
