@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from viewmart.llm.bpe import bpe_decode, bpe_digests, bpe_encode
+from viewmart.llm.bpe import bpe_digests, bpe_round_trip
 from viewmart.llm.common import tokenizer_file
 from viewmart.llm.decontaminate import decontaminate
 from viewmart.llm.language_id import fit_languages, identify_languages
@@ -74,9 +74,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     NULL and empty texts have no ids and decode to the empty text. Repeated rows and NULL ids stay; an empty
     table stays empty; further columns are left out, whatever their names.
     """
-    path = tokenizer_file("word_bpe_49k.json")
-    decoded = bpe_decode(bpe_encode(docs, path), path)
-    return bpe_digests(decoded, "ids")
+    return bpe_digests(bpe_round_trip(docs, tokenizer_file("word_bpe_49k.json")), "ids")
 
 
 STAGES = [

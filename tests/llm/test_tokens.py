@@ -8,10 +8,12 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tests.llm.corpus import empty, rows, table
-from viewmart.llm.bpe import MergeTable, WordBpe, bpe_decode, bpe_digests, bpe_encode
+from viewmart.llm.bpe import MergeTable, WordBpe, bpe_decode, bpe_digests, bpe_encode, bpe_round_trip
 from viewmart.llm.common import tokenizer_file
 from viewmart.llm.pieces import PieceMemo, unlike
+from viewmart.llm.queries import QUERIES
 from viewmart.llm.token_counts import TokenCounter, token_counts, tokenizer_digest
 
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -92,6 +94,15 @@ def test_round_trip_of_every_row(spark, word_library):
     assert sorted((str(r[0]), *r[1:]) for r in done.collect()) == sorted(expected)
 
 
+def test_a_round_trip_takes_one_worker(spark, tmp_path):
+    docs = table(spark)
+    both, one = bpe_decode(bpe_encode(docs, WORD), WORD), bpe_round_trip(docs, WORD)
+    assert both.schema == one.schema and both.exceptAll(one).isEmpty() and one.exceptAll(both).isEmpty()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for found in (QUERIES["op2_bpe_round_trip"](spark, str(tmp_path)), corpus_pipeline.bpe(spark, docs, str(tmp_path))):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_merges_of_runs_and_unsafe_pairs():
     """Against merging one lowest, leftmost pair at a time."""
     vocab = {s: i for i, s in enumerate(["a", "b", "c", "ab", "bc", "abc", "aa", "aaa", "abca", "ca"])}

@@ -200,6 +200,25 @@ def _bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    bpe = _bpe(tokenizer_path)
+    for batch in batches:
+        for part in slices(batch):
+            ids, offsets = bpe.encode(part.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+    bpe.memo.clear()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, ids_name: str) -> Iterator[pa.RecordBatch]:
+    bpe = _bpe(tokenizer_path)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            texts = bpe.decode(part.column(ids_name))
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
+
+
 def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row, whole texts without begin or end tokens.
 
@@ -209,13 +228,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(tokenizer_path)
-        for batch in batches:
-            for part in slices(batch):
-                ids, offsets = bpe.encode(part.column("text"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
-        bpe.memo.clear()
+        return _encoded(batches, tokenizer_path)
 
     texts = texts_of(docs, id_col, text_col)
     return texts.mapInArrow(encode, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -232,16 +245,25 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", decoded string"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(tokenizer_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = bpe.decode(part.column(ids_name))
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
+        return _decoded(batches, tokenizer_path, ids_name)
 
     return kept.mapInArrow(decode, schema)
 
 
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): what ``bpe_decode`` gives of ``bpe_encode``, in one pass of one Python worker a task.
+
+    The two operators one after the other take two workers a task, each with a vocabulary of its own, and
+    send all ids through the JVM.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_encoded(batches, tokenizer_path), tokenizer_path, "ids")
+
+    texts = texts_of(docs, id_col, text_col)
+    return texts.mapInArrow(both, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def bpe_digests(decoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ``more`` from (doc_id, ids, decoded)."""
     return decoded.select(

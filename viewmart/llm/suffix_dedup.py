@@ -236,25 +236,28 @@ def cut_documents(length: int, passed: list[str]):
             at = contexts.start[own][context] + window
             np.add.at(depth, at, 1)
             np.add.at(depth, at + length, -1)
-        removed = np.cumsum(depth[:-1]) > 0
+        np.cumsum(depth, dtype=np.int32, out=depth)
+        removed = depth[:-1] > 0
+        del depth
         # Runs never cross documents, as windows do not; adjoining runs of two documents are parted.
         text_start = np.zeros(len(data) + 1, bool)
         text_start[offsets] = True
-        begin = removed & (np.r_[True, ~removed[:-1]] | text_start[:-1])
-        end = removed & (np.r_[~removed[1:], True] | text_start[1:])
-        begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        begin = np.flatnonzero(removed & (np.r_[True, ~removed[:-1]] | text_start[:-1]))
+        end = np.flatnonzero(removed & (np.r_[~removed[1:], True] | text_start[1:])) + 1
         document = np.searchsorted(offsets, begin, "right") - 1
         per_document = np.searchsorted(begin, offsets)
         # Of documents that start at one place, all but the last are empty and have no runs.
         spans = pa.StructArray.from_arrays(
             [pa.array(begin - offsets[document], pa.int64()), pa.array(end - offsets[document], pa.int64())], ["start", "stop"]
         )
-        kept = np.r_[0, np.cumsum(~removed)][offsets]
-        rest = data[~removed].tobytes()
+        rest = data[~removed]
+        # Of each document the bytes before it, without those of the runs before it.
+        cut = np.r_[0, np.cumsum(end - begin)]
+        kept = offsets - cut[per_document]
         return pa.table({name: shard.table[name] for name in passed} | {
             "n_bytes": pa.array(np.diff(offsets), pa.int64()),
             "spans": pa.ListArray.from_arrays(pa.array(per_document, pa.int32()), spans),
-            "kept": pa.array([rest[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], pa.binary()),
+            "kept": pa.array([rest[a:b].tobytes() for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], pa.binary()),
         })
 
     return run
